@@ -253,6 +253,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(id_crc("doc_id") % 5 != 0).select("doc_id", "text", "lang")
 
 
+def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or less likely than ``least_score``, all columns kept."""
+    guess = predicted(docs.sparkSession, fit(training_rows(docs)), F.col("text"))
+    return docs.where((guess["lang_pred"] != "und") & (guess["score"] >= least_score))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(training_rows(docs))
