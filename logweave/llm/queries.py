@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import decontaminate, jaccard, language, packing, toxicity
+from logweave.llm import chat, decontaminate, fixity, jaccard, language, licences, nearest, packing, pages, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": nearest.query,
     "op2_mixture_packing": packing.query,
     "op3_ngram_jaccard_join": jaccard.query,
     "op4_toxicity": toxicity.query,
     "op5_decontamination": decontaminate.query,
+    "op6_chat_formatting": chat.query,
     "op7_language_id": language.query,
+    "op8_warc_fixity": fixity.query,
+    "op9_licence_scan": licences.query,
+    "op10_html_extraction": pages.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": chat.ORACLE,
+    "op8_warc_fixity": fixity.ORACLE,
+    "op9_licence_scan": licences.oracle(),
+}
