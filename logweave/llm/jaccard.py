@@ -1,21 +1,23 @@
 """Exact Jaccard join of documents' word shingles in metric space, and its connected components.
 
-Distance is 1 - Jaccard; documents link at distance ``r`` = 1 - percent/100 or less.
-
-Regions. Documents with no shingle in common are all at distance 1, so document pivots alone cannot part
-a corpus. The first level of Voronoi regions therefore has single shingles as pivots: a document lies at
-1 - 1/n from each of its n shingles and at 1 from all others, the ties broken rarest first. The window
-that the triangle inequality asks for is a document's first n - ceil(percent * n / 100) + 1 shingles in
-that order: two linked documents meet in the region of a shingle that is in both windows, and documents
-whose window crosses several regions are replicated to each.
-
-Within a region the pivots are documents. Every member's distance to its region's pivot is measured
-once; members within r of it are linked to it, so nothing between them need be tested again. What is left
-are pairs of members of different components, and |d(x,p) - d(y,p)| <= r for a link. While those
-pairs are too many for one join, regions are joined recursively around their next pivot; then the rest
-joins by bands of width r of the distance to the pivot, boundary documents replicated to the next
-band, and each pair is verified on whole sets. Nothing is sampled and no link between sets is lost;
-documents with equal sets are one node.
+Distance is 1 - Jaccard; documents link at distance ``r`` = 1 - percent/100 or less. Documents with equal
+sets are one node. Nothing is sampled, capped or approximated.
+
+Regions. Unrelated documents are all at about distance 1 from one another, so single documents as pivots
+cannot part a whole corpus. The first regions therefore form around shared pieces of content: sizes fall into
+rings, a ring's hash space is cut into parts, at least two more than the elements that a linked pair's sets can
+differ in, so a linked pair agrees on two parts and meets in their regions. A document near its ring's upper edge is
+replicated to the next ring, where larger partners are: the window that the triangle inequality gives for
+distances to the empty set. In each region the least node is the pivot; every member is compared with it.
+
+Comparing. A parity sketch counts set elements by hash modulo 2 in about n/2 cells. The Hamming distance of two
+sketches never exceeds the sets' symmetric difference, so it proves most pairs too far; the rest are
+measured on whole sets, members sent to their pivot in blocks of bounded size.
+
+Recursion. A region whose members ended in several components may still hide links between members that are
+not with the pivot. Those documents are joined again, each region around its most central member as the next
+pivot, which then leaves. What is left is compared by sketches in blocks of bounded size, and only pairs of different
+components that the sketches don't prove too far are sent on to be measured.
 
 Defined cases: documents without words, or with null text, have no shingles, link with nothing and are
 their own component; fewer words than a shingle has make one shingle; rows with a null doc_id are counted but
@@ -32,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import keep, shingle_hashes, slices, word_hashes
+from logweave.llm.common import keep, mixed, shingle_hashes, slices, word_hashes
 
-#: Buckets of shingles whose frequency is counted, to rank rare ones first. A constant size in the driver.
-BUCKET_BITS = 18
 #: Ids that may be broadcast to choose documents; beyond it they are joined.
-BROADCAST_IDS = 1_000_000
-#: Pairs that a last join may verify: so many for each document with a partner, at least LEAST_PAIRS.
-PAIRS_PER_DOCUMENT, LEAST_PAIRS = 4, 100_000
+BROADCAST_IDS = 300_000
+#: Members of a region that one task compares with the pivot.
+MEMBERS = 512
+#: Members of a region that are compared by sketches at once, and rounds of central pivots before.
+BLOCK, ROUNDS = 2048, 2
+#: Regions that a task remembers, to send each on once.
+REGION_CACHE = 1_000_000
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -48,79 +52,200 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
-def ranked(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Shingles as 63-bit numbers whose order is rarest first."""
-    rank = ranks[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
-    return np.sort((rank << np.uint64(57)) | (hashes & np.uint64((1 << 57) - 1))).astype(np.int64)
-
-
 def node_of(hashes: np.ndarray) -> int:
     """The number of a set: equal sets are one node."""
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def frequency_ranks(texts: DataFrame, size: int) -> np.ndarray:
-    """A rank 0..63 for each bucket of shingles by the documents that hold one of it."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the elements that fall in each of a power of two of cells, at least 64 and about n/2."""
+    cells = max(64, 1 << (len(hashes) // 2).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of elements that the sets of two sketches differ in at least."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+class Rings:
+    """Ring borders for set sizes, and the regions of a set: one for each part of the hash space in its rings."""
+
+    def __init__(self, percent: int):
+        self.percent, self.edges = percent, [1]
+        while self.edges[-1] < 1 << 44:
+            self.edges.append(self.edges[-1] * 10_000 // percent**2 + 1)
+
+    def regions(self, hashes: np.ndarray) -> np.ndarray:
+        n = len(hashes)
+        ring = int(np.searchsorted(self.edges, n, "right")) - 1
+        out = [self.parts(hashes, ring)]
+        if 100 * n >= self.percent * self.edges[ring + 1]:
+            out.append(self.parts(hashes, ring + 1))
+        return np.concatenate(out)
+
+    def parts(self, hashes: np.ndarray, ring: int) -> np.ndarray:
+        # two linked sets of at most ``top`` elements differ in ``most`` of them
+        top = self.edges[ring + 1] - 1
+        most = 2 * (100 - self.percent) * top // (100 + self.percent)
+        if not most:
+            return np.empty(0, np.uint64)
+        n_parts = most + 2 + most // 10
+        part = ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        own, content = part[starts], np.add.reduceat(mixed(hashes), starts)
+        if len(own) <= most + 1:  # then a part that two sets agree on may be an empty one
+            empty = np.setdiff1d(np.arange(n_parts, dtype=np.uint64), own, assume_unique=True)
+            own, content = np.concatenate([own, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
+        return mixed(content + mixed(own * np.uint64(128) + np.uint64(ring)))
+
+
+def described(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, node and sketch of every row."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                np.add.at(total, (shingle_set(text, size) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": used, "n": total[used]})
+            texts = [t or "" for t in batch["text"]]
+            for a, b in slices(texts):
+                sets = [shingle_set(t, size) for t in texts[a:b]]
+                out = pd.DataFrame({"n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], "Int64"), "sketch": [sketch(s) if len(s) else None for s in sets]})
+                out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").values)
+                yield out
 
-    sums = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << BUCKET_BITS)
-    total[sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
-    return np.clip(np.floor(6 * np.log2(np.maximum(total, 1) / max(total.mean(), 1))) + 16, 0, 63).astype(np.int64)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n_shingles long, node long, sketch binary")
 
 
-def described(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node, prefix (the shingles whose regions the document belongs to)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null and doc_id is not null")
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def chosen_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the documents in ``wanted`` (doc and more columns)."""
+    wanted = keep(wanted, "wanted")
+    return texts_of(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc")
+
+
+def first_pairs(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members of every first region with a pivot of it, chained where tasks hold parts of a region."""
+    rings = Rings(percent)
+
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a region that this task has sent on already is met by a pair with the node it was sent for
+        sent, nodes = {}, set()
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for a, b in slices(texts):
-                rows = []
+            texts = batch["text"].tolist()
+            for a, b in slices(texts, 1_000_000):
+                keys, owners, pairs = [], [], set()
                 for text in texts[a:b]:
                     own = shingle_set(text, size)
-                    n = len(own)
-                    rows.append((n, node_of(own) if n else None, ranked(own, shared.value)[: n + percent * n // -100 + 1] if n else None))
-                out = pd.DataFrame(rows, columns=["n_shingles", "node", "prefix"]).astype({"node": "Int64"})
-                out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").values)
-                yield out
+                    if not len(own) or (node := node_of(own)) in nodes:
+                        continue
+                    if len(nodes) < REGION_CACHE:
+                        nodes.add(node)
+                    for key in rings.regions(own).view(np.int64).tolist():
+                        if (pivot := sent.get(key)) is None:
+                            if len(sent) < REGION_CACHE:
+                                sent[key] = node
+                            keys.append(key)
+                            owners.append(node)
+                        elif pivot != node:
+                            pairs.add((node, pivot))
+                yield pd.DataFrame({"x": keys, "y": owners, "pair": False})
+                yield pd.DataFrame([(x, y, True) for x, y in pairs], columns=["x", "y", "pair"])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = pivot = None
+        for batch in batches:
+            x, y, pair = (batch[c].to_numpy() for c in ("x", "y", "pair"))
+            if not len(x):
+                continue
+            new = np.concatenate([[key is None or x[0] != key], x[1:] != x[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
+            pivots = np.where(at >= 0, y[np.maximum(at, 0)], pivot if pivot is not None else 0)
+            key, pivot = x[-1], pivots[-1]
+            a, b = np.where(pair, x, y), np.where(pair, y, pivots)
+            yield pd.DataFrame({"a": a[a != b], "b": b[a != b]}).drop_duplicates()
+
+    crossed = texts_of(docs).mapInPandas(cross, "x long, y long, pair boolean")
+    met = crossed.repartition("x", "pair").sortWithinPartitions("pair", "x", "y").mapInPandas(meet, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def regions(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """region, node of the given nodes (node, doc), for regions with several of them."""
+    rings = Rings(percent)
+
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in slices(texts, 1_000_000):
+                for node, text in zip(batch["node"].iloc[a:b], texts[a:b]):
+                    own = shingle_set(text, size)
+                    if len(own) and node_of(own) == node:
+                        yield pd.DataFrame({"region": rings.regions(own).view(np.int64), "node": node})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n_shingles long, node long, prefix array<long>")
+    crossed = keep(chosen_texts(docs, nodes.select("doc", "node")).select("node", "text").mapInPandas(cross, "region long, node long").distinct(), "crossed")
+    shared = crossed.groupBy("region").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("region")
+    return crossed.join(shared, "region", "left_semi")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node and its whole set, for the given nodes (node, doc: a document that has it)."""
-    wanted = nodes.select("node", "doc")
-    if nodes.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null")
-    chosen = texts.join(wanted, "doc")
+def promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches don't prove too far."""
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    both = pairs.join(x, "a").join(y, "b").where(near)
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bodies = batch["text"].tolist()
-            for a, b in slices(bodies):
-                sets = [shingle_set(t, size) for t in bodies[a:b]]
-                good = [(n, s.view(np.int64)) for n, s in zip(batch["node"].iloc[a:b], sets) if len(s) and node_of(s) == n]
-                yield pd.DataFrame(good, columns=["node", "shingles"])
+            least = np.array([least_difference(a, b) for a, b in zip(batch["sketch_a"], batch["sketch_b"])], np.int64)
+            size = (batch["n_a"] + batch["n_b"]).to_numpy()
+            yield batch.loc[100 * (size - least) >= percent * (size + least), ["a", "b"]]
 
-    return chosen.select("node", "text").mapInPandas(build, "node long, shingles array<long>").dropDuplicates(["node"])
+    return both.mapInPandas(test, "a long, b long")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with shared, the size of the intersection, and joint, that of the union."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    joint = F.size("set_a") + F.size("set_b") - F.col("shared")
-    return both.withColumn("joint", joint).drop("set_a", "set_b")
+def measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """pairs (a, b) with shared, the size of the intersection of the whole sets, and joint, that of the union."""
+    members = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    place = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    sent = pairs.join(members, "b").select(F.col("a").alias("node"), F.col("b").alias("pivot"), place.alias("block"))
+    pivots = members.select(F.col("b").alias("node"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    targets = sent.union(pivots).groupBy("node").agg(F.collect_list(F.struct("pivot", "block")).alias("targets"))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in slices(texts):
+                rows = []
+                for node, text, to in zip(batch["node"].iloc[a:b], texts[a:b], batch["targets"].iloc[a:b]):
+                    own = shingle_set(text, size)
+                    if len(own) and node_of(own) == node:
+                        data = own.tobytes()
+                        rows += [(t["pivot"], t["block"], node != t["pivot"], node, data) for t in to]
+                yield pd.DataFrame(rows, columns=["pivot", "block", "member", "node", "data"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, before = None, None, None
+        for batch in batches:
+            rows = []
+            for pivot, block, member, node, data in batch.itertuples(index=False):
+                own = np.frombuffer(data, np.uint64)
+                if not member:
+                    at, held, before = (pivot, block), own, None
+                elif at == (pivot, block) and node != before:  # a repeated document is measured once
+                    shared = len(np.intersect1d(held, own, assume_unique=True))
+                    rows.append((node, pivot, shared, len(held) + len(own) - shared))
+                    before = node
+            yield pd.DataFrame(rows, columns=["a", "b", "shared", "joint"])
+
+    texts = chosen_texts(docs, targets.join(nodes.select("node", "doc"), "node")).select("node", "text", "targets")
+    sets = texts.mapInPandas(send, "pivot long, block int, member boolean, node long, data binary")
+    together = sets.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "member", "node")
+    return keep(together.mapInPandas(compare, "a long, b long, shared long, joint long"), "measured")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,63 +267,100 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.col("shared") >= percent * F.col("joint")).select("a", "b")
 
 
-def labelled(members: DataFrame, edges: DataFrame | None) -> DataFrame:
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the regions that still hold several components, with their label."""
-    if edges is None:
-        return members.withColumn("label", F.col("node"))
-    found = members.drop("label").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     found = keep(found, "labelled")
-    mixed = found.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
-    return keep(found.join(mixed, "region", "left_semi"), "members")
-
-
-def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes: node, doc; links a, b between nodes, enough of them for every component)."""
-    spark, radius = docs.sparkSession, 1 - percent / 100
-    nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = keep(nodes, "nodes")
-    crossed = nodes.select("node", "n", F.explode("prefix").alias("region"))
-    shared = crossed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
-    members = keep(crossed.join(shared, "region"), "regions")
-    # the most central member is the pivot: it shares most of its regions with most others
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = keep(members.join(weight, "node").select("region", "node", "n", "weight"), "members")
-    partners = nodes.join(weight.select("node"), "node", "left_semi").select("node", "doc")
-    sets = keep(sets_of(docs, partners, size), "sets")
-    limit, edges = max(LEAST_PAIRS, PAIRS_PER_DOCUMENT * sets.count()), None
-    members = labelled(members, None)
-    while True:
+    several = found.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
+    return keep(found.join(several, "region", "left_semi"), "members")
+
+
+def listed(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a region's members in different components that sizes and sketches don't prove too far."""
+    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    facts = members.select("region", "node", "label").join(nodes.select("node", "n", "sketch"), "node").join(sizes, "region")
+    own = facts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "sketch")
+
+    def words(sketches: list[bytes]) -> np.ndarray:
+        least = min(map(len, sketches))
+        out = []
+        for x in (np.frombuffer(b, np.uint64) for b in sketches):
+            while len(x) > least // 8:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            out.append(x)
+        return np.array(out)
+
+    def near(rows: list) -> list[tuple[int, int]]:
+        node, label, n, side = (np.array([r[i] for r in rows]) for i in (4, 5, 6, 3))
+        bits, out, at = words([r[7] for r in rows]), [], 0
+        step = max(1, 2_000_000 // bits.size)
+        within = len(set(side.tolist())) < 2
+        for at in range(0, len(rows), step):
+            i = slice(at, at + step)
+            size = n[i, None] + n[None]
+            least = np.bitwise_count(bits[i, None] ^ bits[None]).sum(2, dtype=np.int64)
+            good = (label[i, None] != label[None]) & (node[i, None] < node[None]) & (100 * (size - least) >= percent * (size + least))
+            if not within:
+                good &= side[i, None] != side[None]
+            x, y = np.nonzero(good)
+            out += zip(node[x + at].tolist(), node[y].tolist())
+        return out
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[:3] != key:
+                    out += near(held) if len(held) > 1 else []
+                    key, held = row[:3], []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+        yield pd.DataFrame(near(held) if len(held) > 1 else [], columns=["a", "b"], dtype="int64")
+
+    return own.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInPandas(compare, "a long, b long").distinct()
+
+
+def rest_of(docs: DataFrame, nodes: DataFrame, open_nodes: DataFrame, edges: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links so far and those that the first pivots left: regions of ``open_nodes`` joined again."""
+    members = keep(regions(docs, nodes.join(open_nodes, "node", "left_semi"), size, percent), "open_regions")
+    weight = members.groupBy("node").agg(F.count("*").alias("weight"))
+    members = labelled(members.join(weight, "node"), labels)
+    for _ in range(ROUNDS):
+        # the most central member is the pivot: it shares most of its regions with others
         pivots = members.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("top")).select("region", F.col("top.node").alias("pivot"))
-        placed = members.join(pivots, "region").where("node <> pivot")
-        pairs = placed.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        tested = keep(measured(pairs, sets), "tested")
-        fresh = linked(tested, percent)
-        edges = keep(fresh if edges is None else edges.union(fresh), "links")
-        distance = tested.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("joint")).alias("distance"))
+        placed = keep(members.join(pivots, "region").where("node <> pivot"), "placed")
+        met = keep(promising(placed.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), nodes, percent), "met")
+        edges = keep(edges.union(linked(measured(docs, nodes, met, size), percent)), "links")
         # a pivot has met its whole region and leaves it
-        members = labelled(placed.drop("distance").join(distance, ["node", "pivot"]).drop("pivot"), edges)
-        by_label = members.groupBy("region", "label").agg(F.count("*").alias("k"))
-        left = by_label.groupBy("region").agg((F.pow(F.sum("k"), 2) - F.sum(F.pow("k", 2))).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if not left:
-            return nodes, edges
-        if left / 2 <= limit:
-            break
-    band = F.floor(F.col("distance") / radius)
-    banded = members.withColumn("band", F.explode(F.array(band, band + 1)))
-    x, y = banded.alias("x"), banded.alias("y")
-    near = (F.col("x.region") == F.col("y.region")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-    sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.abs(F.col("x.distance") - F.col("y.distance")) <= radius + 1e-9)
-    rest = x.join(y, near & sizes).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return nodes, keep(edges.union(linked(measured(rest, sets), percent)), "links")
+        members = labelled(placed.drop("pivot"), components(edges))
+    rest = keep(listed(members, nodes, percent), "rest")
+    return keep(edges.union(linked(measured(docs, nodes, rest, size), percent)), "links")
+
+
+def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """node and label, for nodes with a link: the smallest node of the component."""
+    met = keep(first_pairs(docs, size, percent), "met")
+    edges = linked(measured(docs, nodes, keep(promising(met, nodes, percent), "promising"), size), percent)
+    labels = components(edges)
+    # a region is settled when all its members are in one component
+    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    sides = met.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("of_a"), F.coalesce("label_b", "b").alias("of_b"))
+    unsettled = sides.where("of_a <> of_b")
+    open_labels = keep(unsettled.select(F.col("of_a").alias("label")).union(unsettled.select("of_b")).distinct(), "open")
+    if open_labels.isEmpty():
+        return labels
+    every = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return components(rest_of(docs, nodes, every.join(open_labels, "label", "left_semi").select("node"), edges, labels, size, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs."""
-    texts = docs.where("text is not null")
-    rows = keep(described(docs, size, percent, frequency_ranks(texts, size)), "described")
-    nodes, edges = links(docs, rows, size, percent)
-    named = nodes.select("node", "doc").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = keep(named, "named")
+    rows = keep(described(docs, size), "described")
+    nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = keep(nodes, "nodes")
+    named = keep(nodes.select("node", "doc").join(links(docs, nodes, size, percent), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = named.groupBy("label").agg(F.min("doc").alias("component"))
     named = named.join(least, "label").select(F.col("node").alias("key"), "component")
     # documents without words each have a key of their own, else all would meet in one task
