@@ -1,4 +1,178 @@
-"""Registered queries."""
+"""Registered queries of the log operators, and the SQL that they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.functions.text import iso_utc, plain_number
+from logweave.operators import aggregates, filters, paging
+from logweave.plans.requests import BUCKETS, Filters
+from logweave.schema import EVENT_LOGS_SQL, event_logs
+from logweave.sources.ingest import validated
+from logweave.sources.storage import retained
+from logweave.streaming.ingest import minute_counts
+
+SINCE, UNTIL = "2024-01-03T04:05:06.789Z", "2024-01-20T21:22:23.456789Z"
+SQL_RANGE = """"timestamp" >= timestamp '2024-01-03 04:05:06.789' and "timestamp" < timestamp '2024-01-20 21:22:23.456789'"""
+RANGE = {"since": SINCE, "until": UNTIL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    QUERIES[name], ORACLE_SQL[name] = build, sql
+
+
+def counts_sql(bucket: str, group: str | None, where: str) -> str:
+    key = group or "cast(null as varchar)"
+    return f"""with {EVENT_LOGS_SQL} select time_bucket(interval '{BUCKETS[bucket]} seconds', "timestamp", timestamp '1970-01-01') as start, {key} as "group", count(*) as count from logs where {where} group by all"""
+
+
+def aggregate(name: str, bucket: str, group: str | None, where: str, rollup: bool = False, **given) -> None:
+    asked = Filters(**(RANGE | given))
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        logs = event_logs(spark, sf_dir)
+        if rollup:
+            return aggregates.count_rollup(logs, aggregates.minute_deltas(logs), asked, bucket, group)
+        return aggregates.count_rows(logs, asked, bucket, group)
+
+    register(name, build, counts_sql(bucket, group, where))
+
+
+for _bucket in BUCKETS:
+    aggregate(f"agg_{_bucket}", _bucket, "service", SQL_RANGE)
+    aggregate(f"rollup_{_bucket}", _bucket, "level", SQL_RANGE, rollup=True)
+aggregate("agg_ungrouped", "1h", None, SQL_RANGE)
+aggregate("agg_group_level", "1h", "level", SQL_RANGE)
+aggregate("agg_service_filter", "1d", "level", f"{SQL_RANGE} and service = 'click'", service="click")
+aggregate("agg_level_filter", "1d", "service", f"{SQL_RANGE} and level = 'warn'", level="warn")
+aggregate("agg_search", "1d", "service", f"{SQL_RANGE} and contains(lower(message), 'user 14')", q="USER 14")
+aggregate("agg_attribute", "1d", "service", f"{SQL_RANGE} and attr_k = '7'", attributes={"k": "7"})
+aggregate("agg_unknown_service", "1d", None, f"{SQL_RANGE} and service = 'none'", service="none")
+aggregate("agg_single_minute", "1m", "service", """"timestamp" >= timestamp '2024-01-05 10:00:10' and "timestamp" < timestamp '2024-01-05 10:00:50'""", since="2024-01-05T10:00:10Z", until="2024-01-05T10:00:50Z")
+aggregate("agg_empty_range", "1m", None, "false", since="2024-01-05T10:00:10Z", until="2024-01-05T10:00:10Z")
+aggregate("rollup_service_edges", "1h", None, f"{SQL_RANGE} and service = 'view'", rollup=True, service="view")
+aggregate("rollup_search_falls_back", "1d", None, f"{SQL_RANGE} and contains(lower(message), 'user 9')", rollup=True, q="user 9")
+
+
+def page(name: str, where: str, limit: int = 100, after: tuple[int, int] | None = None, ties: bool = False, **given) -> None:
+    asked = Filters(**given)
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        logs = event_logs(spark, sf_dir)
+        if ties:
+            logs = logs.withColumn("timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
+        return paging.rendered(paging.page(logs, asked, limit, after))
+
+    at = "date_trunc('hour', \"timestamp\")" if ties else '"timestamp"'
+    sql = f"""with {EVENT_LOGS_SQL}, seen as (select * replace (cast({at} as timestamp) as "timestamp") from logs)
+select cast(id as varchar) as id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') as "timestamp", level, service, message from (select * from seen where {where} order by "timestamp" desc, id desc limit {limit})"""
+    register(name, build, sql)
+
+
+AFTER = (1705708800000000, 4000)  # 2024-01-20 00:00
+page("page_first", "true")
+page("page_service", "service = 'purchase'", service="purchase")
+page("page_level", "level = 'info'", level="info")
+page("page_range", SQL_RANGE, **RANGE)
+page("page_search", "contains(lower(message), 'error user 3')", q="Error User 3")
+page("page_search_literal", "contains(message, '%_')", q="%_")
+page("page_attribute", "attr_k = '42'", attributes={"k": "42"})
+page("page_attribute_missing", "false", attributes={"k": "42", "other": ""})
+page("page_combined", f"{SQL_RANGE} and service = 'error' and level = 'error' and attr_k = '3'", service="error", level="error", attributes={"k": "3"}, **RANGE)
+page("page_keyset", """("timestamp", id) < (timestamp '2024-01-20 00:00:00', 4000)""", after=AFTER)
+page("page_ties", """("timestamp", id) < (timestamp '2024-01-20 00:00:00', 4000)""", limit=25, after=AFTER, ties=True)
+page("page_no_rows_empty_service", "false", service="")
+
+register(
+    "minute_deltas",
+    lambda spark, d: aggregates.minute_deltas(event_logs(spark, d)).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz")),
+    f"""with {EVENT_LOGS_SQL} select cast(date_trunc('minute', "timestamp") as timestamp) as bucket_start, service, level, count(*) as count from logs group by all""",
+)
+register(
+    "search_documents",
+    lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").where(F.contains(F.lower("text"), F.lower(F.lit("LICENSE")))).groupBy("lang").agg(F.count("*").alias("count")),
+    "select lang, count(*) as count from documents where contains(lower(text), 'license') group by lang",
+)
+register(
+    "format_timestamp",
+    lambda spark, d: event_logs(spark, d).select("id", iso_utc(F.col("timestamp")).alias("text")),
+    f"""with {EVENT_LOGS_SQL} select id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') as text from logs""",
+)
+register(
+    "attribute_numbers",
+    lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", plain_number(F.col("l_quantity")).alias("quantity"), plain_number(F.col("l_discount")).alias("discount")),
+    r"select l_orderkey, l_linenumber, regexp_replace(cast(l_quantity as varchar), '\.0$', '') as quantity, regexp_replace(cast(l_discount as varchar), '\.0$', '') as discount from lineitem",
+)
+
+
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime as dt
+
+    logs = retained(event_logs(spark, sf_dir), dt.datetime(2024, 2, 1, 10, 30, 30), 20)
+    return aggregates.minute_deltas(logs).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+register(
+    "retention_rollup",
+    retention,
+    f"""with {EVENT_LOGS_SQL} select cast(date_trunc('minute', "timestamp") as timestamp) as bucket_start, service, level, count(*) as count from logs where "timestamp" >= timestamp '2024-01-12 10:30:30' group by all""",
+)
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as ingest bodies of one entry each; some levels, services and attributes are made invalid."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    level = F.when(F.col("event_id") % 10 == 3, "fatal").otherwise("info")
+    service = F.when(F.col("event_id") % 10 == 5, "").otherwise(F.col("event_type"))
+    attributes = F.when(F.col("event_id") % 10 == 7, '{"k":[1]}').otherwise(F.col("props"))
+    body = F.format_string('{"logs":[{"timestamp":"%s","level":"%s","service":"%s","message":"m","attributes":%s}]}', iso_utc(F.col("ts")), level, service, attributes)
+    return e.select(F.col("event_id").alias("batch"), body.alias("body"))
+
+
+def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime as dt
+
+    checked = validated(bodies(spark, sf_dir), dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc))
+    return checked.select("batch", "index", "reason", iso_utc(F.col("timestamp")).alias("timestamp"), "service", F.try_element_at("attr_text", F.lit("k")).alias("k"))
+
+
+register(
+    "ingest_validation",
+    ingest,
+    """select event_id as batch, 0::bigint as index,
+       case event_id % 10 when 3 then 'invalid level: ''fatal''' when 5 then 'service must be a non-empty string' when 7 then 'attribute ''k'' must be a string, number, or boolean' end as reason,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as "timestamp", case when event_id % 10 = 5 then '' else event_type end as service,
+       case when event_id % 10 = 7 then '[1]' else json_extract_string(props, '$.k') end as k from events""",
+)
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute counts of ``events`` read as a stream, without a watermark: late rows count."""
+    import uuid
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    level = F.when(F.col("event_type") == "error", "error").otherwise("info")
+    name = f"stream_{uuid.uuid4().hex}"
+    counts = minute_counts(stream.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("service"), level.alias("level")))
+    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm"))
+
+
+register(
+    "stream_minute_counts",
+    streamed,
+    "select strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') as bucket_start, event_type as service, case when event_type = 'error' then 'error' else 'info' end as level, count(*) as count from events group by all",
+)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["rollup_1h"](spark, sf_dir)
