@@ -56,6 +56,7 @@ def with_stale_reply(turns: DataFrame) -> DataFrame:
 
     A stand-in for rejected conversations where the data has none. Conversations without a reply are left out.
     """
+    turns = turns.select("pair_id", "turn", "role", "text")
     reply, asked = F.col("role") == "assistant", F.col("role") == "user"
     ends = turns.where("turn is not null").groupBy(F.col("pair_id").alias("pair")).agg(
         F.max(F.when(reply, F.col("turn"))).alias("last"), F.min(F.when(reply, F.col("turn"))).alias("first"),

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.common import shingle_hashes, slices, word_hashes
@@ -122,19 +122,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT
     return found
 
 
+def leaky(index, text: Column) -> Column:
+    """Whether a text leaks an item of the broadcast index."""
+
+    @F.pandas_udf("boolean")
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([t is not None and bool(index.value.leaks(word_hashes(words_of(t)))) for t in texts], dtype=bool)
+
+    return leaks(text)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
     """``docs`` without the rows that leak a test item, all columns kept; null texts stay."""
-    spark = docs.sparkSession
     out = docs
     for block in item_blocks(benchmark, percent, BLOCK_SHINGLES):
-        index = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def leaks(batches: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([t is not None and bool(index.value.leaks(word_hashes(words_of(t)))) for t in texts])
-
-        out = out.where(~leaks(F.col("text")))
+        out = out.where(~leaky(docs.sparkSession.sparkContext.broadcast(block), docs["text"]))
     return out
 
 

@@ -373,9 +373,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest doc_id; rows with a null id stay."""
     groups = near_duplicates(docs, size, percent).where("doc_id is not null")
     spare = keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("spare")).distinct(), "spare")
-    if spare.count() <= BROADCAST_IDS:
-        spare = F.broadcast(spare)
-    return docs.join(spare, F.col("doc_id") == F.col("spare"), "left_anti")
+    few = spare.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(spare) if few else spare, docs["doc_id"] == spare["spare"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
