@@ -31,8 +31,8 @@ STEPS = 3
 SMOOTHING = 0.1
 WORD_CHARS = 24
 PIECE_CHARS = 12
-#: Chunks of text whose scores one worker remembers.
-CHUNK_CACHE = 200_000
+#: Runs of letters whose scores one worker remembers.
+RUN_CACHE = 200_000
 UNKNOWN = 1e-7
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -97,43 +97,50 @@ class Lattice:
         return out, lengths
 
     def forward(self, words: list[str], chances: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-        """alpha[word, end, language]. chances: a row for each piece and a last one for unknown characters."""
+        """alpha[end, word, language]. chances: a row for each piece and a last one for unknown characters."""
         places, lengths = self.places(words)
-        alpha = np.zeros((len(words), lengths.max() + 1, chances.shape[1]))
-        alpha[:, 0] = 1
+        alpha = np.zeros((lengths.max() + 1, len(words), chances.shape[1]))
+        alpha[0] = 1
         for start, end, rows, pieces in places:
-            alpha[rows, end] += alpha[rows, start] * chances[pieces]
+            alpha[end][rows] += alpha[start].take(rows, 0) * chances.take(pieces, 0)
         return alpha, places, lengths
 
     def log_chances(self, words: list[str], chances: np.ndarray) -> np.ndarray:
         """log P(word) in each language."""
         alpha, _, lengths = self.forward(words, chances)
-        return np.log(alpha[np.arange(len(words)), lengths])
+        return np.log(alpha[lengths, np.arange(len(words))])
 
     def expected(self, words: list[str], counts: np.ndarray, chances: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in the words of one language."""
         alpha, places, lengths = self.forward(words, chances[:, None])
         alpha, beta = alpha[:, :, 0], np.zeros(alpha.shape[:2])
         every = np.arange(len(words))
-        beta[every, lengths] = counts / alpha[every, lengths]
+        beta[lengths, every] = counts / alpha[lengths, every]
         out = np.zeros(len(chances))
         for start, end, rows, pieces in reversed(places):
-            beta[rows, start] += beta[rows, end] * chances[pieces]
+            beta[start][rows] += beta[end][rows] * chances[pieces]
         for start, end, rows, pieces in places:
-            out += np.bincount(pieces, alpha[rows, start] * chances[pieces] * beta[rows, end], len(chances))
+            np.add.at(out, pieces, alpha[start][rows] * chances[pieces] * beta[end][rows])
         return out[:-1]
 
 
+def runs_of(text: str) -> list[str]:
+    """Runs of letters in lower case."""
+    return LETTERS.findall(text.lower())
+
+
+def parts_of(run: str) -> list[str]:
+    """A run marked as a start, cut every WORD_CHARS characters."""
+    run = START + run
+    return [run[i : i + WORD_CHARS] for i in range(0, len(run), WORD_CHARS)]
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case, the first part of each marked as a start."""
-    out = []
-    for run in LETTERS.findall(text.lower()):
-        run = START + run
-        out += [run[i : i + WORD_CHARS] for i in range(0, len(run), WORD_CHARS)]
-    return out
+    """The parts of a text's runs."""
+    return [w for run in runs_of(text) for w in parts_of(run)]
 
 
-def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
+def by_length(words: list[str], most: int = 5_000) -> Iterator[list[int]]:
     """Places of words of like length, so that little is padded."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for i in range(0, len(order), most):
@@ -149,40 +156,35 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": None, "rows": None}
 
-    def learn(self, chunks: list[str]) -> None:
-        """Score chunks: a row of log chances for each language, and 1 if it has a letter."""
-        if self.known is None or len(self.known) + len(chunks) > CHUNK_CACHE:
-            self.known, self.rows = {}, np.zeros((0, len(self.languages) + 1))
-        parts = [words_of(c) for c in chunks]
+    def learn(self, runs: list[str]) -> None:
+        """Score runs of letters: a row of log chances, one for each language."""
+        if self.known is None or len(self.known) + len(runs) > RUN_CACHE:
+            self.known, self.rows = {}, np.zeros((0, len(self.languages)))
+        parts = [parts_of(r) for r in runs]
         words = list({w for p in parts for w in p})
         logs, lattice = np.zeros((len(words), len(self.languages))), Lattice.at(self.path)
         for places in by_length(words):
             logs[places] = lattice.log_chances([words[i] for i in places], self.chances)
         number = {w: i for i, w in enumerate(words)}
-        new = np.zeros((len(chunks), self.rows.shape[1]))
-        sizes = np.array([len(p) for p in parts])
-        if words:
-            flat = np.fromiter((number[w] for p in parts for w in p), np.int64, sizes.sum())
-            np.add.at(new[:, :-1], np.repeat(np.arange(len(chunks)), sizes), logs[flat])
-        new[:, -1] = sizes > 0
-        self.known |= {c: len(self.rows) + i for i, c in enumerate(chunks)}
-        self.rows = np.vstack([self.rows, new])
+        flat = np.fromiter((number[w] for p in parts for w in p), np.int64)
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        self.known |= {r: len(self.rows) + i for i, r in enumerate(runs)}
+        self.rows = np.vstack([self.rows, np.add.reduceat(logs[flat], starts)])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [(t or "").split() for t in texts]
-        every = {c for chunks in split for c in chunks}
+        split = [runs_of(t or "") for t in texts]
+        every = set().union(*split)
         new = list(every - (self.known or {}).keys())
         if new:
-            if self.known is not None and len(self.known) + len(new) > CHUNK_CACHE:
+            if self.known is not None and len(self.known) + len(new) > RUN_CACHE:
                 self.known, new = None, list(every)
             self.learn(new)
         out = []
-        for chunks in split:
-            total = self.rows[np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))].sum(0) if chunks else None
-            if total is None or not total[-1]:
+        for runs in split:
+            if not runs:
                 out.append(("und", 0.0))
                 continue
-            logs = total[:-1] + self.priors
+            logs = self.rows[np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))].sum(0) + self.priors
             best = int(logs.argmax())
             out.append((self.languages[best], float(1 / np.exp(logs - logs[best]).sum())))
         return out
