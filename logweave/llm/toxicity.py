@@ -60,34 +60,56 @@ def _fill_classes() -> None:
 
 
 _fill_classes()
+_codes = np.arange(CLASSES**3)
+#: Codes of three characters, none of them a gap.
+_real = (_codes % CLASSES > 0) & (_codes // CLASSES % CLASSES > 0) & (_codes // CLASSES**2 > 0)
 
 
-def features(windows: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places of windows, codes, weights) of all subsequences, for windows of like length; weight 0: none."""
+def characters(windows: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of windows, classes of their characters in rows, 0 where a window has ended), windows of like length together."""
     marked = [f"\x02{w}\x03" for w in windows]
     order = sorted(range(len(marked)), key=lambda i: len(marked[i]))
-    for at in range(0, len(order), 8000):
-        places = order[at : at + 8000]
+    for at in range(0, len(order), most):
+        places = order[at : at + most]
         lengths = np.array([len(marked[i]) for i in places])
-        chars = np.zeros((len(places), lengths.max() + SPAN), np.int32)
+        chars = np.zeros((len(places), lengths.max()), np.int32)
         flat = np.frombuffer("".join(marked[i] for i in places).encode("utf-32-le"), "<u4")
-        chars[:, : lengths.max()][np.arange(lengths.max()) < lengths[:, None]] = _class[np.minimum(flat, 0xFFFF)]
-        n = lengths.max()
+        chars[np.arange(lengths.max()) < lengths[:, None]] = _class[np.minimum(flat, 0xFFFF)]
+        yield np.array(places), chars
+
+
+def features(windows: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of windows, codes, weights) of all subsequences, for windows of like length; weight 0: none."""
+    for places, chars in characters(windows, 8000):
+        n = chars.shape[1]
+        chars = np.pad(chars, ((0, 0), (0, SPAN)))
         codes = np.empty((len(places), len(OFFSETS), n), np.int32)
         weights = np.empty(codes.shape, np.float32)
         for k, (a, b) in enumerate(OFFSETS):
             x, y, z = chars[:, :n], chars[:, a : a + n], chars[:, b : b + n]
             codes[:, k] = (x << 12) | (y << 6) | z
             weights[:, k] = ((x > 0) & (y > 0) & (z > 0)) * WEIGHTS[k]
-        yield np.array(places), codes.reshape(len(places), -1), weights.reshape(len(places), -1)
+        yield places, codes.reshape(len(places), -1), weights.reshape(len(places), -1)
 
 
 def margins(windows: list[str], table: np.ndarray, mean: bool = False) -> np.ndarray:
-    """Sum of each window's feature weights in ``table``, over the window's norm (mean: over their sum)."""
+    """Sum of each window's feature weights in ``table``, over the window's norm (mean: over their sum).
+
+    Offsets are added one at a time, so that the arrays stay in the processor's cache.
+    """
     out = np.zeros(len(windows))
-    for places, codes, weights in features(windows):
-        norm = weights.sum(1) if mean else np.sqrt((weights**2).sum(1))
-        out[places] = (table[codes] * weights).sum(1) / np.maximum(norm, 1e-6)
+    table = np.where(_real, table, np.float32(0))
+    for places, chars in characters(windows, 2000):
+        chars = np.ascontiguousarray(chars.T)
+        n, live = len(chars), (chars > 0).view(np.uint8)
+        total, norm = np.zeros((2, len(places)), np.float32)
+        for a in range(1, min(SPAN, n) - 1):
+            pairs, both = (chars[: n - a] << 12) | (chars[a:] << 6), live[: n - a] & live[a:]
+            for b in range(a + 1, min(SPAN, n)):
+                weight = np.float32(DECAY ** (b + 1))
+                total += table.take(pairs[: n - b] | chars[b:], mode="clip").sum(0) * weight
+                norm += (both[: n - b] & live[b:]).sum(0, dtype=np.int32) * (weight if mean else weight**2)
+        out[places] = total / np.maximum(norm if mean else np.sqrt(norm), 1e-6)
     return out
 
 
@@ -184,15 +206,13 @@ class Model:
 
     def learn(self, chunks: list[str]) -> None:
         parts = [chunk_windows(c) for c in chunks]
-        values = margins([w for p in parts for w in p], self.table[:-1]) + self.table[-1]
-        at = 0
-        for chunk, own in zip(chunks, parts):
-            self.known[chunk] = values[at : at + len(own)].max() if own else NOTHING
-            at += len(own)
+        windows = list({w for p in parts for w in p})
+        value = dict(zip(windows, (margins(windows, self.table[:-1]) + self.table[-1]).tolist()))
+        self.known |= {c: max(map(value.__getitem__, own), default=NOTHING) for c, own in zip(chunks, parts)}
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The margin of each text's worst window."""
-        split = [set(t.split()) | set(spaced_windows(t)) for t in texts]
+        split = [set(t.lower().split()).union(spaced_windows(t)) for t in texts]
         every = set().union(*split)
         if len(self.known) + len(every - self.known.keys()) > CHUNK_CACHE:
             self.known = {}
@@ -222,9 +242,10 @@ def odds(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, CLASSES**3))
         for batch in batches:
-            for toxic, text in zip(batch["toxic"], batch["text"]):
-                for _, codes, weights in features(text_windows(text)):
-                    total[int(toxic > 0)] += np.bincount(codes[weights > 0], minlength=CLASSES**3)
+            for toxic, texts in batch.groupby(batch["toxic"] > 0)["text"]:
+                for a, b in slices(texts.tolist()):
+                    for _, codes, weights in features([w for t in texts[a:b] for w in text_windows(t)]):
+                        total[int(toxic)] += np.bincount(codes[weights > 0], minlength=CLASSES**3)
         used = np.flatnonzero(total.sum(0))
         yield pd.DataFrame({"code": used, "clean": total[0, used], "toxic": total[1, used]})
 
