@@ -22,9 +22,10 @@ own; repeated rows are documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
-import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,12 +43,16 @@ WINDOW_SEQUENCES = 64
 MAX_QUEUES = 256
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks of text whose ids one worker remembers.
-CHUNK_CACHE = 250_000
+#: Chunks of text, and pieces of chunks, whose ids one worker remembers.
+CHUNK_CACHE, PIECE_CACHE = 250_000, 400_000
 #: Rows of the table of queue totals that may be broadcast; beyond it, the table is joined.
 BROADCAST_ROWS = 500_000
 #: White space that Python splits at and the tokenizer's rules do not, or the start of a special token.
 UNUSUAL = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
+#: Chunks of printable ASCII and Latin letters with accents: no normal form changes them but lower case.
+SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed values, the tokenizer's own words: an ending, a run of letters, a digit, a run of other signs.
+WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -56,14 +61,42 @@ class Tokens:
     """Token ids by chunk: this tokenizer's words never cross white space, so a chunk has the same ids in any text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # Spark's tasks fill the cores; threads of each task's own would only take them from one another
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {i: spell(chr(i))[0][0] for i in range(ord("ß"), ord("ÿ") + 1)}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of one of the tokenizer's words, in lower case."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= PIECE_CACHE:
+                self.pieces = {}
+            ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(piece.translate(self.spelled))]).tobytes()
+        return ids
+
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks of SIMPLE characters by their words, of which there are fewer; others as they are."""
+        others = []
+        for chunk in chunks:
+            if SIMPLE.fullmatch(chunk):
+                self.known[chunk] = b"".join(map(self.piece, WORDS.findall(chunk.lower())))
+            else:
+                others.append(chunk)
+        for i in range(0, len(others), 20_000):
+            part = others[i : i + 20_000]
+            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[word] = np.array(coded.ids, "<u2").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The little-endian 16-bit ids of each text."""
         split = [None if UNUSUAL.search(t) else t.lower().split() if t.isascii() else t.split() for t in texts]
@@ -71,10 +104,7 @@ class Tokens:
         if len(self.known) + len(new) > CHUNK_CACHE:
             self.known = {}
             new = list({w for words in split if words for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, "<u2").tobytes()
+        self.learn(new)
         return [self.whole(t) if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split)]
 
 
