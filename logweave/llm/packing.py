@@ -27,7 +27,7 @@ import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,8 +43,8 @@ WINDOW_SEQUENCES = 64
 MAX_QUEUES = 256
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks of text, and pieces of chunks, whose ids one worker remembers.
-CHUNK_CACHE, PIECE_CACHE = 250_000, 400_000
+#: Chunks of text, and words of chunks, whose ids one worker remembers.
+CHUNK_CACHE, WORD_CACHE = 250_000, 500_000
 #: Rows of the table of queue totals that may be broadcast; beyond it, the table is joined.
 BROADCAST_ROWS = 500_000
 #: White space that Python splits at and the tokenizer's rules do not, or the start of a special token.
@@ -57,6 +57,19 @@ WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
+class Known(dict):
+    """What ``find`` gives for a key; at most ``most`` results are remembered."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.find(key)
+        return value
+
+
 class Tokens:
     """Token ids by chunk: this tokenizer's words never cross white space, so a chunk has the same ids in any text."""
 
@@ -69,43 +82,24 @@ class Tokens:
         self.model = self.tokenizer.model
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelled = {i: spell(chr(i))[0][0] for i in range(ord("ß"), ord("ÿ") + 1)}
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.words = Known(self.chunk, CHUNK_CACHE), Known(self.word, WORD_CACHE)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def piece(self, piece: str) -> bytes:
+    def word(self, word: str) -> bytes:
         """The ids of one of the tokenizer's words, in lower case."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= PIECE_CACHE:
-                self.pieces = {}
-            ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(piece.translate(self.spelled))]).tobytes()
-        return ids
-
-    def learn(self, chunks: list[str]) -> None:
-        """Chunks of SIMPLE characters by their words, of which there are fewer; others as they are."""
-        others = []
-        for chunk in chunks:
-            if SIMPLE.fullmatch(chunk):
-                self.known[chunk] = b"".join(map(self.piece, WORDS.findall(chunk.lower())))
-            else:
-                others.append(chunk)
-        for i in range(0, len(others), 20_000):
-            part = others[i : i + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, "<u2").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The little-endian 16-bit ids of each text."""
-        split = [None if UNUSUAL.search(t) else t.lower().split() if t.isascii() else t.split() for t in texts]
-        new = list({w for words in split if words for w in words} - self.known.keys())
-        if len(self.known) + len(new) > CHUNK_CACHE:
-            self.known = {}
-            new = list({w for words in split if words for w in words})
-        self.learn(new)
-        return [self.whole(t) if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split)]
+        return array("H", [t.id for t in self.model.tokenize(word.translate(self.spelled))]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk: of SIMPLE characters by its words, of which there are fewer; any other as it is."""
+        return b"".join(map(self.words.__getitem__, WORDS.findall(chunk.lower()))) if SIMPLE.fullmatch(chunk) else self.whole(chunk)
+
+    def encode(self, text: str) -> bytes:
+        """The little-endian 16-bit ids of a text."""
+        if UNUSUAL.search(text):
+            return self.whole(text)
+        return b"".join(map(self.chunks.__getitem__, (text.lower() if text.isascii() else text).split()))
 
 
 _tokens: dict[str, Tokens] = {}
@@ -126,7 +120,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for a, b in slices(texts):
-                ids = [x + end for x in coder.encode(texts[a:b])]
+                ids = [coder.encode(t) + end for t in texts[a:b]]
                 sources, local = batch["source"].tolist()[a:b], []
                 for s, x in zip(sources, ids):
                     local.append(before[s])
