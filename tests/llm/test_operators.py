@@ -259,3 +259,10 @@ def test_pipeline_keeps_clean_documents(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     ids = {r["doc_id"] for r in packed.select("doc_id").distinct().collect()}
     assert ids == {r["doc_id"] for r in kept.select("doc_id").collect()} and len(ids) >= 0.6 * docs.count()
+
+
+def test_chunk_ids_equal_those_of_the_whole_text():
+    coder = packing.Tokens(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["", " ", "It's they'LL 'S x!'s don''t", "Größe ÉCOLE niño ÿÞ æØ", "a×b÷c ²³ µ ª º", "école Å K Å İ", "œuvre „ja“ 中文 日本語 \U0001f600", "x" * 5000, "12a34 a_b\x00c\x7f", "a b c\x85d​e", "<|endoftext|> a <|b", "word, word. WORD\n\tword"]
+    for text in texts:
+        assert coder.encode(text) == coder.whole(text), text
