@@ -39,8 +39,6 @@ SPAN = 8
 CLASSES = 64
 PIECE, OVERLAP = 24, 8
 THRESHOLD = 0.3
-#: A filter keeps what is more likely clean than not.
-STAGE_THRESHOLD = 0.5
 PENALTY = 10.0
 CHUNK_CACHE = 300_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’|&$*-_#~`"
@@ -316,7 +314,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(id_crc("doc_id") % 4 != 2)
 
 
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = STAGE_THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more, all columns kept."""
     model = fit(docs, training_labels(labels))
     return docs.where(scored(docs.sparkSession, model, F.col("text")) < threshold)

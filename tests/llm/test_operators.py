@@ -162,6 +162,15 @@ def test_models_on_odd_rows(spark, odd):
     assert language.identified(odd.limit(0)).count() == 0
 
 
+def test_stage_rejects_what_the_operator_calls_toxic(spark, odd, monkeypatch):
+    model = toxicity.Model(np.zeros(toxicity.CLASSES**3 + 1, np.float32), 1.0, float(np.log(0.4 / 0.6)))  # 0.4 for every text with a window
+    monkeypatch.setattr(toxicity, "fit", lambda *_: model)
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    scores = odd.select("doc_id", toxicity.scored(spark, model, F.col("text")).alias("score")).collect()
+    kept = [r["doc_id"] for r in toxicity.clean(odd, labels).collect()]
+    assert sorted(map(str, kept)) == sorted(str(r["doc_id"]) for r in scores if r["score"] < toxicity.THRESHOLD) and 3 in kept and 0 not in kept
+
+
 def test_held_out_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     found = QUERIES["op7_language_id"](spark, "/root/testdata/sf0.01").where("held_out and lang_pred <> 'und'").join(docs, "doc_id").toPandas()
