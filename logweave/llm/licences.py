@@ -1,17 +1,22 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences at line ends and after full stops; a sentence is normalised to lower-case ASCII
-letters and digits parted by single spaces. Known licence sentences have identifiers; the identifiers
-found in a text, in order, are matched against rules: a rule is an ordered list of identifiers, of which
-neighbours may be at most ``GAP`` sentences apart. All of it works inside a row on built-in functions; no
-row leaves its partition, so a text's length and the number of copies make no difference.
+A text is cut into pieces at line ends and after full stops; a piece is normalised to lower-case ASCII
+letters and digits parted by single spaces. A sentence ends at a full stop, a blank line or a list mark: pieces
+parted only by a single line end, or by an abbreviation's stop, belong to one sentence, so a wrapped text reads as an
+unwrapped one. Known licence sentences have identifiers and are one piece or several neighbouring ones of a
+sentence; the identifiers found in a text, in order, are matched against rules: a rule is an ordered list of
+identifiers, of which neighbours may be at most ``GAP`` sentences apart. Places are numbers of pieces. All of it works
+inside a row on built-in functions; no row leaves its partition, so a text's length and the number of copies make no
+difference.
 
 Defined cases: null and empty texts give no rows; a text that states a licence several times gives one row
-for it with the number of statements; repeated rows each give their rows; a null doc_id is carried.
+for it with the number of statements; a known sentence inside a longer known one is not counted; repeated rows each give their rows; a null doc_id is carried.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 GAP = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Identifiers of known sentences, and the sentences after normalisation (% stands for any words).
+#: Identifiers of known sentences, and the sentences after normalisation.
 SENTENCES = {
     "apache_ref": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0"],
     "apache_use": ["you may not use this file except in compliance with the license"],
@@ -71,8 +76,17 @@ RULES = {
     "Proprietary": [["reserved"]],
 }
 
-#: A sentence ends at a line end, or at a full stop, question or exclamation mark before white space.
+#: A piece ends at a line end, or at a full stop, question or exclamation mark before white space.
 CUT = r"[.!?]*[ \t]*[\r\n]+|[.!?]+[ \t]+"
+#: Marks of the end of a piece and of a sentence; they are taken out of texts first.
+PIECE, SENTENCE = "\x01", "\x02"
+#: Ends of pieces that end a sentence too: full stops but those of abbreviations, blank lines, line ends before a list mark.
+ENDS = rf"(?<!(?<![A-Za-z])(?i:v|vs|ver|vers|no|inc|ltd|co|corp|art|sec))[.!?]+[ \t]*[\r\n]*{PIECE}|(?:\n\r?\n|\r\r){PIECE}|{PIECE}(?=[^A-Za-z0-9{PIECE}]*{PIECE}|[ \t]*(?:[-+•]|\(?[A-Za-z0-9]{{1,2}}\))[ \t])"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def words_in(text: Column) -> Column:
@@ -80,26 +94,45 @@ def words_in(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")
 
 
+def sentences_in(text: Column) -> Column:
+    """The text's sentences in order: strings of a line end, number, colon and words for each piece, and a last line end."""
+    marked = F.regexp_replace(F.translate(text, PIECE + SENTENCE, "\x03\x03"), CUT, "$0" + PIECE)
+    marked = F.regexp_replace(marked, ENDS, SENTENCE + PIECE)
+    plain = F.regexp_replace(F.translate(marked, UPPER, LOWER), f"[^a-z0-9{PIECE}{SENTENCE}]+", " ")
+    pieces = F.transform(F.split(plain, PIECE), lambda p, i: F.concat(F.lit("\n"), i.cast("string"), F.lit(":"), F.regexp_replace(p, f"^ | (?={SENTENCE}?$)", "")))
+    return F.transform(F.split(F.array_join(pieces, ""), SENTENCE), lambda s: F.concat(s, F.lit("\n")))
+
+
 def identifiers(text: Column) -> Column:
-    """The text's known sentences in order: an array of (place of the sentence, identifier)."""
-    known = F.create_map(*[F.lit(x) for name, ways in SENTENCES.items() for way in ways for x in (way, name)])
-    sentences = F.transform(F.split(text, CUT), lambda s: F.trim(words_in(s)))
-    found = F.transform(sentences, lambda s, i: F.struct(i.alias("place"), F.try_element_at(known, s).alias("name")))
-    return F.filter(found, lambda x: x["name"].isNotNull())
+    """The text's known sentences in order: an array of (place and last of their pieces, number of the sentence they are in, identifier)."""
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(way).alias("words"), F.lit(r"\n[0-9]+:" + way.replace(" ", r"(?: |\n[0-9]+:)") + r"(?=\n)").alias("wrapped")) for name, ways in SENTENCES.items() for way in ways])
+    def number(line: Column) -> Column:
+        return F.substring_index(line, ":", 1).cast("int")
+
+    def outer(found: Column) -> Column:
+        return F.filter(found, lambda x: ~F.exists(found, lambda y: (y["place"] <= x["place"]) & (x["last"] <= y["last"]) & (y["last"] - y["place"] > x["last"] - x["place"])))
+
+    def in_sentence(s: Column, i: Column, here: Column) -> Column:
+        found = F.flatten(F.transform(here, lambda k: F.transform(F.regexp_extract_all(s, k["wrapped"], F.lit(0)), lambda m: F.struct(
+            number(F.substring_index(F.substring(m, 2, 1 << 30), "\n", 1)).alias("place"), number(F.substring_index(m, "\n", -1)).alias("last"), i.alias("sentence"), k["name"].alias("name"),
+        ))))
+        return let(found, lambda f: F.array_sort(outer(f)))
+
+    here = let(words_in(text), lambda words: F.filter(known, lambda k: F.contains(words, k["words"])))
+    return let(here, lambda here: F.when(F.size(here) > 0, F.flatten(F.transform(sentences_in(text), lambda s, i: in_sentence(s, i, here)))))
 
 
 def places(ids: Column, name: str) -> Column:
-    return F.transform(F.filter(ids, lambda x: x["name"] == name), lambda x: x["place"])
+    return F.filter(ids, lambda x: x["name"] == name)
 
 
 def followed(before: Column, later: Column, gap: int) -> Column:
-    """For each place in ``before``, the next place in ``later`` within the gap; places without one are left out."""
+    """For each of ``before``, the next of ``later`` within the gap; those without one are left out."""
 
     def step(p: Column) -> Column:
-        near = F.filter(later, lambda q: (q > p) & (q <= p + gap + 1))
-        return F.coalesce(F.array_min(near), F.lit(-1))
+        return F.array_min(F.filter(later, lambda q: (q["place"] > p["last"]) & (q["sentence"] <= p["sentence"] + gap + 1)))
 
-    return F.filter(F.transform(before, step), lambda p: p >= 0)
+    return F.filter(F.transform(before, step), lambda p: p.isNotNull())
 
 
 def statements(ids: Column, rule: list[str], gap: int) -> Column:
@@ -112,18 +145,24 @@ def statements(ids: Column, rule: list[str], gap: int) -> Column:
 
 def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """doc_id, licence, statements, first_sentence for each licence that a document states."""
-    # every known sentence has one of these words, so other texts need not be cut
-    hint = F.translate("text", UPPER, LOWER).rlike("licen|permission|copies|warrant|redistribut|compliance|obtain a copy|provided|domain|reserved|endorse|law or agreed")
-    texts = docs.where("text is not null").where(hint).select("doc_id", identifiers(F.col("text")).alias("ids")).where("size(ids) > 0")
+    # every known sentence has one of these words (not parted by a line end), so other texts need not be cut
+    hint = F.translate("text", UPPER, LOWER).rlike("licen|permission|copies|warrant|redistribut|compliance|provided|domain|reserved|endorse")
     rules = [(licence, rule) for licence, ways in RULES.items() for rule in ways]
-    found = F.array(*[F.struct(F.lit(licence).alias("licence"), statements(F.col("ids"), rule, gap).alias("n"), F.array_min(places(F.col("ids"), rule[0])).alias("first")) for licence, rule in rules])
-    rows = texts.select("doc_id", "ids", F.filter(found, lambda x: x["n"] > 0).alias("found"))
-    by_licence = F.transform(F.array_distinct(F.transform("found", lambda x: x["licence"])), lambda name: F.struct(
-        name.alias("licence"),
-        F.aggregate(F.filter("found", lambda x: x["licence"] == name), F.lit(0), lambda a, x: a + x["n"]).alias("n"),
-        F.array_min(F.transform(F.filter("found", lambda x: x["licence"] == name), lambda x: x["first"])).alias("first"),
-    ))
-    return rows.select("doc_id", F.explode(by_licence).alias("f")).select("doc_id", F.col("f.licence").alias("licence"), F.col("f.n").cast("long").alias("statements"), F.col("f.first").cast("long").alias("first_sentence"))
+
+    def stated(ids: Column) -> Column:
+        found = F.array(*[F.struct(F.lit(licence).alias("licence"), statements(ids, rule, gap).alias("n"), F.array_min(places(ids, rule[0]))["place"].alias("first")) for licence, rule in rules])
+        return let(F.filter(found, lambda x: x["n"] > 0), by_licence)
+
+    def by_licence(found: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(found, lambda x: x["licence"])), lambda name: F.struct(
+            name.alias("licence"),
+            F.aggregate(F.filter(found, lambda x: x["licence"] == name), F.lit(0), lambda a, x: a + x["n"]).alias("n"),
+            F.array_min(F.transform(F.filter(found, lambda x: x["licence"] == name), lambda x: x["first"])).alias("first"),
+        ))
+
+    # one expression, so that no rule of the optimizer makes copies of its parts
+    rows = docs.where("text is not null").where(hint).select("doc_id", F.explode(let(identifiers(F.col("text")), lambda ids: F.when(F.size(ids) > 0, stated(ids)))).alias("f"))
+    return rows.select("doc_id", F.col("f.licence").alias("licence"), F.col("f.n").cast("long").alias("statements"), F.col("f.first").cast("long").alias("first_sentence"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,75 @@ def test_licence_rules(spark):
     assert got == {(0, "MIT", 1, 0), (2, "CC-BY-NC-4.0", 1, 0), (2, "MIT", 2, 1)}
 
 
+def test_licences_in_wrapped_texts(spark):
+    mit = """MIT License
+
+Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    gpl = """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+    apache = """
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n  License, v. 2.0. If a copy of the MPL was not distributed with this\n  file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    commented = "".join(f" * {line}\r\n" for line in gpl.strip().splitlines())
+    parted = ["All rights\n\nreserved.", "All rights.\nReserved", "All rights\n- reserved", "All rights\n \t\nreserved", "All rights\r\n\r\nreserved"]
+    texts = [mit, gpl, apache, bsd, mpl, mpl.replace("\n ", ""), commented, "This project is\nlicensed under the MIT license.", "x\x01y\x02\nAll rights\nreserved", *parted, mit.split("\n\n", 2)[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["licence"], r["statements"], r["first_sentence"]) for r in licences.scan(docs).collect()}
+    want = {(0, "MIT", 2, 0), (1, "GPL-3.0", 1, 1), (2, "Apache-2.0", 2, 1), (3, "BSD-3-Clause", 1, 0), (3, "BSD-2-Clause", 1, 0), (4, "MPL-2.0", 1, 0), (5, "MPL-2.0", 1, 0), (6, "GPL-3.0", 1, 0)}
+    assert got == want | {(7, "MIT", 1, 0), (8, "Proprietary", 1, 1), (14, "MIT", 1, 0)}
+
+
 def test_pages_hold_out_and_odd_rows(spark):
     model = pages.fit()
     held = pages.training_pages(120, seed=77)
