@@ -38,8 +38,7 @@ class Engine:
         bad = [{"index": r["index"], "reason": r["reason"]} for r in rejected(checked).orderBy("index").collect()]
         good = accepted(checked).count()
         if good:
-            batch = self.store.commits().agg(F.max("batch")).first()[0]
-            self.store.append(0 if batch is None else batch + 1, accepted(checked))
+            self.store.append(self.store.next_batch(), accepted(checked))
         checked.unpersist()
         return {"accepted": good, "rejected": bad}
 
@@ -60,6 +59,6 @@ class Engine:
         return {"buckets": [{"start": r["start"], "group": r["group"], "count": aggregates.safe_count(r["count"])} for r in rows]}
 
     def retain(self, now: dt.datetime | None = None) -> None:
-        batch = self.store.commits().agg(F.max("batch")).first()[0]
-        if batch is not None:
-            self.store.retain(batch + 1, (now or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=None), self.config.retention_days)
+        batch = self.store.next_batch()
+        if batch:
+            self.store.retain(batch, (now or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=None), self.config.retention_days)

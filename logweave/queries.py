@@ -154,17 +154,30 @@ register(
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute counts of ``events`` read as a stream, without a watermark: late rows count."""
+    import atexit
+    import shutil
+    import tempfile
     import uuid
 
     path = f"{sf_dir}/events.parquet"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-logweave-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    place, written = f"{shared}/logweave/{uuid.uuid4().hex}", []
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     level = F.when(F.col("event_type") == "error", "error").otherwise("info")
-    name = f"stream_{uuid.uuid4().hex}"
     counts = minute_counts(stream.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("service"), level.alias("level")))
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/counts/{number}")
+        written.append(number)
+
+    # each batch holds all counts so far, the last one those of the whole stream
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(counts.schema).parquet(f"{place}/counts/{written[-1]}") if written else spark.createDataFrame([], counts.schema)
+    return found.withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm"))
 
 
 register(

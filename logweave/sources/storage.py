@@ -1,8 +1,10 @@
 """Logs and their minute rollup as Parquet, published batch by batch.
 
 A batch writes its rows, then its rollup, then one row in ``commits``; readers join with the commits, so a
-batch that broke off is not seen and can be written again under its own id. Retention writes a batch
-that replaces those before it.
+batch that broke off is not seen and can be written again. Batch ids are one sequence of the store, which orders
+batches and retention alike; a writer that may replay a batch names it by itself and the writer's own number, and both
+stand in the commit, also after retention. Retention writes a batch that replaces those before it. One process writes
+at a time.
 """
 
 from __future__ import annotations
@@ -16,23 +18,33 @@ from pyspark.sql.window import Window
 from logweave.operators.aggregates import minute_deltas
 from logweave.schema import month_of
 
-COMMITS = "batch bigint, replaces boolean, next_id bigint"
+COMMITS = "batch bigint, replaces boolean, next_id bigint, writer string, number bigint"
 
 
 class LogStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def every_commit(self) -> DataFrame:
+        """One row for each batch that was ever published."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        if not self.files(place).exists(place):
+            return self.spark.createDataFrame([], COMMITS)
+        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
+
+    def files(self, place):
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def commits(self) -> DataFrame:
         """One row for each published batch that no later one replaces."""
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            return self.spark.createDataFrame([], COMMITS)
-        every = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
+        every = self.every_commit()
         last = every.where("replaces").agg(F.max("batch").alias("last"))
         return every.join(F.broadcast(last), F.col("last").isNull() | (F.col("batch") >= F.col("last"))).drop("last")
 
+    def next_batch(self) -> int:
+        last = self.every_commit().agg(F.max("batch")).first()[0]
+        return 0 if last is None else last + 1
+
     def published(self, table: str) -> DataFrame:
         batches = [r["batch"] for r in self.commits().select("batch").distinct().collect()]
         if not batches:
@@ -49,9 +61,14 @@ class LogStore:
     def next_id(self) -> int:
         return self.commits().agg(F.max("next_id")).first()[0] or 1
 
-    def append(self, batch: int, rows: DataFrame) -> None:
+    def append_once(self, writer: str, number: int, rows: DataFrame) -> None:
+        """Publish accepted rows as the store's next batch, unless the writer's batch of this number was published before."""
+        if self.every_commit().where((F.col("writer") == writer) & (F.col("number") == number)).isEmpty():
+            self.append(self.next_batch(), rows, writer, number)
+
+    def append(self, batch: int, rows: DataFrame, writer: str | None = None, number: int | None = None) -> None:
         """Publish accepted rows (batch, index order); a batch id that is published already is left alone."""
-        if not self.commits().where(F.col("batch") == batch).isEmpty():
+        if not self.every_commit().where(F.col("batch") == batch).isEmpty():
             return
         first = self.next_id()
         rows = rows.drop("month").withColumn("ingested_at", F.current_timestamp())
@@ -60,16 +77,19 @@ class LogStore:
         base = sizes.select("of", (F.sum("k").over(Window.orderBy("of")) - F.col("k")).alias("base"))
         place = F.row_number().over(Window.partitionBy("batch").orderBy("index")) - 1
         numbered = rows.withColumn("place", place).join(base, F.col("batch") == F.col("of")).withColumn("id", F.col("base") + F.col("place") + first)
-        self.write(batch, numbered.drop("batch", "of", "base", "place", "index"), replaces=False, first=first)
+        self.write(batch, numbered.drop("batch", "of", "base", "place", "index"), replaces=False, first=first, writer=writer, number=number)
 
-    def write(self, batch: int, rows: DataFrame, replaces: bool, first: int) -> None:
+    def write(self, batch: int, rows: DataFrame, replaces: bool, first: int, writer: str | None = None, number: int | None = None) -> None:
+        for table in ("logs", "rollup"):  # what a batch of this id that broke off has left
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/batch={batch}")
+            self.files(place).delete(place, True)
         out = rows.withColumn("month", month_of(F.col("timestamp"))).withColumn("batch", F.lit(batch).cast("bigint"))
         mode = "overwrite"
         out.sortWithinPartitions("month", "timestamp", "id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month").parquet(f"{self.path}/logs")
         stored = self.spark.read.schema(out.schema).parquet(f"{self.path}/logs").where(F.col("batch") == batch)
         minute_deltas(stored).withColumn("batch", F.lit(batch).cast("bigint")).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/rollup")
         last = stored.agg(F.max("id")).first()[0]
-        self.spark.createDataFrame([(batch, replaces, max(first, (last or 0) + 1))], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.spark.createDataFrame([(batch, replaces, max(first, (last or 0) + 1), writer, number)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def retain(self, batch: int, now: dt.datetime, days: int) -> None:
         """Keep rows of the last ``days``: rows and rollup change in one commit, the cut minute is counted anew."""

@@ -17,9 +17,11 @@ def ingest_stream(spark: SparkSession, source: str, store: LogStore, checkpoint:
     bodies = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", max_files).load(source)
 
     def commit(batch: DataFrame, number: int) -> None:
+        # the id of the checkpoint: numbers of other streams into the store, and of other checkpoints, are not its own
+        writer = spark.read.text(f"{checkpoint}/metadata").first()[0]
         named = batch.select(F.xxhash64("value").alias("batch"), F.col("value").alias("body"))
         now = dt.datetime.now(dt.timezone.utc)
-        store.append(number, accepted(validated(named, now, max_age_days)))
+        store.append_once(writer, number, accepted(validated(named, now, max_age_days)))
 
     return bodies.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

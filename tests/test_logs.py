@@ -166,3 +166,28 @@ def test_filters_reach_the_reader(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(timestamp" in plan and "2024_02" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert rejected(validated(spark.createDataFrame([], "batch long, body string"), NOW)).count() == 0
+
+
+def test_streams_and_engine_share_a_store(spark, tmp_path):
+    engine = Engine(spark, EngineConfig(warehouse=str(tmp_path / "w")))
+    now = dt.datetime.now(dt.timezone.utc)
+    body = lambda name: json.dumps({"logs": [entry(service=name, timestamp=f"{now:%Y-%m-%dT%H:%M:%S}.000Z")]})
+    seen = lambda: sorted(r["service"] for r in engine.store.logs().select("service").collect())
+
+    def stream(name, *services):
+        (tmp_path / name).mkdir(exist_ok=True)
+        for s in services:
+            (tmp_path / name / f"{s}.json").write_text(body(s))
+        ingest_stream(spark, str(tmp_path / name), engine.store, str(tmp_path / f"{name}_checkpoint")).awaitTermination()
+
+    engine.ingest(body("engine"))
+    stream("one", "a")
+    stream("two", "b")
+    assert seen() == ["a", "b", "engine"]
+    engine.retain(now)
+    stream("one", "c")
+    engine.ingest(body("late"))
+    assert seen() == ["a", "b", "c", "engine", "late"]
+    writer = engine.store.every_commit().where("writer is not null").orderBy("batch").first()
+    engine.store.append_once(writer["writer"], writer["number"], None)  # a replay after retention
+    assert seen() == ["a", "b", "c", "engine", "late"]
