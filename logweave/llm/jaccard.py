@@ -172,7 +172,9 @@ def first_pairs(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     crossed = texts_of(docs).mapInPandas(cross, "x long, y long, pair boolean")
     met = crossed.repartition("x", "pair").sortWithinPartitions("pair", "x", "y").mapInPandas(meet, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # b stays a pivot, which is sent once a block; a node is the member in no more pairs than it has regions
+    once = met.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("b").alias("b"))
+    return once.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b")
 
 
 def regions(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -355,26 +357,57 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
     return components(rest_of(docs, nodes, every.join(open_labels, "label", "left_semi").select("node"), edges, labels, size, percent))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs."""
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node, label (the least node of the group) and component_id (its smallest doc_id) for every row of docs."""
     rows = keep(described(docs, size), "described")
     nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = keep(nodes, "nodes")
     named = keep(nodes.select("node", "doc").join(links(docs, nodes, size, percent), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = named.groupBy("label").agg(F.min("doc").alias("component"))
-    named = named.join(least, "label").select(F.col("node").alias("key"), "component")
+    named = named.join(least, "label").select(F.col("node").alias("key"), "label", "component")
     # documents without words each have a key of their own, else all would meet in one task
     keyed = rows.withColumn("key", F.coalesce("node", F.xxhash64("doc_id", "n_shingles")))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return keyed.join(named, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return keyed.join(named, "key", "left").select("doc_id", "n_shingles", "node", "label", own.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs."""
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates, that of the smallest doc_id; rows with a null id stay."""
-    groups = near_duplicates(docs, size, percent).where("doc_id is not null")
-    spare = keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("spare")).distinct(), "spare")
-    few = spare.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(spare) if few else spare, docs["doc_id"] == spare["spare"], "left_anti")
+    """One row of each group of near duplicates, one of the smallest doc_id; rows with a null id or without words stay.
+
+    Rows are told apart by doc_id where it is theirs alone, else by doc_id and node; of rows that share both, one of the
+    least text stays.
+    """
+    groups = keep(grouped(docs, size, percent).where("doc_id is not null").select("doc_id", "node", "label"), "groups")
+    repeated = keep(groups.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("rows")).where("rows > 1").select("again"), "repeated")
+    worded = groups.where("node is not null")
+    first = worded.groupBy(F.col("label").alias("of")).agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    spare = worded.join(first, F.col("label") == F.col("of")).where(F.struct("doc_id", "node") != F.col("first"))
+    spare = keep(spare.select(F.col("doc_id").alias("spare"), F.col("node").alias("spare_node")).distinct(), "spare")
+    n_spare, n_repeated = spare.count(), repeated.count()
+
+    def few(ids: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+    if not n_repeated:
+        return docs.join(few(spare, n_spare), docs["doc_id"] == spare["spare"], "left_anti")
+    ids = few(spare.join(repeated, F.col("spare") == F.col("again"), "left_anti").union(repeated.select("again", F.lit(0))).select("spare").distinct(), n_spare + n_repeated)
+    single = docs.join(ids, docs["doc_id"] == ids["spare"], "left_anti")
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t or "", size) for t in texts)
+        return pd.Series([node_of(x) if len(x) else None for x in sets], dtype="Int64")
+
+    rows = docs.join(few(repeated, n_repeated), docs["doc_id"] == repeated["again"], "left_semi")
+    rows = keep(rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("of_text"), node(F.col("text")).alias("set")), "repeated_rows")
+    mine = rows.where("set is not null").join(few(spare, n_spare), (F.col("id") == F.col("spare")) & (F.col("set") == F.col("spare_node")), "left_anti")
+    chosen = mine.groupBy("id", "set").agg(F.min_by("row", "of_text").alias("row")).select("row.*")
+    return single.unionByName(chosen).unionByName(rows.where("set is null").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,28 @@ def test_join_on_odd_rows(odd):
     assert jaccard.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, odd):
+    words = [f"w{i}" for i in range(60)]
+    base, near, other = " ".join(words), " ".join([*words[:59], "changed"]), "an unlike text that nothing else repeats anywhere here"
+    texts = [(1, base), (1, base), (1, base.upper()), (2, near), (2, other), (3, near), (3, near), (4, other + " more"), (5, None), (5, ""), (5, None), (None, base), (6, "alone"), (1, "second text of one")]
+    kept = jaccard.keep_one(docs_frame(spark, [(i, t, "s") for i, t in texts]))
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()), key=str)
+    want = [(1, base), (2, other), (5, ""), (5, ""), (5, ""), (None, base), (6, "alone"), (1, "second text of one")]
+    assert got == sorted(want, key=str) and kept.columns == odd.columns
+    assert jaccard.keep_one(odd).where("doc_id = 0").count() == 1
+    unlike = docs_frame(spark, [(i, f"{t} text {i}", "s") for i, t in enumerate("abc")])
+    assert jaccard.keep_one(unlike).count() == 3
+
+
+def test_pivots_of_first_pairs_are_sent_once(spark):
+    words = [f"w{i}" for i in range(120)]
+    docs = docs_frame(spark, [(i, " ".join([*words[:60], f"own{i}", *words[61:]]), "s") for i in range(400)]).repartition(8)
+    pairs = jaccard.first_pairs(docs, 3, 90)
+    most = max(len(jaccard.Rings(90).regions(jaccard.shingle_set(r["text"], 3))) for r in docs.limit(3).collect())
+    assert pairs.count() == pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() > 300
+    assert pairs.groupBy("a").count().agg(F.max("count")).first()[0] <= 2 * most
+
+
 def test_packing_cuts_every_id_once(odd):
     from tokenizers import Tokenizer
 
