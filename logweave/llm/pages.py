@@ -34,9 +34,11 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-HIDDEN = {"script", "style", "template", "noscript", "head", "svg", "iframe", "object", "textarea", "select", "math", "canvas", "datalist"}
+HIDDEN = {"script", "style", "template", "noscript", "head", "svg", "iframe", "object", "textarea", "select", "annotation", "annotation-xml", "canvas", "datalist"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that a head holds; any other ends an open head.
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements that end an open p, and elements that end an open one of their own kind.
 CLOSES_P = BLOCKS - {"body", "html", "head", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "title", "frameset"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -84,7 +86,11 @@ def blocks_of(html: str) -> list[tuple[str, tuple, float, int]]:
         closing, tag, rest = m.group(1), m.group(2), m.group(3)
         if tag is None:
             piece = m.group(0)
-            if piece.startswith("<") and len(piece) > 1 or hidden:
+            if piece.startswith("<") and len(piece) > 1:
+                continue
+            if stack and stack[-1][0] == "head" and piece.strip(" \t\n\r\f"):
+                leave(len(stack) - 1)
+            if hidden:
                 continue
             if current is None:
                 if piece.isspace():
@@ -105,6 +111,8 @@ def blocks_of(html: str) -> list[tuple[str, tuple, float, int]]:
             if tag in BLOCKS:
                 current = None
             continue
+        if stack and stack[-1][0] == "head" and tag not in HEAD:
+            leave(len(stack) - 1)
         if tag in ("br", "wbr", "img", "input", "button"):
             if current is not None and tag == "br":
                 current.text.append(" ")

@@ -348,6 +348,18 @@ def test_pages_hold_out_and_odd_rows(spark):
     assert got[1] == ("", 0) and got[2] == ("", 0) and got[3] == (want, len(want)) and len(got) == 5
 
 
+def test_pages_without_head_end_and_body():
+    texts = lambda html: [b[0] for b in pages.blocks_of(html)]
+    head = "<html><head><meta charset=utf-8><title>x</title><style>p {}</style><template><p>no</p></template><script>no()</script>"
+    assert texts(head + "<p>One <b>text</b>.<p>Two.") == ["One text.", "Two."]
+    assert texts(head + "\n bare text<p>Two.") == ["bare text", "Two."]
+    assert texts(head + "<img src=a>\n<article><p>One.</article>") == ["One."]
+    assert texts(head + "</head><body><p>One.</body>") == texts(head + "<body><p>One.") == ["One."]
+    assert texts("<head>\n<!-- c --><title>only</title>\n") == []
+    formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow><annotation encoding="application/x-tex">x=2</annotation></semantics></math>'
+    assert texts(f"<article><p>We have {formula} here.<p>End.</article>") == ["We have x=2 here.", "End."]
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
