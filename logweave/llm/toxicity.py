@@ -1,7 +1,8 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel.
 
 A sentence is as toxic as its worst window. Windows are white-space chunks in lower case, trimmed of
-punctuation, and runs of single characters joined ("i d i o t"). The kernel of two windows sums, over
+punctuation, runs of single characters joined ("i d i o t"), every pair of neighbouring chunks, and longer runs of chunks
+that are short together (at most LINKED characters), in which blanks are gaps ("st up id"). The kernel of two windows sums, over
 all subsequences of three characters with at most SPAN characters from first to last, DECAY to the power
 of both lengths; word ends count as characters, other signs only widen gaps, so gapped and padded
 spellings stay near the plain one. The kernel is scaled by each window's own norm (taken over
@@ -40,7 +41,9 @@ CLASSES = 64
 PIECE, OVERLAP = 24, 8
 THRESHOLD = 0.3
 PENALTY = 10.0
-CHUNK_CACHE = 300_000
+#: Characters, with one blank between chunks, of a run of three chunks or more.
+LINKED = 12
+CHUNK_CACHE, RUN_CACHE = 300_000, 300_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’|&$*-_#~`"
 SPACED = re.compile(r"(?<!\w)\w(?:[\s.*_-]{1,2}\w){2,}(?!\w)")
 NOTHING = -9.0
@@ -189,33 +192,54 @@ def spaced_windows(text: str) -> list[str]:
     return ["".join(c for c in m if c.isalnum()) for m in SPACED.findall(text)]
 
 
+def runs(chunks: list[str]) -> set[str]:
+    """Neighbouring chunks joined by blanks, of lower-case chunks: all pairs, and longer runs of LINKED characters at most."""
+    words = [w for c in chunks if (w := c.strip(PUNCTUATION))]
+    out, sizes = set(map(" ".join, zip(words, words[1:]))), list(map(len, words))
+    for i, three in enumerate(map(sum, zip(sizes, sizes[1:], sizes[2:]))):
+        if three + 2 <= LINKED:
+            end, size = i + 3, three + 2
+            while size <= LINKED:
+                out.add(" ".join(words[i:end]))
+                if end == len(words):
+                    break
+                size += 1 + sizes[end]
+                end += 1
+    return out
+
+
 def text_windows(text: str) -> list[str]:
     """The distinct windows of a text."""
-    out = {w for c in set(text.split()) for w in chunk_windows(c)}
+    chunks = text.lower().split()
+    out = {w for c in set(chunks) | runs(chunks) for w in chunk_windows(c)}
     return sorted(out | {p for w in spaced_windows(text) for p in chunk_windows(w)})
 
 
 class Model:
     def __init__(self, table: np.ndarray, slope: float, offset: float):
-        self.table, self.slope, self.offset, self.known = table, slope, offset, {}
+        self.table, self.slope, self.offset, self.known, self.linked = table, slope, offset, {}, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "linked": {}}
 
-    def learn(self, chunks: list[str]) -> None:
+    def learned(self, chunks: list[str]) -> dict[str, float]:
         parts = [chunk_windows(c) for c in chunks]
         windows = list({w for p in parts for w in p})
         value = dict(zip(windows, (margins(windows, self.table[:-1]) + self.table[-1]).tolist()))
-        self.known |= {c: max(map(value.__getitem__, own), default=NOTHING) for c, own in zip(chunks, parts)}
+        return {c: max(map(value.__getitem__, own), default=NOTHING) for c, own in zip(chunks, parts)}
+
+    def worst_of(self, split: list[set[str]], known: dict[str, float], most: int) -> np.ndarray:
+        every = set().union(*split)
+        if len(known) + len(every - known.keys()) > most:
+            known.clear()
+        known |= self.learned(list(every - known.keys()))
+        return np.array([max(map(known.__getitem__, s), default=NOTHING) for s in split])
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The margin of each text's worst window."""
-        split = [set(t.lower().split()).union(spaced_windows(t)) for t in texts]
-        every = set().union(*split)
-        if len(self.known) + len(every - self.known.keys()) > CHUNK_CACHE:
-            self.known = {}
-        self.learn(list(every - self.known.keys()))
-        return np.array([max(map(self.known.__getitem__, s), default=NOTHING) for s in split])
+        split = [t.lower().split() for t in texts]
+        single = self.worst_of([set(c).union(spaced_windows(t)) for c, t in zip(split, texts)], self.known, CHUNK_CACHE)
+        return np.maximum(single, self.worst_of([runs(c) for c in split], self.linked, RUN_CACHE))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         worst = self.worst(texts)

@@ -226,6 +226,16 @@ def test_kernel_features_fold_exactly():
     assert across[0, 0] > across[1, 0] > across[2, 0]
 
 
+def test_gapped_words_are_one_window():
+    for text in ("you st up id", "an i d iot there", "sc um", "so I - d - i - o - t", "plain words"):
+        assert {"you st up id": "st up id", "an i d iot there": "i d iot", "sc um": "sc um", "so I - d - i - o - t": "i d i o t", "plain words": "plain words"}[text] in toxicity.text_windows(text)
+    toxic, clean = ["stupid", "idiot", "scum"] * 5, ["house", "garden", "school", "number", "the", "and", "water", "plan of", "in it"] * 3
+    table = toxicity.fit_machine(toxic, clean, ["stupid", "idiot", "scum", "house", "water"])
+    gapped, plain = toxicity.Model(table, 1.0, 0.0).worst(["the st up id house", "the water in a garden"])
+    single = max(toxicity.margins(["the", "st", "up", "id", "house"], table[:-1]) + table[-1])
+    assert gapped > max(plain, single)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
