@@ -1,28 +1,31 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel.
 
-A sentence is as toxic as its worst window. Windows are white-space chunks in lower case, trimmed of
-punctuation, runs of single characters joined ("i d i o t"), every pair of neighbouring chunks, and longer runs of chunks
-that are short together (at most LINKED characters), in which blanks are gaps ("st up id"). The kernel of two windows sums, over
-all subsequences of three characters with at most SPAN characters from first to last, DECAY to the power
-of both lengths; word ends count as characters, other signs only widen gaps, so gapped and padded
-spellings stay near the plain one. The kernel is scaled by each window's own norm (taken over
-occurrences). A Nyström map over landmark windows makes the machine linear. Because the subsequence
-features can be listed, the fitted sum over landmarks folds into one weight for each feature, and
-scoring a window costs one look-up for each of its subsequences.
+A text is its letters and digits in lower case; whatever stands between them is one blank, a character like others.
+A sentence is as toxic as its worst window, and a document as its worst sentence. Windows are runs of neighbouring
+words with the blanks around them: every word, every pair of at most PIECE characters, and longer runs of at most
+LINKED, so insults parted by blanks or signs ("st up id", "i-d-i-o-t") are windows too; runs of single characters are
+also joined to a word; longer words are cut into overlapping windows of PIECE characters. The kernel of two windows
+sums, over all subsequences of three characters with less than SPAN characters from first to last, DECAY to the power
+of both lengths, so gapped spellings and ones with inserted characters stay near the plain one. The kernel is scaled by
+each window's own norm (taken over occurrences). A Nyström map over landmark windows makes the machine linear. Because
+the subsequence features can be listed, the fitted sum over landmarks folds into one weight for each feature: each
+character of a text gets the weights of the subsequences that start there, by their span, and sums of these along the
+text give all its windows at once.
 
 Only documents have labels, so sentences are labelled in rounds: each toxic document gives the window that the machine
-(at first: the log odds of subsequences) finds worst as a toxic example; clean documents give their
-worst windows and a sample of others. A logistic curve, weighted to the true share of labels, turns the
+finds worst as a toxic example (at first: the word that toxic documents hold oftenest beyond their share); clean
+documents give their worst windows and a sample of others. A logistic curve, weighted to the true share of labels, turns the
 worst window's margin into a score. The sample of labelled rows is bounded by ``rows_per_class``.
 
 Defined cases: texts that are null or have no window score 0; without labels of both classes every score
 is 0; labels repeated for an id count once, as toxic if any row says so; null labels are left out;
-characters are told apart by CLASSES classes, so some rare letters share one.
+a to z and the letters of Latin-1 have a class each, all others are hashed to CLASSES classes; a text of any length is
+scored whole, in blocks of BLOCK characters.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,87 +37,167 @@ from logweave.llm.common import hash_share, id_crc, keep, slices
 
 ROWS_PER_CLASS = 4000
 LANDMARKS = 160
-ROUNDS = 3
+ROUNDS = 4
+#: Words that the first labelling starts from.
+TELLING = 5000
 DECAY = 0.7
 SPAN = 8
-CLASSES = 64
-PIECE, OVERLAP = 24, 8
+CLASSES, BLANK = 64, 31
+PIECE, OVERLAP, LINKED = 24, 8, 14
+#: Characters whose subsequences are summed at once, and characters of text that a task turns into classes at once.
+BLOCK, SLICE = 1 << 17, 1 << 19
 THRESHOLD = 0.3
-PENALTY = 10.0
-#: Characters, with one blank between chunks, of a run of three chunks or more.
-LINKED = 12
-CHUNK_CACHE, RUN_CACHE = 300_000, 300_000
-PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’|&$*-_#~`"
-SPACED = re.compile(r"(?<!\w)\w(?:[\s.*_-]{1,2}\w){2,}(?!\w)")
+PENALTY = 1.0
 NOTHING = -9.0
+FOUND = "toxic int, first binary, second binary, other binary, margin double"
 
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 WEIGHTS = np.array([DECAY ** (b + 1) for _, b in OFFSETS], np.float32)
-_class = np.zeros(0x10000, np.int32)
+_class = np.full(0x10000, BLANK, np.uint8)
 
 
 def _fill_classes() -> None:
     for i in range(len(_class)):
-        c = chr(i)
-        _class[i] = (i - 96 if "a" <= c <= "z" else 27 + i % 3 if c.isdigit() else 32 + i % 32) if c.isalnum() else 0
-    _class[ord("\x02")], _class[ord("\x03")] = 30, 31  # the ends of a window
+        if (c := chr(i)).isalnum():
+            _class[i] = i - 96 if "a" <= c <= "z" else 27 + i % 3 if c.isdigit() else 32 + i % 32
 
 
 _fill_classes()
-_codes = np.arange(CLASSES**3)
-#: Codes of three characters, none of them a gap.
-_real = (_codes % CLASSES > 0) & (_codes // CLASSES % CLASSES > 0) & (_codes // CLASSES**2 > 0)
 
 
-def characters(windows: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places of windows, classes of their characters in rows, 0 where a window has ended), windows of like length together."""
-    marked = [f"\x02{w}\x03" for w in windows]
-    order = sorted(range(len(marked)), key=lambda i: len(marked[i]))
-    for at in range(0, len(order), most):
-        places = order[at : at + most]
-        lengths = np.array([len(marked[i]) for i in places])
-        chars = np.zeros((len(places), lengths.max()), np.int32)
-        flat = np.frombuffer("".join(marked[i] for i in places).encode("utf-32-le"), "<u4")
-        chars[np.arange(lengths.max()) < lengths[:, None]] = _class[np.minimum(flat, 0xFFFF)]
-        yield np.array(places), chars
+#: The norm of windows of each length: the root of the sum of all subsequences' squared weights.
+NORM = np.sqrt([max(1e-9, sum((n - b) * DECAY ** (2 * b + 2) for _, b in OFFSETS if b < n)) for n in range(PIECE + 3)])
+
+
+def classes(text: str) -> np.ndarray:
+    """Classes of a text's characters."""
+    parts = (text[i : i + SLICE].encode("utf-32-le", "surrogatepass") for i in range(0, len(text), SLICE))
+    return np.concatenate([np.empty(0, np.uint8), *(_class[np.minimum(np.frombuffer(p, "<u4"), 0xFFFF)] for p in parts)])
+
+
+class Windows:
+    """The windows of texts: classes of all characters, and kinds of windows, each (starts, ends, texts) in order of starts."""
+
+    def __init__(self, texts: list[str]):
+        lowered = [t.lower() for t in texts]
+        x = classes("\n" + "\n".join(lowered) + "\n")
+        live = np.flatnonzero((x != BLANK) | np.concatenate([[True], x[:-1] != BLANK]))
+        x = x[live]
+        blank = np.flatnonzero(x == BLANK)
+        starts, ends = blank[:-1], blank[1:] + 1
+        borders = np.cumsum([1] + [len(t) + 1 for t in lowered])
+        text = np.searchsorted(borders, live[starts + 1], "right") - 1
+        long = ends - starts > PIECE + 2
+        self.kinds = [(starts[~long], ends[~long], text[~long])] + self.pieces(starts[long], ends[long], text[long])
+        run = 2
+        while run <= LINKED:
+            s, e, t = starts[: 1 - run], ends[run - 1 :], text[: 1 - run]
+            near = (e - s <= (PIECE if run == 2 else LINKED) + 2) & (t == text[run - 1 :])
+            if not near.any() and run > 2:
+                break
+            self.kinds.append((s[near], e[near], t[near]))
+            run += 1
+        self.classes = x
+        self.join_singles(starts[ends - starts == 3] + 1, text[ends - starts == 3])
+
+    @staticmethod
+    def pieces(starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> list[tuple]:
+        """Overlapping windows of stretches of any length."""
+        if not len(starts):
+            return []
+        n = np.maximum(1, -(-(ends - starts - 2 - OVERLAP) // (PIECE - OVERLAP)))
+        first = np.repeat(starts, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * (PIECE - OVERLAP)
+        return [(first, np.minimum(first + PIECE + 2, np.repeat(ends, n)), np.repeat(text, n))]
+
+    def join_singles(self, at: np.ndarray, text: np.ndarray) -> None:
+        """Runs of three single characters or more are windows of one word as well, behind all the others."""
+        if len(at) < 3:
+            return
+        new = np.concatenate([[True], (np.diff(at) != 2) | (np.diff(text) != 0)])
+        first, size = np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(at)))
+        first, size = first[size > 2], size[size > 2]
+        if not len(first):
+            return
+        # each joined word with a blank on either side
+        places = np.concatenate([[0], np.cumsum(size + 2)])
+        joined = np.full(places[-1], BLANK, np.uint8)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        joined[np.repeat(places[:-1], size) + 1 + inside] = self.classes[at[np.repeat(first, size) + inside]]
+        base = len(self.classes)
+        self.classes = np.concatenate([self.classes, joined])
+        self.kinds += self.pieces(base + places[:-1], base + places[1:], text[first])
+
+    def margins(self, table: np.ndarray) -> list[np.ndarray]:
+        """For each kind, the sum of each window's feature weights in ``table``, over its norm."""
+        out = [np.empty(len(starts)) for starts, _, _ in self.kinds]
+        for a in range(0, len(self.classes), BLOCK):
+            within = [slice(*np.searchsorted(starts, (a, a + BLOCK))) for starts, _, _ in self.kinds]
+            sums = along(self.classes[a : a + BLOCK + PIECE + 2].astype(np.int32), table)
+            for (starts, ends, _), i, values in zip(self.kinds, within, out):
+                s, e = starts[i] - a, ends[i] - a
+                values[i] = sums.of(s, e) / NORM[e - s]
+        return out
+
+    def words(self) -> set[bytes]:
+        """The classes of the distinct words of at most PIECE characters."""
+        whole, (starts, ends, _) = self.classes.tobytes(), self.kinds[0]
+        return {whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())}
+
+    def cut(self, kind: int, i: int) -> bytes:
+        """The classes of a window."""
+        starts, ends, _ = self.kinds[kind]
+        return self.classes[starts[i] : ends[i]].tobytes()
+
+
+class along:
+    """Sums of the weights of all subsequences within windows of a row of classes."""
+
+    def __init__(self, x: np.ndarray, table: np.ndarray):
+        n = len(x)
+        by_span = np.zeros((SPAN, n + 1))
+        for a in range(1, min(SPAN - 1, n - 1)):
+            pairs = (x[: n - a] << 12) | (x[a:] << 6)
+            for b in range(a + 1, min(SPAN, n)):
+                by_span[b, 1 : n - b + 1] += table.take(pairs[: n - b] | x[b:], mode="clip")
+        by_span *= DECAY ** (np.arange(SPAN)[:, None] + 1)
+        self.before = np.cumsum(by_span, 1)  # of the subsequences of a span that start before a place
+        self.all = self.before.sum(0)
+        self.ended = np.zeros(n + 1)  # of the subsequences that end before a place
+        for b in range(2, min(SPAN, n)):
+            self.ended[b:] += self.before[b, : n + 1 - b]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = self.ended[ends] - self.all[starts]
+        short = np.flatnonzero(ends - starts < SPAN - 1)
+        s, e = starts[short], ends[short]
+        total[short] = sum(self.before[b, np.maximum(e - b, s)] for b in range(2, SPAN)) - self.all[s]
+        return total
+
 
+def encoded(word: str) -> bytes:
+    """The window of a single text, whatever it holds."""
+    return np.concatenate([[np.uint8(BLANK)], classes(word.lower()), [np.uint8(BLANK)]]).astype(np.uint8).tobytes()
 
-def features(windows: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+def features(windows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places of windows, codes, weights) of all subsequences, for windows of like length; weight 0: none."""
-    for places, chars in characters(windows, 8000):
-        n = chars.shape[1]
-        chars = np.pad(chars, ((0, 0), (0, SPAN)))
+    order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
+    for at in range(0, len(order), 4000):
+        places = order[at : at + 4000]
+        lengths = np.array([len(windows[i]) for i in places])
+        n = int(lengths.max())
+        chars = np.zeros((len(places), n + SPAN), np.int32)
+        chars[:, :n][np.arange(n) < lengths[:, None]] = np.frombuffer(b"".join(windows[i] for i in places), np.uint8)
         codes = np.empty((len(places), len(OFFSETS), n), np.int32)
         weights = np.empty(codes.shape, np.float32)
         for k, (a, b) in enumerate(OFFSETS):
             x, y, z = chars[:, :n], chars[:, a : a + n], chars[:, b : b + n]
             codes[:, k] = (x << 12) | (y << 6) | z
-            weights[:, k] = ((x > 0) & (y > 0) & (z > 0)) * WEIGHTS[k]
-        yield places, codes.reshape(len(places), -1), weights.reshape(len(places), -1)
-
-
-def margins(windows: list[str], table: np.ndarray, mean: bool = False) -> np.ndarray:
-    """Sum of each window's feature weights in ``table``, over the window's norm (mean: over their sum).
-
-    Offsets are added one at a time, so that the arrays stay in the processor's cache.
-    """
-    out = np.zeros(len(windows))
-    table = np.where(_real, table, np.float32(0))
-    for places, chars in characters(windows, 2000):
-        chars = np.ascontiguousarray(chars.T)
-        n, live = len(chars), (chars > 0).view(np.uint8)
-        total, norm = np.zeros((2, len(places)), np.float32)
-        for a in range(1, min(SPAN, n) - 1):
-            pairs, both = (chars[: n - a] << 12) | (chars[a:] << 6), live[: n - a] & live[a:]
-            for b in range(a + 1, min(SPAN, n)):
-                weight = np.float32(DECAY ** (b + 1))
-                total += table.take(pairs[: n - b] | chars[b:], mode="clip").sum(0) * weight
-                norm += (both[: n - b] & live[b:]).sum(0, dtype=np.int32) * (weight if mean else weight**2)
-        out[places] = total / np.maximum(norm if mean else np.sqrt(norm), 1e-6)
-    return out
+            weights[:, k] = (z > 0) * WEIGHTS[k]
+        yield np.array(places), codes.reshape(len(places), -1), weights.reshape(len(places), -1)
 
 
-def kernel(windows: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kernel(windows: list[bytes], landmarks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """K(windows, landmarks); the codes that landmarks use; the landmarks' scaled features over those."""
     used, parts = np.zeros(CLASSES**3, bool), list(features(landmarks))
     for _, codes, weights in parts:
@@ -139,7 +222,7 @@ def kernel(windows: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.nda
     return out, kept, own
 
 
-def fit_machine(toxic: list[str], clean: list[str], landmarks: list[str]) -> np.ndarray:
+def fit_machine(toxic: list[bytes], clean: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     """Feature weights of a squared-hinge machine on the Nyström map; the last is the threshold."""
     windows = toxic + clean
     across, kept, own = kernel(windows, landmarks)
@@ -180,66 +263,19 @@ def calibrated(margin: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tup
     return float(ab[0]), float(ab[1])
 
 
-def chunk_windows(chunk: str) -> list[str]:
-    """A chunk's windows: itself, trimmed; overlapping parts of it if it is long."""
-    word = chunk.lower().strip(PUNCTUATION)
-    if len(word) <= PIECE:
-        return [word] if word else []
-    return [word[i : i + PIECE] for i in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
-
-
-def spaced_windows(text: str) -> list[str]:
-    return ["".join(c for c in m if c.isalnum()) for m in SPACED.findall(text)]
-
-
-def runs(chunks: list[str]) -> set[str]:
-    """Neighbouring chunks joined by blanks, of lower-case chunks: all pairs, and longer runs of LINKED characters at most."""
-    words = [w for c in chunks if (w := c.strip(PUNCTUATION))]
-    out, sizes = set(map(" ".join, zip(words, words[1:]))), list(map(len, words))
-    for i, three in enumerate(map(sum, zip(sizes, sizes[1:], sizes[2:]))):
-        if three + 2 <= LINKED:
-            end, size = i + 3, three + 2
-            while size <= LINKED:
-                out.add(" ".join(words[i:end]))
-                if end == len(words):
-                    break
-                size += 1 + sizes[end]
-                end += 1
-    return out
-
-
-def text_windows(text: str) -> list[str]:
-    """The distinct windows of a text."""
-    chunks = text.lower().split()
-    out = {w for c in set(chunks) | runs(chunks) for w in chunk_windows(c)}
-    return sorted(out | {p for w in spaced_windows(text) for p in chunk_windows(w)})
-
-
 class Model:
     def __init__(self, table: np.ndarray, slope: float, offset: float):
-        self.table, self.slope, self.offset, self.known, self.linked = table, slope, offset, {}, {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "linked": {}}
-
-    def learned(self, chunks: list[str]) -> dict[str, float]:
-        parts = [chunk_windows(c) for c in chunks]
-        windows = list({w for p in parts for w in p})
-        value = dict(zip(windows, (margins(windows, self.table[:-1]) + self.table[-1]).tolist()))
-        return {c: max(map(value.__getitem__, own), default=NOTHING) for c, own in zip(chunks, parts)}
-
-    def worst_of(self, split: list[set[str]], known: dict[str, float], most: int) -> np.ndarray:
-        every = set().union(*split)
-        if len(known) + len(every - known.keys()) > most:
-            known.clear()
-        known |= self.learned(list(every - known.keys()))
-        return np.array([max(map(known.__getitem__, s), default=NOTHING) for s in split])
+        self.table, self.slope, self.offset = table, slope, offset
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The margin of each text's worst window."""
-        split = [t.lower().split() for t in texts]
-        single = self.worst_of([set(c).union(spaced_windows(t)) for c, t in zip(split, texts)], self.known, CHUNK_CACHE)
-        return np.maximum(single, self.worst_of([runs(c) for c in split], self.linked, RUN_CACHE))
+        own, out = Windows(texts), np.full(len(texts), NOTHING)
+        for (_, _, text), values in zip(own.kinds, own.margins(self.table[:-1])):
+            if len(text):
+                # texts are in order
+                at = np.flatnonzero(np.diff(text, prepend=-1))
+                out[text[at]] = np.maximum(out[text[at]], np.maximum.reduceat(values, at) + self.table[-1])
+        return np.round(out, 9)  # a text's place in a block doesn't show
 
     def scores(self, texts: list[str]) -> np.ndarray:
         worst = self.worst(texts)
@@ -258,52 +294,76 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> tuple[Dat
     return keep(rows.select("doc_id", "toxic", "text"), "labelled"), sizes
 
 
-def odds(rows: DataFrame) -> np.ndarray:
-    """Log odds of each subsequence, by its windows in toxic and clean rows."""
+def telling(rows: DataFrame, most: int = TELLING) -> dict[bytes, float]:
+    """The ``most`` words that toxic rows hold oftenest beyond their share of all rows, and by how many deviations.
+
+    Words of a single toxic row tell nothing and are left out.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, CLASSES**3))
         for batch in batches:
-            for toxic, texts in batch.groupby(batch["toxic"] > 0)["text"]:
-                for a, b in slices(texts.tolist()):
-                    for _, codes, weights in features([w for t in texts[a:b] for w in text_windows(t)]):
-                        total[int(toxic)] += np.bincount(codes[weights > 0], minlength=CLASSES**3)
-        used = np.flatnonzero(total.sum(0))
-        yield pd.DataFrame({"code": used, "clean": total[0, used], "toxic": total[1, used]})
-
-    sums = rows.select("toxic", "text").mapInPandas(count, "code int, clean double, toxic double").groupBy("code").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = np.ones((2, CLASSES**3))
-    for r in sums.toLocalIterator():
-        total[:, r["code"]] += r["clean"], r["toxic"]
-    share = total / total.sum(1, keepdims=True)
-    return np.append(np.log(share[1] / share[0]), 0).astype(np.float32)
-
-
-def worst_windows(rows: DataFrame, table: np.ndarray, mean: bool) -> pd.DataFrame:
-    """doc_id, toxic, the two worst windows, one other, and the worst margin of each labelled row."""
+            seen = [Counter(), Counter()]
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                seen[int(toxic > 0)].update(Windows([text]).words())
+            yield pd.DataFrame([(w, n, kind) for kind in (0, 1) for w, n in seen[kind].items()], columns=["word", "n", "kind"])
+
+    sizes = rows.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("rows")).first()
+    words = rows.select("toxic", "text").mapInPandas(count, "word binary, n long, kind int").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("kind")).alias("toxic"))
+    expected = F.col("n") * F.lit(sizes["toxic"] / max(1, sizes["rows"]))
+    found = words.where("toxic > 1").select("word", ((F.col("toxic") - expected) / F.sqrt(expected + 0.5)).alias("beyond"))
+    return {bytes(r["word"]): r["beyond"] for r in found.where("beyond > 0").orderBy(F.desc("beyond"), "word").limit(most).collect()}
+
+
+def first_windows(rows: DataFrame, beyond: dict[bytes, float]) -> pd.DataFrame:
+    """What ``worst_windows`` gives, by the words in ``beyond``; toxic rows that hold none of them are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(beyond)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            out = []
+            for toxic, text in zip(batch["toxic"] > 0, batch["text"]):
+                words = sorted(Windows([text]).words(), key=lambda w: (-known.get(w, 0.0), w))
+                if words and (not toxic or words[0] in known):
+                    out.append((int(toxic), words[0], words[min(1, len(words) - 1)], words[len(words) // 2], known.get(words[0], 0.0)))
+            yield pd.DataFrame(out, columns=["toxic", "first", "second", "other", "margin"])
+
+    return rows.select("toxic", "text").mapInPandas(find, FOUND).toPandas()
+
+
+def worst_windows(rows: DataFrame, table: np.ndarray) -> pd.DataFrame:
+    """toxic, the two worst windows, one other, and the worst margin of each labelled row."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         for batch in batches:
-            own = [text_windows(t) for t in batch["text"]]
-            every = list({w for ws in own for w in ws})
-            value = dict(zip(every, (margins(every, table[:-1], mean) + table[-1]).tolist()))
             out = []
-            for toxic, ws in zip(batch["toxic"], own):
-                if ws:
-                    best = sorted(ws, key=lambda w: (-value[w], w))
-                    out.append((int(toxic > 0), best[0], best[min(1, len(best) - 1)], best[len(best) // 2], value[best[0]]))
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                own = Windows([text])
+                values = own.margins(table[:-1])
+                flat = np.concatenate(values)
+                if len(flat):
+                    kind, place = np.repeat(np.arange(len(values)), list(map(len, values))), np.concatenate([np.arange(len(v)) for v in values])
+                    order = np.argsort(-flat, kind="stable")
+                    cut = lambda i, own=own, kind=kind, place=place: own.cut(kind[i], place[i])
+                    first = cut(order[0])
+                    second = next((w for w in map(cut, order[1:]) if w != first), first)
+                    out.append((int(toxic > 0), first, second, cut(order[len(order) // 2]), flat[order[0]] + table[-1]))
             yield pd.DataFrame(out, columns=["toxic", "first", "second", "other", "margin"])
 
-    return rows.select("toxic", "text").mapInPandas(find, "toxic int, first string, second string, other string, margin double").toPandas()
+    return rows.select("toxic", "text").mapInPandas(find, FOUND).toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model | None:
     rows, sizes = sample(docs, labels, rows_per_class)
     if not sizes.get(0) or not sum(n for v, n in sizes.items() if v > 0):
         return None
-    found = worst_windows(rows, odds(rows), mean=True).sort_values(["toxic", "first", "second"])
+
+    def ordered(found: pd.DataFrame) -> pd.DataFrame:
+        return found.assign(**{c: found[c].map(bytes) for c in ("first", "second", "other")}).sort_values(["toxic", "first", "second"])
+
+    found = ordered(first_windows(rows, telling(rows)))
     if found["toxic"].nunique() < 2:
         return None
     for _ in range(ROUNDS):
@@ -312,7 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
         hard = good.sort_values("margin", ascending=False, kind="stable")["first"].drop_duplicates()
         landmarks = list(dict.fromkeys([*counts.index[: LANDMARKS * 3 // 4], *hard[: LANDMARKS // 4]]))
         table = fit_machine(bad["first"].tolist(), [*good["first"], *good["second"], *good["other"]], landmarks)
-        found = worst_windows(rows, table, mean=False).sort_values(["toxic", "first", "second"])
+        found = ordered(worst_windows(rows, table))
     truth = found["toxic"].to_numpy()
     weight = np.where(truth > 0, sum(n for v, n in sizes.items() if v > 0) / (truth > 0).sum(), sizes[0] / (truth == 0).sum())
     return Model(table, *calibrated(found["margin"].to_numpy(), truth, weight * len(truth) / weight.sum()))
@@ -327,7 +387,7 @@ def scored(spark: SparkSession, model: Model | None, text: Column) -> Column:
             texts = [t or "" for t in batch]
             out = np.zeros(len(texts))
             if shared.value:
-                for a, b in slices(texts):
+                for a, b in slices(texts, SLICE):
                     out[a:b] = shared.value.scores(texts[a:b])
             yield pd.Series(out)
 

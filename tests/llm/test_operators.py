@@ -178,7 +178,11 @@ def test_nearest_finds_the_nearest(spark):
 def test_models_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (6, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     assert toxicity.clean(odd, labels).columns == odd.columns
-    assert toxicity.fit(odd, labels.limit(0)) is None
+    assert toxicity.fit(odd, labels.limit(0)) is None and toxicity.fit(odd.limit(0), labels) is None
+    model = toxicity.Model(np.random.default_rng(3).normal(size=toxicity.CLASSES**3 + 1).astype(np.float32), 1.0, 0.0)
+    scores = odd.select("doc_id", toxicity.scored(spark, model, F.col("text")).alias("score")).collect()
+    assert len(scores) == odd.count() and all(r["score"] == 0 for r in scores if r["doc_id"] in (3, 4, 5, 12)) and all(0 <= r["score"] <= 1 for r in scores)
+    assert len({r["score"] for r in scores if r["doc_id"] in (7, 8)}) == 1 and len({r["score"] for r in scores if r["doc_id"] == 0}) == 1
     out = odd.select("doc_id", language.predicted(spark, language.fit(language.training_rows(odd)), F.col("text")).alias("p")).select("doc_id", "p.*").collect()
     assert {r["lang_pred"] for r in out if r["doc_id"] in (3, 4, 5, 12)} == {"und"} and {r["lang_pred"] for r in out if r["doc_id"] in (0, 9)} == {"en"}
     assert language.identified(odd.limit(0)).count() == 0
@@ -199,7 +203,8 @@ def test_held_out_quality(spark):
     assert (found["lang"] == found["lang_pred"]).mean() > 0.97
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
     found = QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id").toPandas()
-    assert (found["predicted"] == found["toxic"]).mean() > 0.85
+    hits = ((found["predicted"] == 1) & (found["toxic"] == 1)).sum()
+    assert hits >= 0.6 * found["toxic"].sum() and hits >= 0.7 * found["predicted"].sum()
 
 
 def test_forward_sums_all_segmentations():
@@ -217,23 +222,56 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(lattice.log_chances(words, chances))[:, 0], [whole(w) for w in words])
 
 
-def test_kernel_features_fold_exactly():
-    windows, landmarks = ["idiot", "id-iot", "house", "xidiotx"], ["idiot", "haus"]
+def subsequences(window):
+    """Every subsequence of three classes with less than SPAN characters from first to last, with its summed weight."""
+    out, squares = {}, 0.0
+    for i, j, k in itertools.combinations(range(len(window)), 3):
+        if k - i < toxicity.SPAN:
+            w = toxicity.DECAY ** (k - i + 1)
+            key = (window[i] << 12) | (window[j] << 6) | window[k]
+            out[key], squares = out.get(key, 0.0) + w, squares + w * w
+    return {key: w / squares**0.5 for key, w in out.items()}
+
+
+def test_kernel_equals_enumerated_subsequences():
+    windows, landmarks = [toxicity.encoded(w) for w in ("idiot", "id-iot", "i d i o t", "xidixotx", "house", "é9")], [toxicity.encoded(w) for w in ("idiot", "haus")]
     across, kept, own = toxicity.kernel(windows, landmarks)
-    table = np.zeros(toxicity.CLASSES**3 + 1, np.float32)
+    brute = [[sum(w * subsequences(b).get(key, 0.0) for key, w in subsequences(a).items()) for b in landmarks] for a in windows]
+    assert np.allclose(across, brute, atol=1e-5)
+    assert across[0, 0] > across[1, 0] > across[2, 0] > across[4, 0] and across[3, 0] > across[4, 0]
+    table = np.zeros(toxicity.CLASSES**3, np.float32)
     table[kept] = np.array([0.5, -0.25]) @ own
-    assert np.allclose(toxicity.margins(windows, table[:-1]), across @ [0.5, -0.25], atol=1e-5)
-    assert across[0, 0] > across[1, 0] > across[2, 0]
+    text = toxicity.Windows(["idiot"])
+    assert np.allclose(text.margins(table)[0], across[:1] @ [0.5, -0.25], atol=1e-5)
+
+
+@pytest.mark.parametrize("block", [40, 1 << 17])
+def test_sums_along_a_text_equal_enumerated_windows(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    table = np.random.default_rng(1).normal(size=toxicity.CLASSES**3).astype(np.float32)
+    texts = ["You st up id, i d i o t x!", "", "!!", "a" * 90, "Ünd \U0001f600 i-d-i-o-t b c d 1 2 e", "one"]
+    own = toxicity.Windows(texts)
+    for kind, values in enumerate(own.margins(table)):
+        for i, value in enumerate(values):
+            assert abs(sum(w * table[key] for key, w in subsequences(own.cut(kind, i)).items()) - value) < 1e-4
+    words = {(own.kinds[0][2][i], own.cut(0, i)) for i in range(len(own.kinds[0][0]))}
+    assert {(0, toxicity.encoded("st")), (5, toxicity.encoded("one"))} <= words and not any(t in (1, 2, 3) for t, _ in words)
+
+
+def cuts(text):
+    own = toxicity.Windows([text])
+    return {own.cut(k, i) for k, (starts, _, _) in enumerate(own.kinds) for i in range(len(starts))}
 
 
 def test_gapped_words_are_one_window():
-    for text in ("you st up id", "an i d iot there", "sc um", "so I - d - i - o - t", "plain words"):
-        assert {"you st up id": "st up id", "an i d iot there": "i d iot", "sc um": "sc um", "so I - d - i - o - t": "i d i o t", "plain words": "plain words"}[text] in toxicity.text_windows(text)
-    toxic, clean = ["stupid", "idiot", "scum"] * 5, ["house", "garden", "school", "number", "the", "and", "water", "plan of", "in it"] * 3
-    table = toxicity.fit_machine(toxic, clean, ["stupid", "idiot", "scum", "house", "water"])
-    gapped, plain = toxicity.Model(table, 1.0, 0.0).worst(["the st up id house", "the water in a garden"])
-    single = max(toxicity.margins(["the", "st", "up", "id", "house"], table[:-1]) + table[-1])
-    assert gapped > max(plain, single)
+    for text, window in (("you st up id", "st up id"), ("an i d iot there", "i d iot"), ("sc um", "sc um"), ("so I - d - i - o - t", "idiot"), ("plain words", "plain words")):
+        assert toxicity.encoded(window) in cuts(text)
+    coded = lambda words: [toxicity.encoded(w) for w in words]
+    toxic, clean = coded(["stupid", "idiot", "scum"] * 5), coded(["house", "garden", "school", "number", "the", "and", "water", "plan of", "in it"] * 3)
+    table = toxicity.fit_machine(toxic, clean, coded(["stupid", "idiot", "scum", "house", "water"]))
+    model = toxicity.Model(table, 1.0, 0.0)
+    gapped, inserted, plain = model.worst(["the st up id house", "the idxixot", "the water in a garden"])
+    assert gapped > max(plain, *model.worst(["the", "st", "up", "id", "house"])) and inserted > plain
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
