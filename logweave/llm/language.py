@@ -7,8 +7,9 @@ maximisation over word counts of a bounded sample of labelled rows (``rows_per_l
 a Spark job over the word counts that gathers expected piece counts, at most languages x vocabulary rows.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no labelled row all
-texts are ``und``; characters outside the vocabulary count alike in all languages; runs of letters
-without a break are cut every WORD_CHARS characters; repeated rows are scored alike.
+texts are ``und``; characters outside the vocabulary count alike in all languages; runs of letters of any length
+are scored whole, those of over LONG characters one by one and rescaled as they go (nothing is learned from these);
+repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ VOCABULARY = "piece_bpe_32k.model"
 ROWS_PER_LANGUAGE = 600
 STEPS = 3
 SMOOTHING = 0.1
-WORD_CHARS = 24
-PIECE_CHARS = 12
+#: Characters up to which the chance of a word stays within the range of a double, and words are scored together.
+LONG = 40
 #: Runs of letters whose scores one worker remembers.
-RUN_CACHE = 200_000
+RUN_CACHE = 150_000
 UNKNOWN = 1e-7
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -49,7 +50,10 @@ class Lattice:
 
         model = SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-        self.pieces = [p for p in pieces if len(p) <= PIECE_CHARS and LETTERS.fullmatch(p.removeprefix(START) or "a")]
+        # others are in no run of letters
+        self.pieces = [p for p in pieces if LETTERS.fullmatch(p.removeprefix(START) or "a")]
+        self.longest = max(map(len, self.pieces))
+        self.numbers = {p: i for i, p in enumerate(self.pieces)}
         hashes = np.array([self.hashes([p])[0][0, len(p)] for p in self.pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashed, self.number = hashes[order], order
@@ -79,11 +83,11 @@ class Lattice:
         prefix, lengths = self.hashes(words)
         power = [np.uint64(1)]
         with np.errstate(over="ignore"):
-            for _ in range(PIECE_CHARS):
+            for _ in range(self.longest):
                 power.append(power[-1] * BASE)
             out = []
             for end in range(1, prefix.shape[1]):
-                for start in range(max(0, end - PIECE_CHARS), end):
+                for start in range(max(0, end - self.longest), end):
                     own = prefix[:, end] - prefix[:, start] * power[end - start]
                     rows = np.flatnonzero(self.maybe[(mixed(own) >> np.uint64(42)).astype(np.int64)] & (lengths >= end))
                     at = np.minimum(np.searchsorted(self.hashed, own[rows]), len(self.hashed) - 1)
@@ -110,6 +114,18 @@ class Lattice:
         alpha, _, lengths = self.forward(words, chances)
         return np.log(alpha[lengths, np.arange(len(words))])
 
+    def log_chance(self, word: str, chances: np.ndarray) -> np.ndarray:
+        """log P(word) in each language of a word of any length."""
+        alpha, scale = [np.ones(chances.shape[1])], np.zeros(chances.shape[1])  # of the last places
+        for end in range(1, len(word) + 1):
+            now = np.zeros(chances.shape[1])
+            for back, before in enumerate(reversed(alpha), 1):
+                piece = self.numbers.get(word[end - back : end], len(self.pieces) if back == 1 else None)
+                if piece is not None:
+                    now += before * chances[piece]
+            alpha, scale = [a / now for a in [*alpha, now][-self.longest :]], scale + np.log(now)
+        return scale
+
     def expected(self, words: list[str], counts: np.ndarray, chances: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in the words of one language."""
         alpha, places, lengths = self.forward(words, chances[:, None])
@@ -129,15 +145,9 @@ def runs_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def parts_of(run: str) -> list[str]:
-    """A run marked as a start, cut every WORD_CHARS characters."""
-    run = START + run
-    return [run[i : i + WORD_CHARS] for i in range(0, len(run), WORD_CHARS)]
-
-
 def words_of(text: str) -> list[str]:
-    """The parts of a text's runs."""
-    return [w for run in runs_of(text) for w in parts_of(run)]
+    """A text's runs of at most LONG characters, marked as starts."""
+    return [w for run in runs_of(text) if len(w := START + run) <= LONG]
 
 
 def by_length(words: list[str], most: int = 5_000) -> Iterator[list[int]]:
@@ -160,16 +170,17 @@ class Model:
         """Score runs of letters: a row of log chances, one for each language."""
         if self.known is None or len(self.known) + len(runs) > RUN_CACHE:
             self.known, self.rows = {}, np.zeros((0, len(self.languages)))
-        parts = [parts_of(r) for r in runs]
-        words = list({w for p in parts for w in p})
-        logs, lattice = np.zeros((len(words), len(self.languages))), Lattice.at(self.path)
-        for places in by_length(words):
+        logs, lattice = np.zeros((len(runs), len(self.languages))), Lattice.at(self.path)
+        words = [START + r for r in runs]
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for places in by_length([words[i] for i in short]):
+            places = [short[i] for i in places]
             logs[places] = lattice.log_chances([words[i] for i in places], self.chances)
-        number = {w: i for i, w in enumerate(words)}
-        flat = np.fromiter((number[w] for p in parts for w in p), np.int64)
-        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                logs[i] = lattice.log_chance(w, self.chances)
         self.known |= {r: len(self.rows) + i for i, r in enumerate(runs)}
-        self.rows = np.vstack([self.rows, np.add.reduceat(logs[flat], starts)])
+        self.rows = np.vstack([self.rows, logs])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [runs_of(t or "") for t in texts]
