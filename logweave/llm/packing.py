@@ -9,8 +9,9 @@ floor(t * C_j / T) tokens when t tokens are laid out. Each document then compute
 from its place in its queue alone, and deficits carry across partitions because places are global.
 
 The default target is the share of each source in the corpus, so all queues end together. Given weights,
-a queue that runs dry leaves its share to the others: the layout has one phase for each such event.
-Sources with under one token a window share the last queue, as do those beyond the ``max_queues`` largest.
+a queue that runs dry leaves its share to the others: the layout has one phase for each such event. Sources
+without a weight share, by their size, what the weights leave of 1; sources whose share is zero come last.
+Sources beyond the ``max_queues`` largest that have no weight share one queue, in which they follow the parts of the input.
 
 Two passes: documents are tokenized once and their ids written to the shared folder with their place in
 the partition's queue; queue totals by partition (a small table) give the global place; the second pass
@@ -44,7 +45,7 @@ MAX_QUEUES = 256
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks of text, and words of chunks, whose ids one worker remembers.
-CHUNK_CACHE, WORD_CACHE = 250_000, 500_000
+CHUNK_CACHE, WORD_CACHE = 200_000, 300_000
 #: Rows of the table of queue totals that may be broadcast; beyond it, the table is joined.
 BROADCAST_ROWS = 500_000
 #: White space that Python splits at and the tokenizer's rules do not, or the start of a special token.
@@ -137,8 +138,8 @@ class Layout:
         self.window, self.phases = window, []
         left, given, start = list(totals), [0] * len(totals), 0
         while any(left):
-            live = [i for i, n in enumerate(left) if n]
-            if weights is None or not all(weights[i] > 0 for i in live):
+            live = [i for i, n in enumerate(left) if n and (weights is None or weights[i] > 0)]
+            if weights is None or not live:
                 take = list(left)  # in proportion to what is left: all queues end together
             else:
                 rounds = min(left[i] / weights[i] for i in live)
@@ -177,11 +178,10 @@ class Layout:
                 done, k = done + length, k + length
 
 
-def queues_of(totals: dict[str | None, int], window: int, max_queues: int) -> dict[str | None, int]:
-    """Source to queue: the largest sources have their own, those with under a token a window share the last."""
-    whole, order = sum(totals.values()), sorted(totals, key=lambda s: (-totals[s], s is None, s or ""))
-    own = [s for s in order[: max_queues - 1] if totals[s] * window >= whole]
-    return {s: i for i, s in enumerate(own)} | {s: len(own) for s in order if s not in set(own)}
+def shares_of(totals: list[int], given: list[float | None]) -> list[float]:
+    """Target shares: the given ones; queues without one share by size what these leave of 1."""
+    rest, size = max(0.0, 1.0 - sum(w or 0.0 for w in given)), sum(n for n, w in zip(totals, given) if w is None)
+    return [rest * n / max(1, size) if w is None else max(0.0, w) for n, w in zip(totals, given)]
 
 
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, max_queues: int = MAX_QUEUES, tokenizer: str | None = None) -> DataFrame:
@@ -190,18 +190,16 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, sequence: int
     coded = keep(tokenized(docs, tokenizer or public_tokenizers.path(TOKENIZER)), "token_ids")
     by_part = coded.groupBy("part", "source").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))
     by_part = keep(by_part, "queue_totals")
-    # sources in the driver: bounded, the tail below the largest is summed into one
-    largest = by_part.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(max_queues - 1).collect()
+    # sources in the driver: bounded, the named and the largest ones; all others are summed into one
+    by_source = by_part.groupBy("source").agg(F.sum("n").alias("n"))
+    largest = by_source.orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(max_queues - 1).collect()
+    named = by_source.where(F.col("source").isin(list(weights))).collect() if weights else []
+    totals = {r["source"]: r["n"] for r in [*largest, *named]}
     whole = by_part.agg(F.sum("n")).first()[0] or 0
-    totals = {r["source"]: r["n"] for r in largest}
-    own = [s for s, q in sorted(queues_of(totals | {"\0rest": whole - sum(totals.values())}, window, max_queues).items(), key=lambda x: x[1]) if s != "\0rest" and totals[s] * window >= whole]
+    own = list(totals)
     sizes = [totals[s] for s in own]
     sizes.append(whole - sum(sizes))
-    shares = None
-    if weights is not None:
-        shares = [weights.get(s, 0.0) for s in own]
-        shares.append(max(0.0, 1.0 - sum(shares)) or 1e-9)
-    layout = Layout(sizes, shares, window)
+    layout = Layout(sizes, None if weights is None else shares_of(sizes, [weights.get(s) for s in own] + [None]), window)
     number = F.lit(len(own))
     for i, s in enumerate(own):
         number = F.when(F.col("source").eqNullSafe(F.lit(s)), i).otherwise(number)

@@ -1,6 +1,8 @@
 """The corpus operators against brute force, on fixtures with nulls, empties, ties, repeats and clashing columns."""
 
+import fractions
 import itertools
+import math
 import random
 import re
 import zlib
@@ -135,6 +137,44 @@ def test_packing_cuts_every_id_once(odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("given", [None, [0.5, 0.3, 0.2], [0.7, 0.2, 0.0], [0.7, None, None], [1.0, None, 0.0], [0.05, 0.9, 0.05]])
+def test_windows_follow_the_target_mixture(given):
+    totals, window = [5000, 9000, 700], 64
+    weights = None if given is None else packing.shares_of(totals, given)
+    layout, rng, placed = packing.Layout(totals, weights, window), random.Random(2), {}
+    for queue, total in enumerate(totals):
+        first = 0
+        while first < total:  # documents of the queue, in order
+            n = min(total - first, rng.randint(1, 300))
+            for done, length, at in layout.pieces(queue, first, n, 16):
+                assert at // 16 == (at + length - 1) // 16
+                placed |= {at + i: (queue, first + done + i) for i in range(length)}
+            first += n
+    assert sorted(placed) == list(range(sum(totals)))
+    for queue, total in enumerate(totals):
+        assert [placed[at][1] for at in sorted(placed) if placed[at][0] == queue] == list(range(total))
+    # turn by turn: each live queue's credit grows by its share, what a window gives is taken off, and nobody is ever a token off
+    shares = [n / sum(totals) for n in totals] if weights is None else weights
+    live = [i for i in range(3) if shares[i] > 0]
+    dry, credit = min(totals[i] / shares[i] for i in live) * sum(shares[i] for i in live), [0.0] * 3
+    for start in range(0, int(dry) - window, window):
+        gave = [sum(placed[at][0] == i for at in range(start, start + window)) for i in range(3)]
+        credit = [c + window * (shares[i] / sum(shares[j] for j in live) if i in live else 0) - gave[i] for i, c in enumerate(credit)]
+        assert all(abs(c) < 1.5 for c in credit)
+    last = {i: max(at for at in placed if placed[at][0] == i) for i in range(3)}
+    for i in set(range(3)) - set(live):
+        assert min(at for at in placed if placed[at][0] == i) > max(last[j] for j in live)
+
+
+def test_packed_weights_and_many_sources(spark):
+    rows = [(i, "word " * 40, f"s{i % 7}", "en", 0, 1, 2, "x", "y", 3) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, la, s, *r) for i, t, s, la, *r in rows], SCHEMA)
+    p = packing.pack(docs, {"s0": 0.5, "s1": 0.3, "s6": 0.0, "none": 0.1}, sequence=64, window_sequences=4, max_queues=3).toPandas()
+    assert p["length"].sum() == p.drop_duplicates("doc_id")["doc_tokens"].sum() and p["doc_id"].nunique() == 300
+    early = p[p["sequence_id"] < 16].groupby("source")["length"].sum()
+    assert abs(early["s0"] / early["s1"] - 5 / 3) < 0.05 and "s6" not in early and early.drop(["s0", "s1"]).sum() > 0
+
+
 def test_decontamination_equals_brute_force(spark, odd):
     rows = [(1, " ".join(odd.where("doc_id = 0").first()["text"].split()[20:50])), (2, "one two"), (3, None), (4, ""), (5, "never seen words in this place"), (None, "no id here at all")]
     items = spark.createDataFrame(rows, "item_id long, text string")
@@ -208,18 +248,28 @@ def test_held_out_quality(spark):
 
 
 def test_forward_sums_all_segmentations():
-    lattice = language.Lattice.at(public_tokenizers.path(language.VOCABULARY))
-    rng = np.random.default_rng(0)
-    chances = np.append(rng.random(len(lattice.pieces)), language.UNKNOWN)[:, None]
-    known = dict(zip(lattice.pieces, chances[:, 0]))
+    path = public_tokenizers.path(language.VOCABULARY)
+    lattice = language.Lattice.at(path)
+    chances = np.random.default_rng(0).random((len(lattice.pieces), 2))
+    known = dict(zip(lattice.pieces, chances))
 
     def whole(word):
-        if not word:
-            return 1.0
-        return sum((known.get(word[:i], language.UNKNOWN if i == 1 else 0.0)) * whole(word[i:]) for i in range(1, len(word) + 1))
-
-    words = ["▁the", "▁house", "▁größe", "▁q"]
-    assert np.allclose(np.exp(lattice.log_chances(words, chances))[:, 0], [whole(w) for w in words])
+        """Over all segmentations, by the last piece; kept as logarithms of exact fractions' floats for words of any length."""
+        sums = [[fractions.Fraction(1)] * 2]
+        for end in range(1, len(word) + 1):
+            ways = [(start, known.get(word[start:end], [language.UNKNOWN] * 2 if start == end - 1 else None)) for start in range(end)]
+            sums.append([sum((sums[s][k] * fractions.Fraction(float(c[k])) for s, c in ways if c is not None), fractions.Fraction(0)) for k in (0, 1)])
+        return [math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]]
+
+    words = ["▁the", "▁house", "▁größe", "▁q", "▁internationalization", "▁" + "überhaupt" * 6, "▁" + "漢" * 50]
+    model = language.Model(path, ["a", "b"], np.log([0.3, 0.7]), chances)
+    assert np.allclose(lattice.log_chances(words[:5], model.chances), [whole(w) for w in words[:5]])
+    assert all(np.allclose(lattice.log_chance(w, model.chances), whole(w)) for w in words)
+    texts = ["The house, 12 größe q!", "überhaupt" * 6 + " internationalization", "漢" * 50, "", None, "12 !"]
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        runs = re.findall(r"[^\W\d_]+", (text or "").lower())
+        logs = np.log([0.3, 0.7]) + sum((np.array(whole("▁" + r)) for r in runs), np.zeros(2))
+        assert (lang, score) == ("und", 0.0) if not runs else lang == "ab"[int(logs.argmax())] and abs(score - 1 / np.exp(logs - logs.max()).sum()) < 1e-6
 
 
 def subsequences(window):
