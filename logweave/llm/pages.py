@@ -6,7 +6,8 @@ word of the text, so a model holds for any language. The field scores blocks and
 is trained on labelled pages by gradient steps on the log likelihood and decoded by Viterbi.
 
 ``training_pages`` makes labelled pages from templates, which vary in layout, names and markup errors and
-hide the telling names in part of the pages, so text shape and neighbours are learned too. Pages with
+hide the telling names in part of the pages, so text shape and neighbours are learned too; some are an article with
+hardly any markup around it. Pages with
 known text can be given to ``fit`` instead.
 
 Defined cases: null html is empty and gives empty text; scripts, styles, templates, comments and a page's head
@@ -27,7 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLE_BITS = 15
-TRAINING_PAGES, STEPS, RATE, PENALTY = 500, 150, 0.08, 2e-4
+TRAINING_PAGES, STEPS, RATE, PENALTY = 1500, 200, 0.08, 2e-4
+#: The share of training pages with little markup.
+BARE = 0.35
 
 #: Elements of HTML whose tags part blocks, and those whose content is no text.
 BLOCKS = set(
@@ -36,6 +39,7 @@ BLOCKS = set(
 )
 HIDDEN = {"script", "style", "template", "noscript", "head", "svg", "iframe", "object", "textarea", "select", "annotation", "annotation-xml", "canvas", "datalist"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes"}
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a head holds; any other ends an open head.
 HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -48,38 +52,87 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
+DIGITS = re.compile(r"\d")
 ENDS = ".!?:;…。！？\"'”»)"
 
 
+class Frame:
+    """An open element: its own names, the tags around it, a value that equal ways from the root share."""
+
+    __slots__ = ("tag", "names", "above", "top", "way", "fresh", "before")
+
+    def __init__(self, tag: str, names: tuple, around: Frame | None):
+        self.tag, self.names, self.fresh, self.before = tag, names, (), 0.0
+        plain = tag in ("html", "body")
+        self.above = (around.above if plain else around.tag if around.tag not in ("html", "body") else "") if around else ""
+        self.top = (around.top if around else "") or ("" if plain else tag)
+        self.way = (around.way if around else 0) if plain else hash((around.way if around else 0, tag, names))
+
+
 class Block:
-    __slots__ = ("text", "path", "linked", "forms", "heads")
+    __slots__ = ("text", "pieces", "frame", "linked", "forms", "inherited", "score")
 
-    def __init__(self, path: tuple):
-        self.text, self.path, self.linked, self.forms, self.heads = [], path, 0, 0, 0
+    def __init__(self, frame: Frame | None, inherited: tuple, score: float):
+        self.text, self.pieces, self.frame, self.linked, self.forms, self.inherited, self.score = "", [], frame, 0, 0, inherited, score
 
 
-def blocks_of(html: str) -> list[tuple[str, tuple, float, int]]:
-    """(text, path of (tag, names), share of text in links, form controls) of each leaf block with text, in order."""
+def blocks_of(html: str, weights: list[float] | None = None) -> list[Block]:
+    """Each leaf block with text, in order: its text, innermost element, share of text in links, form controls.
+
+    Also the numbers of the features of all its ancestors or, given weights, only the sum of their weights. These sums,
+    and the places of open elements, are kept while the page is read, so that time does not grow with its depth.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
-    hidden = links = at = 0
+    stack: list[Frame] = []
+    places: dict[str, list[int]] = {}
+    fences: list[int] = []
+    parted: list[int] = []
+    live: dict[int, None] = {}
+    running, hidden, links, at = 0.0, 0, 0, 0
     current, raw = None, None
 
+    def enter(tag: str, names: tuple) -> None:
+        nonlocal running, hidden, links
+        frame = Frame(tag, names, stack[-1] if stack else None)
+        frame.before = running
+        if tag not in ("html", "body"):
+            frame.fresh = tuple(f for f in {number(f"in:{tag}"), *(number(f"name:{w}") for w in names)} if f not in live)
+            live.update(dict.fromkeys(frame.fresh))
+            if weights is not None:
+                running += sum(weights[f] for f in frame.fresh)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in FENCES:
+            fences.append(len(stack))
+        if tag in BLOCKS:
+            parted.append(len(stack))
+        stack.append(frame)
+        hidden += tag in HIDDEN
+        links += tag == "a"
+
     def leave(to: int) -> None:
-        nonlocal hidden, links, current
+        nonlocal running, hidden, links, current
         while len(stack) > to:
-            tag, _ = stack.pop()
-            hidden -= tag in HIDDEN
-            links -= tag == "a"
-            if tag in BLOCKS:
+            frame = stack.pop()
+            for f in frame.fresh:
+                del live[f]
+            running = frame.before
+            places[frame.tag].pop()
+            hidden -= frame.tag in HIDDEN
+            links -= frame.tag == "a"
+            if frame.tag in FENCES:
+                fences.pop()
+            if frame.tag in BLOCKS:
+                parted.pop()
                 current = None
 
+    def last(tag: str) -> int:
+        """The depth of the innermost open element of this tag; -1: none is open."""
+        return places[tag][-1] if places.get(tag) else -1
+
     while at < len(html):
         if raw:
-            end = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(html, at)
-            at, raw, text = end.start() if end else len(html), None, html[at : end.start() if end else len(html)]
-            if hidden or not text or not stack or stack[-1][0] != "title":
-                continue
+            end = RAW_ENDS[raw].search(html, at)
+            at, raw = end.start() if end else len(html), None
             continue
         m = MARKUP.match(html, at)
         at = m.end()
@@ -88,55 +141,43 @@ def blocks_of(html: str) -> list[tuple[str, tuple, float, int]]:
             piece = m.group(0)
             if piece.startswith("<") and len(piece) > 1:
                 continue
-            if stack and stack[-1][0] == "head" and piece.strip(" \t\n\r\f"):
+            if stack and stack[-1].tag == "head" and piece.strip(" \t\n\r\f"):
                 leave(len(stack) - 1)
             if hidden:
                 continue
             if current is None:
                 if piece.isspace():
                     continue
-                current = Block(tuple(x for x in stack if x[0] not in ("html", "body")))
+                current = Block(stack[-1] if stack else None, tuple(live) if weights is None else (), running)
                 out.append(current)
-            current.text.append(piece)
+            current.pieces.append(piece)
             current.linked += len(piece) * (links > 0)
             continue
         tag = tag.lower()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    leave(depth)
-                    break
-                if stack[depth][0] in FENCES and tag not in BLOCKS:
-                    break
+            depth = last(tag)
+            if depth >= 0 and (tag in BLOCKS or not fences or fences[-1] <= depth):
+                leave(depth)
             if tag in BLOCKS:
                 current = None
             continue
-        if stack and stack[-1][0] == "head" and tag not in HEAD:
+        if stack and stack[-1].tag == "head" and tag not in HEAD:
             leave(len(stack) - 1)
         if tag in ("br", "wbr", "img", "input", "button"):
             if current is not None and tag == "br":
-                current.text.append(" ")
+                current.pieces.append(" ")
             if current is not None and tag in ("input", "button"):
                 current.forms += 1
             if tag != "button":
                 continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    leave(depth)
-                    break
-                if stack[depth][0] in BLOCKS:
-                    break
-        if tag == "body":
-            leave(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
-        if tag in SIBLINGS:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in SIBLINGS[tag]:
-                    leave(depth)
-                    if tag != "tr":
-                        break
-                elif stack[depth][0] in FENCES:
-                    break
+        if tag in CLOSES_P and last("p") >= 0 and last("p") == parted[-1]:
+            leave(last("p"))
+        if tag == "body" and last("head") >= 0:
+            leave(places["head"][0])
+        while tag in SIBLINGS and (depth := max(map(last, SIBLINGS[tag]))) >= 0 and (not fences or fences[-1] < depth):
+            leave(depth)
+            if tag != "tr":
+                break
         if tag in BLOCKS:
             current = None
         if tag in VOID or rest.endswith("/") and tag in ("svg", "path"):
@@ -149,18 +190,17 @@ def blocks_of(html: str) -> list[tuple[str, tuple, float, int]]:
                 if key in ("hidden", "aria-hidden"):
                     found += ["hidden"] * (value.strip("\"'").lower() != "false")
                 else:
-                    found += [w.lower() for w in NAME.findall(value)][:8]
+                    found += [w.lower() for w in NAME.findall(value)]
             names = tuple(found)
-        stack.append((tag, names))
-        hidden += tag in HIDDEN
-        links += tag == "a"
+        enter(tag, names)
         raw = tag if tag in RAW else None
     rows = []
-    for b in out:
-        whole = "".join(b.text)
-        text = SPACE.sub(" ", references.unescape(whole) if "&" in whole else whole).strip()
-        if text:
-            rows.append((text, b.path, b.linked / max(1, len(whole)), b.forms))
+    for block in out:
+        whole = "".join(block.pieces)
+        block.text = SPACE.sub(" ", references.unescape(whole) if "&" in whole else whole).strip()
+        block.linked /= max(1, len(whole))
+        if block.text:
+            rows.append(block)
     return rows
 
 
@@ -184,31 +224,31 @@ def shape(text: str, linked: float, forms: int) -> list[str]:
     commas = text.count(",") + text.count(";")
     return [
         f"words{min(9, words.bit_length())}", f"long{n >= 80}", f"end{text[-1] in ENDS}", f"end{text[-1] in ENDS}words{min(7, words.bit_length())}", f"link{round(linked * 4)}",
-        f"link{linked > 0.5}words{min(5, words.bit_length())}", f"commas{min(4, commas)}", f"digits{sum(map(str.isdigit, text[:200])) * 8 > min(n, 200)}",
+        f"link{linked > 0.5}words{min(5, words.bit_length())}", f"commas{min(4, commas)}", f"digits{len(DIGITS.findall(text)) * 8 > n}",
         f"sign{text[0] in '©®™→«»|›·#@'}", f"copy{'©' in text}", f"bars{' | ' in text or ' · ' in text or ' › ' in text}", f"mail{'@' in text}", f"form{forms > 0}", f"upper{text.isupper()}",
     ]
 
 
-def features(blocks: list[tuple[str, tuple, float, int]]) -> list[list[int]]:
+def features(blocks: list[Block]) -> list[list[int]]:
     """The numbers of each block's features; those of the neighbours' shapes and the way from the one before included."""
-    shapes = [shape(text, linked, forms) for text, _, linked, forms in blocks]
+    shapes = [shape(b.text, b.linked, b.forms) for b in blocks]
     out = []
-    for i, (_, path, _, _) in enumerate(blocks):
-        own = ["bias", *shapes[i]]
-        tags = [t for t, _ in path]
-        own += [f"in:{t}" for t in set(tags)] + [f"name:{w}" for _, names in path for w in set(names)]
-        if tags:
-            own += [f"tag:{tags[-1]}", f"top:{tags[0]}", f"tag:{tags[-1]}:{shapes[i][0]}"]
-            own += [f"leafname:{w}" for w in path[-1][1]]
-        if len(tags) > 1:
-            own.append(f"two:{tags[-2]}>{tags[-1]}")
+    for i, b in enumerate(blocks):
+        own, frame = ["bias", *shapes[i]], b.frame
+        if frame and frame.top:
+            own += [f"tag:{frame.tag}", f"top:{frame.top}", f"tag:{frame.tag}:{shapes[i][0]}"]
+            own += [f"leafname:{w}" for w in set(frame.names)]
+            if frame.above:
+                own.append(f"two:{frame.above}>{frame.tag}")
+        else:
+            own.append("bare")
         own.append(f"place{i * 4 // len(blocks)}")
         own.append(f"first{i == 0}last{i == len(blocks) - 1}")
         own += [f"before:{s}" for s in shapes[i - 1][:5]] if i else ["before:none"]
         own += [f"after:{s}" for s in shapes[i + 1][:5]] if i + 1 < len(blocks) else ["after:none"]
-        if i and blocks[i - 1][1] == path:
+        if i and (blocks[i - 1].frame.way if blocks[i - 1].frame else 0) == (frame.way if frame else 0):
             own.append("same")
-        out.append([number(f) for f in own])
+        out.append([number(f) for f in own] + list(b.inherited))
     return out
 
 
@@ -216,16 +256,16 @@ class Model:
     """Block weights for content against boilerplate, and scores of neighbouring pairs."""
 
     def __init__(self, weights: np.ndarray, pairs: np.ndarray):
-        self.weights, self.pairs = weights, pairs
+        self.weights, self.pairs, self.listed = weights, pairs, weights.tolist()
 
-    def content(self, blocks: list[tuple[str, tuple, float, int]]) -> list[bool]:
-        """The best labelling, by Viterbi."""
+    def content(self, blocks: list[Block]) -> list[bool]:
+        """The best labelling, by Viterbi; of blocks that were read with or without the model's weights."""
         if not blocks:
             return []
         (aa, ab), (ba, bb) = self.pairs.tolist()
         off, on, back = 0.0, 0.0, []
         for i, f in enumerate(features(blocks)):
-            s = float(self.weights[f].sum())
+            s = float(self.weights[f].sum()) + blocks[i].score
             if i:
                 from_off, from_on = (off + aa >= on + ba), (off + ab >= on + bb)
                 back.append((from_off, from_on))
@@ -240,8 +280,28 @@ class Model:
         return out[::-1]
 
     def text(self, html: str) -> str:
-        blocks = blocks_of(html)
-        return "\n".join(b[0] for b, keep in zip(blocks, self.content(blocks)) if keep)
+        blocks = blocks_of(html, self.listed)
+        return "\n".join(b.text for b, keep in zip(blocks, self.content(blocks)) if keep)
+
+
+def marginals(score: np.ndarray, live: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the forward and backward sums: the chance of each block to be content, of each pair of labels of neighbours, and log Z.
+
+    score and live have a row for each page and a column for each block; ``live`` is false behind a page's last block.
+    """
+    u = np.stack([np.zeros_like(score), score], 2)
+    alpha, beta, length = np.zeros_like(u), np.zeros_like(u), score.shape[1]
+    alpha[:, 0] = u[:, 0]
+    for j in range(1, length):
+        new = np.logaddexp(alpha[:, j - 1, :1] + pairs[0], alpha[:, j - 1, 1:] + pairs[1]) + u[:, j]
+        alpha[:, j] = np.where(live[:, j, None], new, alpha[:, j - 1])
+    for j in range(length - 2, -1, -1):
+        x = u[:, j + 1] + beta[:, j + 1]
+        new = np.logaddexp(pairs[:, 0] + x[:, :1], pairs[:, 1] + x[:, 1:])
+        beta[:, j] = np.where(live[:, j + 1, None], new, beta[:, j + 1])
+    whole = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    both = np.exp(alpha[:, :-1, :, None] + pairs + (u[:, 1:] + beta[:, 1:])[:, :, None, :] - whole[:, None, None, None])
+    return np.exp(alpha[:, :, 1] + beta[:, :, 1] - whole[:, None]), both * live[:, 1:, None, None], whole
 
 
 def train(pages: list[tuple[list[list[int]], list[bool]]]) -> Model:
@@ -266,21 +326,9 @@ def train(pages: list[tuple[list[list[int]], list[bool]]]) -> Model:
     for step in range(1, STEPS + 1):
         score = np.zeros(len(pages) * length)
         score[place] = np.bincount(row_of, w[flat], len(sizes))
-        u = np.stack([np.zeros_like(score), score], 1).reshape(len(pages), length, 2)
-        alpha, beta = np.zeros_like(u), np.zeros_like(u)
-        alpha[:, 0] = u[:, 0]
-        for j in range(1, length):
-            new = np.logaddexp(alpha[:, j - 1, :1] + t[0], alpha[:, j - 1, 1:] + t[1]) + u[:, j]
-            alpha[:, j] = np.where(live[:, j, None], new, alpha[:, j - 1])
-        for j in range(length - 2, -1, -1):
-            x = u[:, j + 1] + beta[:, j + 1]
-            new = np.logaddexp(t[:, 0] + x[:, :1], t[:, 1] + x[:, 1:])
-            beta[:, j] = np.where(live[:, j + 1, None], new, beta[:, j + 1])
-        whole = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        chance = np.exp(alpha[:, :, 1] + beta[:, :, 1] - whole[:, None])
+        chance, both, _ = marginals(score.reshape(len(pages), length), live, t)
         g = np.bincount(flat, ((chance - truth).reshape(-1)[place])[row_of], len(w)) / len(pages) + PENALTY * w
-        both = np.exp(alpha[:, :-1, :, None] + t + (u[:, 1:] + beta[:, 1:])[:, :, None, :] - whole[:, None, None, None])
-        gt = ((both * pair_live[:, :, None, None]).sum((0, 1)) - seen) / len(pages) + PENALTY * t
+        gt = (both.sum((0, 1)) - seen) / len(pages) + PENALTY * t
         for value, grad, m, v in ((w, g, moments[0], moments[1]), (t, gt, moments[2], moments[3])):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad**2 - v)
@@ -353,8 +401,38 @@ class Maker:
             tag, start = ("div", start) if r.random() < 0.7 else ("section", self.open("section", part))
         return f"{start}{body}</{tag}>"
 
+    def bare(self) -> tuple[str, list[str]]:
+        """A page of little markup: an article with few parts around it or none, often without headings, in any wrapper or none."""
+        r, body = self.r, []
+        self.anonymous, self.h1_free = r.choice([0, 0, 0.5]), False
+        kind = r.choice(["plain", "body", "body", "article", "article", "main", "div", "section", "blog", "blog"])
+        truth = [" ".join(self.sentence() for _ in range(r.choice([1, 2, 2, 3, 5, 8]))) for _ in range(r.choice([1, 1, 2, 3, 5, 8]))]
+        if kind == "plain":
+            return r.choice(["{}", "{}\n", "<p>{}", "<!DOCTYPE html>{}", "<html><body>{}"]).format(r.choice(["\n", " ", "<br>", "<br><br>"]).join(truth)), [" ".join(truth)]
+        each = r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<p class=par>{}</p>"])
+        body = [each.format(x) for x in truth]
+        if r.random() < 0.35:
+            title = self.words(8)
+            body.insert(0, r.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<h3>{}</h3>"]).format(title))
+            truth.insert(0, title)
+        whole = "".join(body)
+        if kind == "blog":
+            name = r.choice(["post", "entry", "hentry", "blog-post", "single", "content"])
+            reply = f'<h3>{self.words(3)}</h3>' * (r.random() < 0.6) + r.choice(["<form>{}</form>", "<p>{}</p>", "<form><p>{}</p><textarea></textarea></form>"]).format(f"<label>{self.words(2)}</label><input><button>{self.words(1)}</button>")
+            said = "".join(f"<li><b>{self.words(2)}</b><p>{self.sentence()}</p></li>" for _ in range(r.choice([0, 0, 1, 3])))
+            parts = [f"<ol class={r.choice(PART_NAMES['comment'])}>{said}</ol>"] * bool(said) + [f'<div id="{r.choice(["respond", "reply", "commentform", "comments"])}">{reply}</div>']
+            whole = f'<div class="{name}">{whole}{"" if (inside := r.random() < 0.4) else "</div>"}{"".join(parts)}{"</div>" if inside else ""}'
+        elif kind != "body":
+            whole = f"<{kind}>{whole}</{kind}>" if r.random() < 0.7 else f"{self.open(kind, 'content')}{whole}</{kind}>"
+        before = "".join(self.boilerplate(p) for p in ("header", "menu", "notice") if r.random() < 0.2)
+        after = "".join(self.boilerplate(p) for p in ("side", "footer") if r.random() < 0.2)
+        head = r.choice(["", "", "<html><body>", "<html><head><title>x</title>", "<head><meta charset=utf-8><title>x</title></head>", "<!DOCTYPE html><html><head><link href=a></head><body>"])
+        return head + before + whole + after, truth
+
     def page(self) -> tuple[str, list[str]]:
         r = self.r
+        if r.random() < BARE:
+            return self.bare()
         self.anonymous, self.h1_free = r.choice([0, 0, 0.15, 0.5]), r.random() < 0.3
         truth, body = [], []
         title = self.words(8) if r.random() < 0.6 else self.sentence(12)
@@ -364,6 +442,8 @@ class Maker:
             truth.append(title)
         for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9, 14])):
             kind, text = r.random(), " ".join(self.sentence() for _ in range(r.choice([1, 1, 2, 4, 7])))
+            if r.random() < 0.05:  # a row of a list or table, written out
+                text = r.choice([" | ", ", ", " ", " - "]).join(self.word() for _ in range(r.randint(5, 60)))
             if kind < 0.06:
                 text = self.words(6)
                 body.append(f"<h{r.randint(2, 4)}>{text}</h{r.randint(2, 4)}>")
@@ -416,10 +496,10 @@ def fit(pages: list[tuple[str, list[str]]] | None = None) -> Model:
     for html, truth in training_pages() if pages is None else pages:
         blocks, left = blocks_of(html), list(truth)
         labels = []
-        for text, *_ in blocks:
-            hit = text in left
+        for block in blocks:
+            hit = block.text in left
             if hit:
-                del left[: left.index(text) + 1]
+                del left[: left.index(block.text) + 1]
             labels.append(hit)
         rows.append((features(blocks), labels))
     return train(rows)
