@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose hash one worker remembers; other words are hashed again each time.
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 #: Characters of text that a task turns into Python words at once.
 SLICE_CHARS = 2_000_000
 

@@ -5,18 +5,18 @@ sets are one node. Nothing is sampled, capped or approximated.
 
 Regions. Unrelated documents are all at about distance 1 from one another, so single documents as pivots
 cannot part a whole corpus. The first regions therefore form around shared pieces of content: sizes fall into
-rings, a ring's hash space is cut into parts, at least two more than the elements that a linked pair's sets can
-differ in, so a linked pair agrees on two parts and meets in their regions. A document near its ring's upper edge is
+rings, a ring's hash space is cut into parts, a third more than the elements that a linked pair's sets can
+differ in, so a linked pair agrees on the rest and meets in their regions. A document near its ring's upper edge is
 replicated to the next ring, where larger partners are: the window that the triangle inequality gives for
-distances to the empty set. In each region the least node is the pivot; every member is compared with it.
+distances to the empty set. Of the regions that a set can spare it leaves out the most populated ones. In each region
+the least node is the pivot; every member is compared with it.
 
 Comparing. A parity sketch counts set elements by hash modulo 2 in about n/2 cells. The Hamming distance of two
 sketches never exceeds the sets' symmetric difference, so it proves most pairs too far; the rest are
 measured on whole sets, members sent to their pivot in blocks of bounded size.
 
 Recursion. A region whose members ended in several components may still hide links between members that are
-not with the pivot. Those documents are joined again, each region around its most central member as the next
-pivot, which then leaves. What is left is compared by sketches in blocks of bounded size, and only pairs of different
+not with the pivot. It is joined again around its most central member as the next pivot, which then leaves. What is left is compared by sketches in blocks of bounded size, and only pairs of different
 components that the sketches don't prove too far are sent on to be measured.
 
 Defined cases: documents without words, or with null text, have no shingles, link with nothing and are
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import keep, mixed, shingle_hashes, slices, word_hashes
@@ -42,8 +42,8 @@ BROADCAST_IDS = 300_000
 MEMBERS = 512
 #: Members of a region that are compared by sketches at once, and rounds of central pivots before.
 BLOCK, ROUNDS = 2048, 2
-#: Regions that a task remembers, to send each on once.
-REGION_CACHE = 1_000_000
+#: Sets that a task remembers, to send on each once.
+NODE_CACHE = 100_000
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -80,28 +80,28 @@ class Rings:
         while self.edges[-1] < 1 << 44:
             self.edges.append(self.edges[-1] * 10_000 // percent**2 + 1)
 
-    def regions(self, hashes: np.ndarray) -> np.ndarray:
+    def regions(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+        """(ring, regions, how many of these the set can do without in that ring)."""
         n = len(hashes)
         ring = int(np.searchsorted(self.edges, n, "right")) - 1
-        out = [self.parts(hashes, ring)]
-        if 100 * n >= self.percent * self.edges[ring + 1]:
-            out.append(self.parts(hashes, ring + 1))
-        return np.concatenate(out)
+        rings = [ring, ring + 1] if 100 * n >= self.percent * self.edges[ring + 1] else [ring]
+        return [(r, *self.parts(hashes, r)) for r in rings]
 
-    def parts(self, hashes: np.ndarray, ring: int) -> np.ndarray:
-        # two linked sets of at most ``top`` elements differ in ``most`` of them
+    def parts(self, hashes: np.ndarray, ring: int) -> tuple[np.ndarray, int]:
+        # two linked sets of at most ``top`` elements differ in ``most`` of them, so in the content of as many parts
         top = self.edges[ring + 1] - 1
         most = 2 * (100 - self.percent) * top // (100 + self.percent)
         if not most:
-            return np.empty(0, np.uint64)
-        n_parts = most + 2 + most // 10
+            return np.empty(0, np.uint64), 0
+        n_parts = most + 2 + most // 3
         part = ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         own, content = part[starts], np.add.reduceat(mixed(hashes), starts)
-        if len(own) <= most + 1:  # then a part that two sets agree on may be an empty one
+        spare = max(0, len(own) - most - 1)
+        if not spare:  # then a part that two sets agree on may be an empty one
             empty = np.setdiff1d(np.arange(n_parts, dtype=np.uint64), own, assume_unique=True)
             own, content = np.concatenate([own, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        return mixed(content + mixed(own * np.uint64(128) + np.uint64(ring)))
+        return mixed(content + mixed(own * np.uint64(128) + np.uint64(ring))), spare
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
@@ -129,70 +129,44 @@ def chosen_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts_of(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc")
 
 
-def first_pairs(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of the members of every first region with a pivot of it, chained where tasks hold parts of a region."""
+def regions(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """region, node: the least populated regions of every set, enough of them that linked sets share one.
+
+    Linked sets of a ring agree on more parts than either can spare. Each leaves out as many of its regions as it can
+    spare, the most populated ones, in one order for all; so linked sets still share a region, while sets that
+    share a passage alone, or a part that is everywhere, no longer meet.
+    """
     rings = Rings(percent)
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a region that this task has sent on already is met by a pair with the node it was sent for
-        sent, nodes = {}, set()
+        nodes = set()
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in slices(texts, 1_000_000):
-                keys, owners, pairs = [], [], set()
+                found = []
                 for text in texts[a:b]:
                     own = shingle_set(text, size)
                     if not len(own) or (node := node_of(own)) in nodes:
                         continue
-                    if len(nodes) < REGION_CACHE:
+                    if len(nodes) < NODE_CACHE:
                         nodes.add(node)
-                    for key in rings.regions(own).view(np.int64).tolist():
-                        if (pivot := sent.get(key)) is None:
-                            if len(sent) < REGION_CACHE:
-                                sent[key] = node
-                            keys.append(key)
-                            owners.append(node)
-                        elif pivot != node:
-                            pairs.add((node, pivot))
-                yield pd.DataFrame({"x": keys, "y": owners, "pair": False})
-                yield pd.DataFrame([(x, y, True) for x, y in pairs], columns=["x", "y", "pair"])
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = pivot = None
-        for batch in batches:
-            x, y, pair = (batch[c].to_numpy() for c in ("x", "y", "pair"))
-            if not len(x):
-                continue
-            new = np.concatenate([[key is None or x[0] != key], x[1:] != x[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
-            pivots = np.where(at >= 0, y[np.maximum(at, 0)], pivot if pivot is not None else 0)
-            key, pivot = x[-1], pivots[-1]
-            a, b = np.where(pair, x, y), np.where(pair, y, pivots)
-            yield pd.DataFrame({"a": a[a != b], "b": b[a != b]}).drop_duplicates()
-
-    crossed = texts_of(docs).mapInPandas(cross, "x long, y long, pair boolean")
-    met = crossed.repartition("x", "pair").sortWithinPartitions("pair", "x", "y").mapInPandas(meet, "a long, b long")
-    # b stays a pivot, which is sent once a block; a node is the member in no more pairs than it has regions
-    once = met.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("b").alias("b"))
-    return once.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b")
-
-
-def regions(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """region, node of the given nodes (node, doc), for regions with several of them."""
-    rings = Rings(percent)
+                    found += [(keys.view(np.int64), node, ring, spare) for ring, keys, spare in rings.regions(own)]
+                if found:
+                    n = [len(keys) for keys, *_ in found]
+                    yield pd.DataFrame({"region": np.concatenate([keys for keys, *_ in found])} | {c: np.repeat([f[i] for f in found], n) for i, c in enumerate(("node", "ring", "spare"), 1)})
+
+    crossed = texts_of(docs).mapInPandas(cross, "region long, node long, ring int, spare int")
+    # a set that several tasks have sent counts as often, for all sets alike
+    peopled = crossed.withColumn("people", F.count("*").over(Window.partitionBy("region"))).where("people > 1")
+    own = peopled.repartition("node").groupBy("node", "ring", "region").agg(F.first("people").alias("people"), F.first("spare").alias("spare"))
+    place = F.row_number().over(Window.partitionBy("node", "ring").orderBy(F.desc("people"), "region"))
+    return keep(own.withColumn("place", place).where("place > spare").select("region", "node"), "regions")
 
-    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in slices(texts, 1_000_000):
-                for node, text in zip(batch["node"].iloc[a:b], texts[a:b]):
-                    own = shingle_set(text, size)
-                    if len(own) and node_of(own) == node:
-                        yield pd.DataFrame({"region": rings.regions(own).view(np.int64), "node": node})
 
-    crossed = keep(chosen_texts(docs, nodes.select("doc", "node")).select("node", "text").mapInPandas(cross, "region long, node long").distinct(), "crossed")
-    shared = crossed.groupBy("region").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("region")
-    return crossed.join(shared, "region", "left_semi")
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of every region with its pivot b, the least of them."""
+    pivots = members.groupBy("region").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").select("region", "b")
+    return members.join(pivots, "region").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -324,11 +298,13 @@ def listed(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return own.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInPandas(compare, "a long, b long").distinct()
 
 
-def rest_of(docs: DataFrame, nodes: DataFrame, open_nodes: DataFrame, edges: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
-    """All links so far and those that the first pivots left: regions of ``open_nodes`` joined again."""
-    members = keep(regions(docs, nodes.join(open_nodes, "node", "left_semi"), size, percent), "open_regions")
+def rest_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, edges: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links so far and those that the first pivots left in regions that hold several components."""
+    members = labelled(members, labels)
+    if members.isEmpty():
+        return edges
     weight = members.groupBy("node").agg(F.count("*").alias("weight"))
-    members = labelled(members.join(weight, "node"), labels)
+    members = members.join(weight, "node")
     for _ in range(ROUNDS):
         # the most central member is the pivot: it shares most of its regions with others
         pivots = members.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("top")).select("region", F.col("top.node").alias("pivot"))
@@ -343,18 +319,12 @@ def rest_of(docs: DataFrame, nodes: DataFrame, open_nodes: DataFrame, edges: Dat
 
 def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """node and label, for nodes with a link: the smallest node of the component."""
-    met = keep(first_pairs(docs, size, percent), "met")
-    edges = linked(measured(docs, nodes, keep(promising(met, nodes, percent), "promising"), size), percent)
+    members = regions(docs, size, percent)
+    met = promising(first_pairs(members), nodes, percent)
+    edges = keep(linked(measured(docs, nodes, keep(met, "promising"), size), percent), "links")
     labels = components(edges)
-    # a region is settled when all its members are in one component
-    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-    sides = met.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("of_a"), F.coalesce("label_b", "b").alias("of_b"))
-    unsettled = sides.where("of_a <> of_b")
-    open_labels = keep(unsettled.select(F.col("of_a").alias("label")).union(unsettled.select("of_b")).distinct(), "open")
-    if open_labels.isEmpty():
-        return labels
-    every = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    return components(rest_of(docs, nodes, every.join(open_labels, "label", "left_semi").select("node"), edges, labels, size, percent))
+    more = rest_of(docs, nodes, members, edges, labels, size, percent)
+    return labels if more is edges else components(more)
 
 
 def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
