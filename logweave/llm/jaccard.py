@@ -16,7 +16,7 @@ sketches never exceeds the sets' symmetric difference, so it proves most pairs t
 measured on whole sets, members sent to their pivot in blocks of bounded size.
 
 Recursion. A region whose members ended in several components may still hide links between members that are
-not with the pivot. It is joined again around its most central member as the next pivot, which then leaves. What is left is compared by sketches in blocks of bounded size, and only pairs of different
+not with the pivot. It is joined again around its most central member as the next pivot, which then leaves. What is left is compared by finer sketches in blocks of bounded size, and only pairs of different
 components that the sketches don't prove too far are sent on to be measured.
 
 Defined cases: documents without words, or with null text, have no shingles, link with nothing and are
@@ -57,9 +57,9 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the elements that fall in each of a power of two of cells, at least 64 and about n/2."""
-    cells = max(64, 1 << (len(hashes) // 2).bit_length())
+def sketch(hashes: np.ndarray, fine: bool = False) -> bytes:
+    """Parities of the elements that fall in each of a power of two of cells: at least 64 and n/2; fine: 1024 and 8 n."""
+    cells = max(1024, 1 << (8 * len(hashes)).bit_length()) if fine else max(64, 1 << (len(hashes) // 2).bit_length())
     odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -251,10 +251,25 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return keep(found.join(several, "region", "left_semi"), "members")
 
 
-def listed(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a region's members in different components that sizes and sketches don't prove too far."""
+def listed(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a region's members in different components that sizes and fine sketches don't prove too far.
+
+    In fine sketches next to no two elements share a cell, so hardly a pair is listed that is not a link.
+    """
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in slices(texts):
+                own = [shingle_set(t, size) for t in texts[a:b]]
+                rows = [(node, len(x), sketch(x, fine=True)) for node, x in zip(batch["node"].iloc[a:b], own) if len(x) and node_of(x) == node]
+                yield pd.DataFrame(rows, columns=["node", "n", "sketch"])
+
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
+    # a repeated document describes its node again
+    fine = keep(chosen_texts(docs, wanted).select("node", "text").mapInPandas(describe, "node long, n long, sketch binary").dropDuplicates(["node"]), "fine")
     sizes = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    facts = members.select("region", "node", "label").join(nodes.select("node", "n", "sketch"), "node").join(sizes, "region")
+    facts = members.select("region", "node", "label").join(fine, "node").join(sizes, "region")
     own = facts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "sketch")
 
@@ -313,7 +328,7 @@ def rest_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, edges: DataFr
         edges = keep(edges.union(linked(measured(docs, nodes, met, size), percent)), "links")
         # a pivot has met its whole region and leaves it
         members = labelled(placed.drop("pivot"), components(edges))
-    rest = keep(listed(members, nodes, percent), "rest")
+    rest = keep(listed(docs, members, nodes, size, percent), "rest")
     return keep(edges.union(linked(measured(docs, nodes, rest, size), percent)), "links")
 
 
