@@ -4,22 +4,26 @@ Centroids come from a bounded sample, split in two until each part holds at most
 sampling rate of vectors; a split always halves its part, so lists stay balanced where the sample is dense.
 Every vector goes to the list of its nearest centroid, and boundary vectors also to lists whose centroid
 is nearly as near (``REPLICATE``, ``COPIES``). Centroids are searched through an in-memory graph of each
-one's nearest centroids. A query searches all lists whose centroid is within ``RATIO`` times the distance of
-the nearest, and the ``LEAST`` nearest ones in any case; the search widens until it has passed that distance.
+one's nearest centroids. A query first searches the ``LEAST`` nearest lists, then all others whose centroid is within
+``RATIO`` times the distance of the nearest; the graph search widens until it has passed that distance. The first
+lists give the score of the k-th best so far, below which the others return nothing; a list returns one row for a
+query, its k best, however many vectors tie.
 
 Equal vectors are one entry that keeps its smallest ids: one more than are asked for, as no other can be
 among the nearest. A list that holds more than ``BLOCK`` entries is dealt to several blocks, and its queries
 go to each, so no task gathers a large list. Nothing is capped. Scores are cosines in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
-do rows with a null id; vectors of another length than the commonest (ties: the shorter) take no part; a
+do rows with a null id; vectors of each length are searched among themselves; a
 repeated id with different vectors is listed once for each, the best score counts; fewer candidates than
 asked give fewer rows.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,9 +39,9 @@ LIST_SIZE = 128
 MAX_LISTS = 16_384
 BLOCK = 4096
 #: A vector is also put into lists whose centroid is within REPLICATE times its nearest distance, COPIES in all.
-REPLICATE, COPIES = 1.1, 4
+REPLICATE, COPIES = 1.01, 3
 #: Measured recall of the five nearest on 51,282 vectors of 64 dimensions: see the README.
-RATIO, LEAST = 1.13, 8
+RATIO, LEAST = 1.14, 8
 DEGREE, BEAM = 24, 32
 
 
@@ -134,18 +138,40 @@ def lists_of(graph: Graph, x: np.ndarray, ratio: float, copies: int | None = Non
         todo, beam = np.array(wider, int), beam * 4
 
 
+def best_of(score: np.ndarray, firsts: np.ndarray, ids: list, query: int, k: int, bound: float) -> list[tuple[int, float]]:
+    """The k best (id, score) other than the query's own, at ``bound`` or above: by score to twelve digits, then by id."""
+    n = min(len(score), k + 2)
+    near = np.flatnonzero(score >= max(np.partition(score, -n)[-n], bound) - 1e-12)
+    level = np.round(score[near], 12)
+    best: list[tuple[float, int, float]] = []
+    for i in np.lexsort((firsts[near], -level)).tolist():
+        c, away = near[i], -float(level[i])
+        if len(best) == k and best[-1][:2] < (away, firsts[c]):
+            break
+        for v in ids[c]:
+            if v != query and all(v != b[1] for b in best):
+                bisect.insort(best, (away, int(v), float(score[c])))
+        del best[k:]
+    return [(v, x) for _, v, x in best]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, ratio: float = RATIO) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of ``vectors`` other than its own id.
 
     Both tables have id long and vec array<double>; a query's vector is compared on its direction only.
     """
+    sizes = sorted(r["size"] for r in vectors.where("vec is not null and size(vec) > 0").select(F.size("vec").alias("size")).distinct().collect())
+    found = [x for n in sizes if (x := search_length(vectors.where(F.size("vec") == n), queries.where(F.size("vec") == n), n, k, ratio)) is not None]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def search_length(vectors: DataFrame, queries: DataFrame, size: int, k: int, ratio: float) -> DataFrame | None:
+    """``search`` among vectors of one length; None if no vector takes part."""
     spark = vectors.sparkSession
-    lengths = vectors.where("vec is not null and size(vec) > 0").groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = lengths["size"] if lengths else 0
-    index = keep(entries(vectors.where(F.size("vec") == size), k), "entries")
+    index = keep(entries(vectors, k), "entries")
     total = index.count()
     if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     share = min(1.0, min(SAMPLE_ROWS, SAMPLE_FLOATS // size) / total)
     sample = index.where(hash_share(F.col("entry"), share)).orderBy("entry").select("vec").toPandas()
     points = unit(sample["vec"].tolist() if len(sample) else [r["vec"] for r in index.limit(1).collect()])
@@ -161,27 +187,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, ratio: float = RA
     posted = keep(index.mapInPandas(post, "list int, entry long, ids array<long>, vec array<double>"), "posted")
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)  # at most MAX_LISTS rows
+    lists = posted.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+    asked = keep(queries.join(index.select("vec"), "vec", "left_semi").select("id", "vec"), "asked")
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(c, i) for i, own in lists_of(graph.value, unit(batch["vec"].tolist()), ratio, least=LEAST) for c in own]
-            places = [i for _, i in rows]
-            yield pd.DataFrame({"list": [c for c, _ in rows], "query": batch["id"].to_numpy()[places], "vec": batch["vec"].to_numpy()[places]})
+    def probes(first: bool):
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                near = lists_of(graph.value, unit(batch["vec"].tolist()), 1.0 if first else ratio, least=LEAST)
+                rows = [(c, i) for i, own in near for c in (own[:LEAST] if first else own[LEAST:])]
+                places = [i for _, i in rows]
+                yield pd.DataFrame({"list": [c for c, _ in rows], "query": batch["id"].to_numpy()[places], "vec": batch["vec"].to_numpy()[places]})
 
-    asked = queries.where(F.size("vec") == size).join(index.select("vec"), "vec", "left_semi").select("id", "vec")
-    probes = asked.mapInPandas(probe, "list int, query long, vec array<double>").join(blocks, "list")
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = posted.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    none = F.lit(None)
-    both = lists.select("list", "block", F.lit(0).alias("kind"), none.cast("long").alias("query"), "entry", "ids", "vec").unionByName(
-        probes.select("list", "block", F.lit(1).alias("kind"), "query", none.cast("long").alias("entry"), none.cast("array<long>").alias("ids"), "vec")
-    )
+        return probe
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, ids, x = None, [], [], None
+        at, held, ids, x, firsts = None, [], [], None, None
         for batch in batches:
             out, keys = [], list(zip(batch["list"], batch["block"]))
-            kinds, i = batch["kind"].to_numpy(), 0
+            kinds, bounds, i = batch["kind"].to_numpy(), batch["bound"].fillna(-2.0).to_numpy(), 0
             while i < len(batch):
                 if keys[i] != at:
                     at, held, ids, x = keys[i], [], [], None
@@ -192,23 +215,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, ratio: float = RA
                     held += batch["vec"].iloc[i:j].tolist()
                     ids += batch["ids"].iloc[i:j].tolist()
                 elif held:
-                    x = unit(held) if x is None else x
+                    if x is None:
+                        x, firsts = unit(held), np.array([v[0] for v in ids])
                     for a in range(i, j, 256):
                         score = unit(batch["vec"].iloc[a : min(j, a + 256)].tolist()) @ x.T
-                        top = np.argsort(-score, 1, kind="stable")[:, : k + 2]
                         for r, query in enumerate(batch["query"].iloc[a : min(j, a + 256)]):
-                            least = score[r, top[r, -1]] - 1e-12
-                            tied = np.flatnonzero(score[r] >= least) if len(top[r]) == k + 2 else top[r]
-                            out += [(int(query), int(v), float(score[r, c])) for c in tied for v in ids[c] if v != query]
+                            if best := best_of(score[r], firsts, ids, query, k, bounds[a + r]):
+                                out.append((int(query), [v for v, _ in best], [s for _, s in best]))
                 i = j
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    both = both.repartition("list", "block").sortWithinPartitions("list", "block", "kind", "entry", "query")
-    found = both.mapInPandas(compare, "query_id long, vec_id long, score double")
-    # rounding may differ by the place in a block: a thousandth of a billionth makes a tie
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 12)).alias("away"), "vec_id", "score"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b"))
+            yield pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
+
+    none = F.lit(None)
+
+    def searched(asking: DataFrame) -> DataFrame:
+        """query_id and the arrays vec_ids and scores, a row for each query and block of a list."""
+        asking = asking.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = lists.select("list", "block", F.lit(0).alias("kind"), none.cast("long").alias("query"), none.cast("double").alias("bound"), "entry", "ids", "vec").unionByName(
+            asking.select("list", "block", F.lit(1).alias("kind"), "query", "bound", none.cast("long").alias("entry"), none.cast("array<long>").alias("ids"), "vec")
+        )
+        both = both.repartition("list", "block").sortWithinPartitions("list", "block", "kind", "entry", "query")
+        return both.mapInPandas(compare, "query_id long, vec_ids array<long>, scores array<double>")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        """query_id and best, its k best: rounding may differ by the place in a block, a thousandth of a billionth makes a tie."""
+        each = rows.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("f")).groupBy("query_id", F.col("f.vec_ids").alias("vec_id")).agg(F.max("f.scores").alias("score"))
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 12)).alias("away"), "vec_id", "score"))), 1, k)
+        return each.groupBy("query_id").agg(best.alias("best"))
+
+    first = merged(searched(asked.mapInPandas(probes(True), "list int, query long, vec array<double>").withColumn("bound", none.cast("double"))))
+    first = keep(first, "first")
+    bound = first.select("query_id", F.when(F.size("best") == k, F.element_at("best", -1)["score"]).alias("bound"))
+    more = asked.mapInPandas(probes(False), "list int, query long, vec array<double>").join(bound, F.col("query") == F.col("query_id"), "left")
+    so_far = first.select("query_id", F.col("best.vec_id").alias("vec_ids"), F.col("best.score").alias("scores"))
+    ranked = merged(so_far.unionByName(searched(more))).select("query_id", F.posexplode("best").alias("rank", "b"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 

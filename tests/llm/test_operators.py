@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -85,7 +86,9 @@ def test_sketch_and_regions_keep_every_link():
             shared = len(np.intersect1d(a, b))
             assert jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b)) <= len(a) + len(b) - 2 * shared
             if 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
-                assert len(np.intersect1d(rings.regions(a), rings.regions(b)))
+                common = {r for r, _, _ in rings.regions(a)} & {r for r, _, _ in rings.regions(b)}
+                found = [(np.intersect1d(x, y), max(s, t)) for r, x, s in rings.regions(a) for q, y, t in rings.regions(b) if r == q]
+                assert common and any(len(x) > spare for x, spare in found)
 
 
 def test_join_on_odd_rows(odd):
@@ -112,10 +115,18 @@ def test_one_row_of_each_group_stays(spark, odd):
 def test_pivots_of_first_pairs_are_sent_once(spark):
     words = [f"w{i}" for i in range(120)]
     docs = docs_frame(spark, [(i, " ".join([*words[:60], f"own{i}", *words[61:]]), "s") for i in range(400)]).repartition(8)
-    pairs = jaccard.first_pairs(docs, 3, 90)
-    most = max(len(jaccard.Rings(90).regions(jaccard.shingle_set(r["text"], 3))) for r in docs.limit(3).collect())
-    assert pairs.count() == pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() > 300
-    assert pairs.groupBy("a").count().agg(F.max("count")).first()[0] <= 2 * most
+    members = jaccard.regions(docs, 3, 90)
+    pairs = jaccard.first_pairs(members)
+    assert pairs.count() == pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() >= 399
+    most = members.groupBy("node").count().agg(F.max("count")).first()[0]
+    assert pairs.groupBy("a").count().agg(F.max("count")).first()[0] <= most
+
+
+def test_sets_that_share_a_passage_alone_do_not_meet(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"d{n}x{i}" for i in range(300)) + " " + passage for n in range(40)]
+    texts.append(texts[0] + " end")
+    assert jaccard.regions(docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), 3, 90).select("node").distinct().count() == 2
 
 
 def test_packing_cuts_every_id_once(odd):
@@ -213,6 +224,29 @@ def test_nearest_finds_the_nearest(spark):
     assert got["query_id"].nunique() == 150 and hits >= 0.9 * 750
     assert got[got["query_id"] == 10].sort_values("rank")["vec_id"].tolist() == [6, 7, 8, 9, 11]
     assert nearest.search(vectors.limit(0), vectors).count() == 0
+    short = spark.createDataFrame([*rows, (3000, [2.0, 2.0, 2.0]), (3010, [1.0, 0.0, 1.0])], "id long, vec array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in nearest.search(short, short.where("id = 3010")).orderBy("rank").collect()] == [(3010, 2004), (3010, 3000)]
+
+
+def test_ties_are_cut_by_id():
+    ids, score = [[7], [2, 9], [1, 8], [4], [3, 5, 6]], np.array([0.5, 0.9, 0.9, 0.9, 0.2])
+    firsts = np.array([v[0] for v in ids])
+    assert [v for v, _ in nearest.best_of(score, firsts, ids, 1, 3, -2.0)] == [2, 4, 8]
+    assert [v for v, _ in nearest.best_of(score, firsts, ids, 0, 9, -2.0)] == [1, 2, 4, 8, 9, 7, 3, 5, 6]
+    assert nearest.best_of(score, firsts, ids, 0, 3, 0.95) == []
+
+
+def test_nearest_query_on_the_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = nearest.unit(table["embedding"].tolist())
+    got, hits = QUERIES["op1_nearest_neighbours"](spark, d).toPandas(), 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[int(np.flatnonzero(table["vec_id"] == q)[0])]
+        want = [v for v in table["vec_id"].to_numpy()[np.lexsort((table["vec_id"], -np.round(s, 12)))] if v != q][:5]
+        hits += len(set(want) & set(g["vec_id"]))
+    asked = (table["vec_id"] % 50 == 0).sum()
+    assert got["query_id"].nunique() == asked and len(got) == 5 * asked and hits >= 0.9 * len(got)
 
 
 def test_models_on_odd_rows(spark, odd):
@@ -435,8 +469,62 @@ modification, are permitted provided that the following conditions are met:
     assert got == want | {(7, "MIT", 1, 0), (8, "Proprietary", 1, 1), (14, "MIT", 1, 0)}
 
 
-def test_pages_hold_out_and_odd_rows(spark):
-    model = pages.fit()
+@pytest.fixture(scope="module")
+def page_model():
+    return pages.fit()
+
+
+def test_pages_of_little_markup(page_model):
+    two = "The council met on Monday evening to talk about the new bridge. It will be built next year, the mayor said."
+    one = "Only one short paragraph is here, nothing else."
+    head = "<html><head><title>x</title>"
+    blog = f'<html><body><div class="post"><h2>A title</h2><p>{two}</p><p>{one}</p></div><div id=respond><h3>Leave a Reply</h3><form><label>Name</label><input><button>Send</button></form></div></body></html>'
+    for html, want in [
+        (f"<article><p>{two}</p></article>", two), (f"<main><p>{two}</p></main>", two), (f"<body><p>{two}</p><p>{one}</p><p>{two}</p></body>", f"{two}\n{one}\n{two}"),
+        (two, two), (f"{head}<p>{two}</p><p>{one}</p>", f"{two}\n{one}"), (blog, f"A title\n{two}\n{one}"),
+    ]:
+        assert page_model.text(html) == want
+
+
+def test_deep_pages_take_no_longer_than_wide_ones(page_model):
+    start = time.perf_counter()
+    page_model.text("<p>x</p>" * 20_000)
+    wide, start = time.perf_counter() - start, time.perf_counter()
+    page_model.text("".join(f"<div class=n{i}>x</q>" for i in range(20_000)))
+    assert time.perf_counter() - start < 10 * wide + 2
+
+
+def test_field_equals_enumerated_labellings():
+    rng = np.random.default_rng(6)
+    lengths = [1, 4, 6]
+    score, live = rng.normal(size=(3, 6)), np.arange(6) < np.array(lengths)[:, None]
+    pairs = rng.normal(size=(2, 2))
+    chance, both, whole = pages.marginals(score * live, live, pairs)
+    for row, n in enumerate(lengths):
+        ways = list(itertools.product((0, 1), repeat=n))
+        value = [sum(score[row, i] * y for i, y in enumerate(way)) + sum(pairs[a, b] for a, b in zip(way, way[1:])) for way in ways]
+        z = np.exp(value)
+        assert np.isclose(whole[row], np.log(z.sum()))
+        assert np.allclose(chance[row, :n], [(z * [way[i] for way in ways]).sum() / z.sum() for i in range(n)])
+        for a, b in itertools.product((0, 1), repeat=2):
+            assert np.isclose(both[row, :, a, b].sum(), (z * [sum((x, y) == (a, b) for x, y in zip(way, way[1:])) for way in ways]).sum() / z.sum())
+        blocks = pages.blocks_of("".join(f"<p>block {i}</p>" for i in range(n)))
+        model = pages.Model(rng.normal(size=1 << pages.TABLE_BITS), pairs)
+        own = [model.weights[f].sum() for f in pages.features(blocks)]
+        best = max(ways, key=lambda way: sum(own[i] * y for i, y in enumerate(way)) + sum(pairs[a, b] for a, b in zip(way, way[1:])))
+        assert [int(x) for x in model.content(blocks)] == list(best)
+        assert model.content(pages.blocks_of("<p>block 0</p>" * n, model.listed)) == model.content(pages.blocks_of("<p>block 0</p>" * n))
+
+
+def test_page_query_gives_the_articles(spark):
+    found = QUERIES["op10_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in found:
+        article = re.search(r"<article.*?</article>", r["html"], re.S)[0]
+        assert r["text"] == "\n".join(b.text for b in pages.blocks_of(article)) and r["n_chars"] == len(r["text"])
+
+
+def test_pages_hold_out_and_odd_rows(spark, page_model):
+    model = page_model
     held = pages.training_pages(120, seed=77)
     good = sum(model.text(h) == "\n".join(re.sub(r"\s+", " ", t).strip() for t in truth) for h, truth in held)
     assert good >= 0.8 * len(held)
@@ -447,7 +535,7 @@ def test_pages_hold_out_and_odd_rows(spark):
 
 
 def test_pages_without_head_end_and_body():
-    texts = lambda html: [b[0] for b in pages.blocks_of(html)]
+    texts = lambda html: [b.text for b in pages.blocks_of(html)]
     head = "<html><head><meta charset=utf-8><title>x</title><style>p {}</style><template><p>no</p></template><script>no()</script>"
     assert texts(head + "<p>One <b>text</b>.<p>Two.") == ["One text.", "Two."]
     assert texts(head + "\n bare text<p>Two.") == ["bare text", "Two."]
