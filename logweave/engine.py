@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
@@ -24,7 +25,10 @@ class Engine:
         self.store, self.cursors = LogStore(spark, config.warehouse), CursorCodec(config.cursor_secret)
 
     def ingest(self, body: str, now: dt.datetime | None = None) -> dict:
-        """Publish a body's valid entries; rejects by index. A return means that they can be read."""
+        """Publish a body's valid entries; rejects by index. A return means that they can be read.
+
+        A body of which nothing is accepted is an error of status 400 that carries what would be returned.
+        """
         if len(body.encode()) > self.config.body_limit:
             raise EngineError(413, "request body is too large")
         now = now or dt.datetime.now(dt.timezone.utc)
@@ -40,7 +44,10 @@ class Engine:
         if good:
             self.store.append(self.store.next_batch(), accepted(checked))
         checked.unpersist()
-        return {"accepted": good, "rejected": bad}
+        found = {"accepted": good, "rejected": bad}
+        if not good:
+            raise EngineError(400, "no log entry was accepted", body=found)
+        return found
 
     def list_logs(self, query: Mapping[str, object]) -> dict:
         filters, limit = parse_filters(query), parse_limit(query)
@@ -48,7 +55,7 @@ class Engine:
         after = self.cursors.decode(cursor, bound) if cursor is not None else None
         rows = paging.page(self.store.logs(), filters, limit + 1, after)
         found = rows.select("id", F.unix_micros("timestamp").alias("us"), iso_utc(F.col("timestamp")).alias("timestamp"), "level", "service", "message", F.to_json("attributes").alias("attributes")).collect()
-        logs = [{"id": str(r["id"]), **{k: r[k] for k in ("timestamp", "level", "service", "message", "attributes")}} for r in found[:limit]]
+        logs = [{"id": str(r["id"]), **{k: r[k] for k in ("timestamp", "level", "service", "message")}, "attributes": json.loads(r["attributes"])} for r in found[:limit]]
         last = found[limit - 1] if len(found) > limit else None
         return {"logs": logs, "next_cursor": self.cursors.encode(last["us"], last["id"], bound) if last else None}
 

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 class EngineError(Exception):
-    def __init__(self, status: int, message: str, retry_after: int | None = None):
+    def __init__(self, status: int, message: str, retry_after: int | None = None, body: dict | None = None):
         super().__init__(message)
-        self.status, self.message, self.retry_after = status, message, retry_after
+        self.status, self.message, self.retry_after, self.body = status, message, retry_after, body

@@ -123,6 +123,15 @@ def test_rollup_with_edges_equals_rows(spark):
         assert pick(aggregates.count_rollup(logs, rollup, asked, "5m", group)) == pick(aggregates.count_rows(logs, asked, "5m", group))
 
 
+def test_grouped_totals_equal_the_ungrouped_total(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=i * 37 % 4000), "abc"[i % 3], ["info", "error"][i % 2]) for i in range(200)]
+    logs = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, service string, level string")
+    asked = Filters(since="2024-01-01T00:00:30Z", until="2024-01-01T01:00:10Z")
+    sums = [{r["start"]: r["n"] for r in aggregates.count_rows(logs, asked, "5m", group).groupBy("start").agg(F.sum("count").alias("n")).collect()} for group in (None, "level", "service")]
+    assert sums[0] == sums[1] == sums[2] and sum(sums[0].values()) == sum(base + dt.timedelta(seconds=30) <= t < base + dt.timedelta(seconds=3610) for _, t, _, _ in rows)
+
+
 def test_engine_ingest_walk_and_retention(spark, tmp_path):
     engine = Engine(spark, EngineConfig(warehouse=str(tmp_path / "w"), cursor_secret=b"s"))
     same = [entry(message=f"m{i} 100%_", attributes={"n": i}) for i in range(25)]
@@ -140,9 +149,14 @@ def test_engine_ingest_walk_and_retention(spark, tmp_path):
     assert [b["count"] for b in engine.aggregate(asked)["buckets"]] == [1, 25]
     engine.retain(NOW)
     assert [b["count"] for b in engine.aggregate(asked)["buckets"]] == [25]
+    assert sorted(x["attributes"]["n"] for x in engine.list_logs({"q": "100%_"})["logs"]) == list(range(25))
     with pytest.raises(EngineError) as bad:
         engine.ingest("{", NOW)
     assert bad.value.status == 400
+    for entries, rejected in (([], []), ([entry(level="no")], [{"index": 0, "reason": "invalid level: 'no'"}])):
+        with pytest.raises(EngineError) as bad:
+            engine.ingest(json.dumps({"logs": entries}), NOW)
+        assert bad.value.status == 400 and bad.value.body == {"accepted": 0, "rejected": rejected}
 
 
 def test_stream_commits_each_batch_once(spark, tmp_path):
