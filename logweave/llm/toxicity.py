@@ -47,6 +47,8 @@ PIECE, OVERLAP, LINKED = 24, 8, 14
 #: Characters whose subsequences are summed at once, and characters of text that a task turns into classes at once.
 BLOCK, SLICE = 1 << 17, 1 << 19
 THRESHOLD = 0.3
+#: Windows whose landmarks' features the driver gathers at once.
+GATHERED = 40
 PENALTY = 1.0
 NOTHING = -9.0
 FOUND = "toxic int, first binary, second binary, other binary, margin double"
@@ -216,9 +218,9 @@ def kernel(windows: list[bytes], landmarks: list[bytes]) -> tuple[np.ndarray, np
         rows = np.broadcast_to(np.arange(len(places))[:, None], codes.shape)[live]
         scaled, columns = (weights / np.maximum(norm, 1e-6))[live], column[codes[live]]
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        for a in range(0, len(starts), 500):
-            first, last = starts[a], starts[a + 500] if a + 500 < len(starts) else len(rows)
-            out[places[rows[starts[a : a + 500]]]] = np.add.reduceat(own.T[columns[first:last]] * scaled[first:last, None], starts[a : a + 500] - first)
+        for a in range(0, len(starts), GATHERED):
+            first, last = starts[a], starts[a + GATHERED] if a + GATHERED < len(starts) else len(rows)
+            out[places[rows[starts[a : a + GATHERED]]]] = np.add.reduceat(own.T[columns[first:last]] * scaled[first:last, None], starts[a : a + GATHERED] - first)
     return out, kept, own
 
 
