@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ WORD_CACHE = 150_000
 #: Characters of text that a task turns into Python words at once.
 SLICE_CHARS = 2_000_000
 
+#: Rows that a Python worker gets at once while a table is kept, and bytes that a Parquet writer gathers: rows are whole texts.
+BATCH_ROWS, ROW_GROUP = 2000, 32 << 20
+BATCH_OPTION = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dir: dict[str, str] = {}
 
 
@@ -38,7 +43,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logweave/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_OPTION)
+    spark.conf.set(BATCH_OPTION, BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before)))
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(BATCH_OPTION, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +79,12 @@ def word_hashes(words: list) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def forget() -> None:
+    """Give back what a task that ends has remembered: its Python worker goes on to other tasks and stages."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """One 64-bit hash for each run of ``size`` words; fewer words give none."""
     n = len(words) - size + 1

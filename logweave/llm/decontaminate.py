@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import shingle_hashes, slices, word_hashes
+from logweave.llm.common import forget, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
 CONTAINMENT_PERCENT = 80
@@ -117,6 +117,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT
                 for a, b in slices(bodies):
                     rows = [(ids.iloc[i], items.ids[r], items.sizes[r], n) for i in range(a, b) for r, n in items.leaks(word_hashes(words_of(bodies[i])))]
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_shingles", "shared_shingles"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+            forget()
 
         found = found.unionByName(texts.mapInPandas(search, LEAKS))
     return found
@@ -129,6 +130,7 @@ def leaky(index, text: Column) -> Column:
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([t is not None and bool(index.value.leaks(word_hashes(words_of(t)))) for t in texts], dtype=bool)
+        forget()
 
     return leaks(text)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import keep, mixed, shingle_hashes, slices, word_hashes
+from logweave.llm.common import forget, keep, mixed, shingle_hashes, slices, word_hashes
 
 #: Ids that may be broadcast to choose documents; beyond it they are joined.
 BROADCAST_IDS = 300_000
@@ -115,6 +115,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 out = pd.DataFrame({"n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], "Int64"), "sketch": [sketch(s) if len(s) else None for s in sets]})
                 out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").values)
                 yield out
+        forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n_shingles long, node long, sketch binary")
 
@@ -154,6 +155,7 @@ def regions(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if found:
                     n = [len(keys) for keys, *_ in found]
                     yield pd.DataFrame({"region": np.concatenate([keys for keys, *_ in found])} | {c: np.repeat([f[i] for f in found], n) for i, c in enumerate(("node", "ring", "spare"), 1)})
+        forget()
 
     crossed = texts_of(docs).mapInPandas(cross, "region long, node long, ring int, spare int")
     # a set that several tasks have sent counts as often, for all sets alike
@@ -203,6 +205,7 @@ def measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) ->
                         data = own.tobytes()
                         rows += [(t["pivot"], t["block"], node != t["pivot"], node, data) for t in to]
                 yield pd.DataFrame(rows, columns=["pivot", "block", "member", "node", "data"])
+        forget()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, before = None, None, None
@@ -264,6 +267,7 @@ def listed(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, per
                 own = [shingle_set(t, size) for t in texts[a:b]]
                 rows = [(node, len(x), sketch(x, fine=True)) for node, x in zip(batch["node"].iloc[a:b], own) if len(x) and node_of(x) == node]
                 yield pd.DataFrame(rows, columns=["node", "n", "sketch"])
+        forget()
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
     # a repeated document describes its node again

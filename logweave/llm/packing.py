@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import keep, slices
+from logweave.llm.common import forget, keep, slices
 
 SEQUENCE = 2048
 WINDOW_SEQUENCES = 64
@@ -85,6 +85,10 @@ class Tokens:
         self.spelled = {i: spell(chr(i))[0][0] for i in range(ord("ß"), ord("ÿ") + 1)}
         self.chunks, self.words = Known(self.chunk, CHUNK_CACHE), Known(self.word, WORD_CACHE)
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
@@ -127,6 +131,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                     local.append(before[s])
                     before[s] += len(x) // 2
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").values, "source": sources, "ids": ids, "part": part, "local": local})
+        coder.forget()
+        forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")).mapInPandas(encode, "doc_id long, source string, ids binary, part int, local long")
 
