@@ -399,5 +399,19 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return single.unionByName(chosen).unionByName(rows.where("set is null").select("row.*"))
 
 
+#: The query's rows by plain SQL: all pairs that share a shingle, and what links reach.
+ORACLE = r"""with recursive
+worded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+sets as (select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+  else list_distinct([array_to_string(words[i:i + 2], ' ') for i in range(1, len(words) - 1)]) end as own from worded),
+elements as (select doc_id, unnest(own) as shingle from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from elements a join elements b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * k >= 90 * (len(x.own) + len(y.own) - k)),
+ways as (select a, b from links union select b, a from links),
+reach as (select doc_id as node, doc_id as root from sets union select b, root from reach join ways on a = node)
+select doc_id, cast(len(own) as bigint) as n_shingles, least_root as component_id
+from sets join (select node, min(root) as least_root from reach group by node) on node = doc_id"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
