@@ -39,17 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir["dir"]
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the shared folder."""
+    return f"{shared_dir(spark)}/logweave/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there: lineage ends, lost executors cost nothing."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    put(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logweave/{uuid.uuid4().hex}/{name}"
     before = spark.conf.get(BATCH_OPTION)
     spark.conf.set(BATCH_OPTION, BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before)))
     try:
         df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(BATCH_OPTION, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def id_crc(column: str) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import chat, decontaminate, fixity, jaccard, language, licences, nearest, packing, pages, toxicity
+from logweave.llm import chat, decontaminate, fixity, jaccard, language, licences, nearest, packing, pages, prefixes, recipes, repair, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": nearest.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_fixity": fixity.query,
     "op9_licence_scan": licences.query,
     "op10_html_extraction": pages.query,
+    "op11_structure_repair": repair.query,
+    "op12_prefix_trie": prefixes.query,
+    "op13_exact_dedup": recipes.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +29,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": chat.ORACLE,
     "op8_warc_fixity": fixity.ORACLE,
     "op9_licence_scan": licences.oracle(),
+    "op11_structure_repair": repair.ORACLE,
+    "op12_prefix_trie": prefixes.ORACLE,
+    "op13_exact_dedup": recipes.ORACLE,
 }
