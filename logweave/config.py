@@ -34,8 +34,9 @@ class EngineConfig:
     cursor_secret: bytes = field(default_factory=lambda: secrets.token_bytes(32))
     retention_days: int = 30
     max_log_age_days: int = 0
-    batch_delay_ms: int = 5
     max_files_per_trigger: int = 1000
+    deadline_seconds: int = 0
+    promoted_attributes: tuple[str, ...] = ()
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> EngineConfig:
@@ -47,5 +48,7 @@ class EngineConfig:
             cursor_secret=secret.encode() if secret else secrets.token_bytes(32),
             retention_days=integer(env, "RETENTION_DAYS", 30, 1, 3650),
             max_log_age_days=integer(env, "MAX_LOG_AGE_DAYS", 0, 0, 3650),
-            batch_delay_ms=integer(env, "BATCH_DELAY_MS", 5, 0, 100),
+            max_files_per_trigger=integer(env, "MAX_FILES_PER_TRIGGER", 1000, 1, 1_000_000),
+            deadline_seconds=integer(env, "DEADLINE_SECONDS", 0, 0, 86_400),
+            promoted_attributes=tuple(k for k in env.get("PROMOTED_ATTRIBUTES", "").split(",") if k),
         )

@@ -113,6 +113,28 @@ def edge_slices(since_us: int, until_us: int, unit_us: int = MINUTE_US) -> tuple
     return first, last, since_us < first, last < until_us
 
 
+def whole_cells(since_us: int, until_us: int, bucket: str, units: tuple[str, ...]) -> list[tuple[str | None, list[tuple[int, int]]]]:
+    """A half-open range as ranges of whole cells, largest unit first, then (None) the ranges that only rows can answer.
+
+    A unit is used if the bucket consists of whole cells of it; larger cells fill the middle, smaller ones what is left at both ends.
+    """
+    usable = sorted((BUCKETS[u], u) for u in units if BUCKETS[bucket] % BUCKETS[u] == 0)
+    left, out = [(since_us, until_us)] if since_us < until_us else [], []
+    for seconds, unit in reversed(usable):
+        whole, rest = [], []
+        for low, high in left:
+            first, last, *_ = edge_slices(low, high, seconds * 1_000_000)
+            if first < last:
+                whole.append((first, last))
+                rest += [(a, b) for a, b in ((low, first), (last, high)) if a < b]
+            else:
+                rest.append((low, high))
+        left = rest
+        if whole:
+            out.append((unit, whole))
+    return out + ([(None, left)] if left else [])
+
+
 def filter_hash(filters: Filters) -> str:
     """What a cursor is bound to: all filters, not the page size."""
     names = ("service", "level", "since", "until", "q")

@@ -11,9 +11,10 @@ from logweave.functions.text import iso_utc, plain_number
 from logweave.operators import aggregates, filters, paging
 from logweave.plans.requests import BUCKETS, Filters
 from logweave.schema import EVENT_LOGS_SQL, event_logs
+from logweave.scratch import scratch
 from logweave.sources.ingest import validated
-from logweave.sources.storage import retained
-from logweave.streaming.ingest import minute_counts
+from logweave.sources.storage import LogStore, retained
+from logweave.streaming.ingest import MinuteCounts
 
 SINCE, UNTIL = "2024-01-03T04:05:06.789Z", "2024-01-20T21:22:23.456789Z"
 SQL_RANGE = """"timestamp" >= timestamp '2024-01-03 04:05:06.789' and "timestamp" < timestamp '2024-01-20 21:22:23.456789'"""
@@ -32,14 +33,31 @@ def counts_sql(bucket: str, group: str | None, where: str) -> str:
     return f"""with {EVENT_LOGS_SQL} select time_bucket(interval '{BUCKETS[bucket]} seconds', "timestamp", timestamp '1970-01-01') as start, {key} as "group", count(*) as count from logs where {where} group by all"""
 
 
+_stores: dict[tuple[str, str], LogStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> LogStore:
+    """``events`` as a store with its rollup, written once an application and input, in two commits."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = LogStore(spark, f"{scratch(spark)}/events", promoted=("k",))
+        logs = event_logs(spark, sf_dir).withColumn("attributes", F.parse_json("props")).drop("props")
+        early = F.col("timestamp") < F.lit("2024-01-12").cast("timestamp_ntz")
+        for part in (logs.where(early), logs.where(~early)):
+            store.load(part)
+        _stores[key] = store
+    return _stores[key]
+
+
 def aggregate(name: str, bucket: str, group: str | None, where: str, rollup: bool = False, **given) -> None:
     asked = Filters(**(RANGE | given))
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = event_logs(spark, sf_dir)
         if rollup:
-            return aggregates.count_rollup(logs, aggregates.minute_deltas(logs), asked, bucket, group)
-        return aggregates.count_rows(logs, asked, bucket, group)
+            store = stored(spark, sf_dir)
+            counts = aggregates.count_cells(store.logs(), store.rollup, asked, bucket, group)
+            return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+        return aggregates.count_rows(event_logs(spark, sf_dir), asked, bucket, group)
 
     register(name, build, counts_sql(bucket, group, where))
 
@@ -138,7 +156,9 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import datetime as dt
 
-    checked = validated(bodies(spark, sf_dir), dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc))
+    # the table is one small file here: its bodies are dealt to all cores
+    dealt = bodies(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    checked = validated(dealt, dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc))
     return checked.select("batch", "index", "reason", iso_utc(F.col("timestamp")).alias("timestamp"), "service", F.try_element_at("attr_text", F.lit("k")).alias("k"))
 
 
@@ -154,30 +174,13 @@ register(
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute counts of ``events`` read as a stream, without a watermark: late rows count."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    path = f"{sf_dir}/events.parquet"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-logweave-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    place, written = f"{shared}/logweave/{uuid.uuid4().hex}", []
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path, place = f"{sf_dir}/events.parquet", scratch(spark)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     level = F.when(F.col("event_type") == "error", "error").otherwise("info")
-    counts = minute_counts(stream.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("service"), level.alias("level")))
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/counts/{number}")
-        written.append(number)
-
-    # each batch holds all counts so far, the last one those of the whole stream
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(counts.schema).parquet(f"{place}/counts/{written[-1]}") if written else spark.createDataFrame([], counts.schema)
-    return found.withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm"))
+    logs = stream.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("service"), level.alias("level"))
+    counts = MinuteCounts(spark, f"{place}/counts")
+    logs.writeStream.foreachBatch(counts.add).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return counts.counts().withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm"))
 
 
 register(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 LEVELS = ["debug", "info", "warn", "error"]
 LOGS = "timestamp timestamp, id bigint, level string, service string, message string, attributes variant, attr_text map<string,string>, ingested_at timestamp, month string"
 ROLLUP = "bucket_start timestamp, service string, level string, count bigint"
+REJECTS = "writer string, batch bigint, index bigint, reason string, month string"
 
 
 def month_of(timestamp: Column) -> Column:
@@ -16,13 +17,13 @@ def month_of(timestamp: Column) -> Column:
 
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as logs: id, timestamp, service, level, message, attr_text."""
+    """``events`` as logs: id, timestamp, service, level, message, attr_text, props (the attributes' JSON)."""
     kind = F.col("event_type")
     level = F.when(kind == "error", "error").when(kind == "purchase", "warn").when(kind == "signup", "info").otherwise("debug")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), kind.alias("service"), level.alias("level"),
         F.concat(kind, F.lit(" user "), F.col("user_id").cast("string")).alias("message"),
-        F.from_json("props", "map<string,string>").alias("attr_text"),
+        F.from_json("props", "map<string,string>").alias("attr_text"), "props",
     )
 
 

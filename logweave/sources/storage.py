@@ -1,99 +1,273 @@
-"""Logs and their minute rollup as Parquet, published batch by batch.
+"""Logs, their rollup and rejected entries as Parquet, published by compare-and-set on a tree of manifests.
 
-A batch writes its rows, then its rollup, then one row in ``commits``; readers join with the commits, so a
-batch that broke off is not seen and can be written again. Batch ids are one sequence of the store, which orders
-batches and retention alike; a writer that may replay a batch names it by itself and the writer's own number, and both
-stand in the commit, also after retention. Retention writes a batch that replaces those before it. One process writes
-at a time.
+A snapshot names, for each month, a manifest of that month: the folders that hold its rows, with their numbers of rows and
+first and last timestamps. A commit writes its rows under a fresh folder, a new manifest of each month that it
+touches, and the next snapshot, which is created only if nobody else has created it; otherwise it is built anew on the
+other's. So any number of engines, streams, retention and compaction passes may work on one store at once.
+
+Retention drops whole months from the snapshot and rewrites the folders of the month that holds the cutoff, no other;
+``vacuum`` removes folders and manifests that no snapshot names any more. A reader of an older snapshot sees it whole
+until then. The rollup holds each commit's counts by minute, hour and day, so a range of time is read as a few whole cells.
+
+Ids are reserved as a range by a commit of their own before rows are written, so they are unique whatever else is going
+on. They follow the entries' order within each body without gaps within a batch: rows are numbered within the parts in which they were read, and
+parts by the sums of those before, of which the driver holds one number a part.
+
+A writer that may replay its batches names itself and its own number; the snapshot keeps each writer's last number.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import time
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.operators.aggregates import minute_deltas
-from logweave.schema import month_of
+from logweave.operators.aggregates import UNITS, cells
+from logweave.schema import LOGS, REJECTS, ROLLUP, month_of
+from logweave.sources.snapshots import Conflict, Snapshots
 
-COMMITS = "batch bigint, replaces boolean, next_id bigint, writer string, number bigint"
+WRITERS = "batch bigint, writer string, number bigint"
+SCHEMAS = {"logs": LOGS, "rejects": REJECTS}
 
 
 class LogStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    """promoted: attribute keys that get a column of their own with a Bloom filter (``attr_<key>``)."""
 
-    def every_commit(self) -> DataFrame:
-        """One row for each batch that was ever published."""
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        if not self.files(place).exists(place):
-            return self.spark.createDataFrame([], COMMITS)
-        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
+    def __init__(self, spark: SparkSession, path: str, promoted: Iterable[str] = ()):
+        self.spark, self.path, self.promoted = spark, path, tuple(promoted)
+        self.snapshots = Snapshots(spark, path)
+        self.files, self.known = self.snapshots.files, {}
+
+    # what is published
+
+    def snapshot(self, version: int | None = None) -> dict:
+        return self.snapshots.latest()[1] if version is None else self.snapshots.at(version)
+
+    def folders(self, seen: dict, table: str, month: str) -> list[dict]:
+        """id, rows, first, last of each folder that holds rows of a month; manifests never change, so they are read once."""
+        summary = seen.get(table, {}).get(month)
+        if not summary:
+            return []
+        name = summary["manifest"]
+        if name not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[name] = json.loads(self.files.read(f"_months/{name}.json"))
+        return self.known[name]
+
+    def months(self, table: str = "logs", version: int | None = None) -> list[str]:
+        return sorted(self.snapshot(version).get(table, {}))
+
+    def read(self, table: str, places: list[str], schema: str) -> DataFrame:
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, commit string").option("basePath", f"{self.path}/{table}").parquet(*places).drop("commit")
 
-    def files(self, place):
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def published(self, table: str, seen: dict, months: Iterable[str] | None = None, ids: set[str] | None = None) -> DataFrame:
+        months = sorted(seen.get(table, {})) if months is None else months
+        places = [f"{self.path}/{table}/commit={f['id']}/month={m}" for m in months for f in self.folders(seen, table, m) if ids is None or f["id"] in ids]
+        columns = SCHEMAS[table] + "".join(f", `attr_{k}` string" for k in self.promoted) * (table == "logs")
+        return self.read(table, places, columns)
 
-    def commits(self) -> DataFrame:
-        """One row for each published batch that no later one replaces."""
-        every = self.every_commit()
-        last = every.where("replaces").agg(F.max("batch").alias("last"))
-        return every.join(F.broadcast(last), F.col("last").isNull() | (F.col("batch") >= F.col("last"))).drop("last")
+    def logs(self, version: int | None = None, months: Iterable[str] | None = None) -> DataFrame:
+        return self.published("logs", self.snapshot(version), months)
+
+    def rejects(self, version: int | None = None) -> DataFrame:
+        """writer, batch (the body), index (null: the body itself), reason of what was not accepted."""
+        return self.published("rejects", self.snapshot(version))
+
+    def rollup(self, unit: str = "1m", version: int | None = None, seen: dict | None = None) -> DataFrame:
+        """bucket_start, service, level, count, month of whole minutes, hours (1h) or days (1d)."""
+        seen = self.snapshot(version) if seen is None else seen
+        places = [f"{self.path}/rollup/commit={f['id']}/unit={unit}/month={m}" for m in sorted(seen.get("logs", {})) for f in self.folders(seen, "logs", m)]
+        deltas = self.read("rollup", places, f"{ROLLUP}, unit string, month string")
+        return deltas.groupBy("bucket_start", "service", "level", "month").agg(F.sum("count").alias("count"))
+
+    def every_commit(self) -> DataFrame:
+        """The last batch of each writer that numbers its own."""
+        version, seen = self.snapshots.latest()
+        return self.spark.createDataFrame([(version, w, n) for w, n in seen.get("writers", {}).items()], WRITERS)
 
     def next_batch(self) -> int:
-        last = self.every_commit().agg(F.max("batch")).first()[0]
-        return 0 if last is None else last + 1
-
-    def published(self, table: str) -> DataFrame:
-        batches = [r["batch"] for r in self.commits().select("batch").distinct().collect()]
-        if not batches:
-            raise FileNotFoundError(f"no batch was published in {self.path}")
-        # the partition column prunes batches that were not published or have been replaced
-        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("batch").isin(batches)).drop("batch")
-
-    def logs(self) -> DataFrame:
-        return self.published("logs")
-
-    def rollup(self) -> DataFrame:
-        return self.published("rollup").groupBy("bucket_start", "service", "level").agg(F.sum("count").alias("count"))
-
-    def next_id(self) -> int:
-        return self.commits().agg(F.max("next_id")).first()[0] or 1
-
-    def append_once(self, writer: str, number: int, rows: DataFrame) -> None:
-        """Publish accepted rows as the store's next batch, unless the writer's batch of this number was published before."""
-        if self.every_commit().where((F.col("writer") == writer) & (F.col("number") == number)).isEmpty():
-            self.append(self.next_batch(), rows, writer, number)
-
-    def append(self, batch: int, rows: DataFrame, writer: str | None = None, number: int | None = None) -> None:
-        """Publish accepted rows (batch, index order); a batch id that is published already is left alone."""
-        if not self.every_commit().where(F.col("batch") == batch).isEmpty():
-            return
-        first = self.next_id()
-        rows = rows.drop("month").withColumn("ingested_at", F.current_timestamp())
-        # ids follow the entries' order within each body; bodies are numbered by sums over their sizes
-        sizes = rows.groupBy(F.col("batch").alias("of")).agg(F.count("*").alias("k"))
-        base = sizes.select("of", (F.sum("k").over(Window.orderBy("of")) - F.col("k")).alias("base"))
-        place = F.row_number().over(Window.partitionBy("batch").orderBy("index")) - 1
-        numbered = rows.withColumn("place", place).join(base, F.col("batch") == F.col("of")).withColumn("id", F.col("base") + F.col("place") + first)
-        self.write(batch, numbered.drop("batch", "of", "base", "place", "index"), replaces=False, first=first, writer=writer, number=number)
-
-    def write(self, batch: int, rows: DataFrame, replaces: bool, first: int, writer: str | None = None, number: int | None = None) -> None:
-        for table in ("logs", "rollup"):  # what a batch of this id that broke off has left
-            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/batch={batch}")
-            self.files(place).delete(place, True)
-        out = rows.withColumn("month", month_of(F.col("timestamp"))).withColumn("batch", F.lit(batch).cast("bigint"))
-        mode = "overwrite"
-        out.sortWithinPartitions("month", "timestamp", "id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month").parquet(f"{self.path}/logs")
-        stored = self.spark.read.schema(out.schema).parquet(f"{self.path}/logs").where(F.col("batch") == batch)
-        minute_deltas(stored).withColumn("batch", F.lit(batch).cast("bigint")).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/rollup")
-        last = stored.agg(F.max("id")).first()[0]
-        self.spark.createDataFrame([(batch, replaces, max(first, (last or 0) + 1), writer, number)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-
-    def retain(self, batch: int, now: dt.datetime, days: int) -> None:
-        """Keep rows of the last ``days``: rows and rollup change in one commit, the cut minute is counted anew."""
-        self.write(batch, retained(self.logs(), now, days).drop("month"), replaces=True, first=self.next_id())
+        return self.snapshots.latest()[0] + 1
+
+    # commits
+
+    def replaced(self, seen: dict, table: str, month: str, gone: set[str], new: list[dict]) -> dict:
+        """The snapshot with other folders in a month."""
+        folders = [f for f in self.folders(seen, table, month) if f["id"] not in gone] + new
+        months = {m: s for m, s in seen.get(table, {}).items() if m != month}
+        if folders:
+            name = uuid.uuid4().hex
+            self.files.write(f"_months/{name}.json", json.dumps(folders))
+            months[month] = {"manifest": name, "folders": len(folders), "rows": sum(f["rows"] for f in folders), "first": min(f["first"] for f in folders), "last": max(f["last"] for f in folders)}
+        return seen | {table: months}
+
+    def reserve(self, count: int) -> int:
+        """The first of so many ids that nobody else gets."""
+        first = []
+
+        def put(seen: dict) -> dict:
+            first[:] = [seen.get("next_id", 1)]
+            return seen | {"next_id": first[0] + count}
+
+        self.snapshots.change(put)
+        return first[0]
+
+    def replayed(self, seen: dict, writer: str | None, number: int | None) -> bool:
+        return writer is not None and seen.get("writers", {}).get(writer, -1) >= number
+
+    def append_once(self, writer: str, number: int, rows: DataFrame) -> int:
+        """Publish a writer's batch unless it was published before; a writer's numbers grow."""
+        return 0 if self.replayed(self.snapshot(), writer, number) else self.append(None, rows, writer, number)
+
+    def append(self, batch: int | None, rows: DataFrame, writer: str | None = None, number: int | None = None) -> int:
+        """Publish what ``validated`` gives, all of it in one commit, and return the number of accepted rows.
+
+        Rows with a reason are rejects; rows without the column are all accepted. The entries of a body have to lie in one
+        part of ``rows``, as ``validated`` leaves them. ``batch`` is the number from which a commit is tried; one that is
+        taken means the next.
+        """
+        for c in ("index", "batch"):
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("long"))
+        if "reason" not in rows.columns:
+            rows = rows.withColumn("reason", F.lit(None).cast("string"))
+        # bodies are parsed once: everything below reads what this writes
+        folder = uuid.uuid4().hex
+        place = f"{self.path}/_staging/{folder}"
+        staged = rows.withColumn("month", month_of(F.col("timestamp"))).withColumn("part", F.spark_partition_id())
+        staged.write.parquet(place)
+        staged = self.spark.read.schema(staged.schema).parquet(place)
+        good, bad = staged.where("reason is null"), staged.where("reason is not null")
+        try:
+            total = 0
+            new: dict[str, list[dict]] = {}
+            parts = sorted((r["part"], r["count"]) for r in good.groupBy("part").count().collect())
+            if total := sum(n for _, n in parts):
+                first, bases = self.reserve(total), []
+                for part, n in parts:
+                    bases.append((part, first))
+                    first += n
+                base = F.broadcast(self.spark.createDataFrame(bases, "part int, base bigint"))  # one row a part
+                nth = F.row_number().over(Window.partitionBy("part").orderBy("batch", "index")) - 1
+                numbered = good.withColumn("nth", nth).join(base, "part").withColumn("id", F.col("base") + F.col("nth"))
+                new = self.write(folder, numbered.withColumn("ingested_at", F.current_timestamp()), good)
+            rejected = bad.groupBy().count().first()[0]
+            if rejected:
+                now = dt.datetime.now(dt.timezone.utc)
+                bad.select(F.lit(writer).cast("string").alias("writer"), "batch", F.col("index").cast("bigint").alias("index"), "reason", F.lit(f"{now:%Y_%m}").alias("month")).write.partitionBy("month").parquet(f"{self.path}/rejects/commit={folder}")
+            if total or rejected or writer is not None:
+
+                def put(seen: dict) -> dict | None:
+                    if self.replayed(seen, writer, number):
+                        return None
+                    for month, folders in new.items():
+                        seen = self.replaced(seen, "logs", month, set(), folders)
+                    if rejected:
+                        us = int(now.timestamp() * 1_000_000)
+                        seen = self.replaced(seen, "rejects", f"{now:%Y_%m}", set(), [{"id": folder, "rows": rejected, "first": us, "last": us}])
+                    return seen | ({"writers": seen.get("writers", {}) | {writer: number}} if writer is not None else {})
+
+                self.snapshots.change(put)
+        finally:
+            self.files.delete(f"_staging/{folder}")
+        return total
+
+    def load(self, rows: DataFrame) -> None:
+        """Publish rows that have ids of their own: LOGS' columns but ``month`` and ``ingested_at``."""
+        rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("month", month_of(F.col("timestamp"))).withColumn("ingested_at", F.current_timestamp())
+        new, last = self.write(uuid.uuid4().hex, rows, rows), rows.agg(F.max("id")).first()[0]
+
+        def put(seen: dict) -> dict:
+            for month, folders in new.items():
+                seen = self.replaced(seen, "logs", month, set(), folders)
+            return seen | {"next_id": max(seen.get("next_id", 1), (last or 0) + 1)}
+
+        self.snapshots.change(put)
+
+    def write(self, folder: str, rows: DataFrame, counted: DataFrame) -> dict[str, list[dict]]:
+        """Write rows and their cells as a folder that nothing names yet; its entry for each month. counted: the same rows, ids aside."""
+        columns = [c.split()[0] for c in LOGS.split(", ")]
+        keys = [F.try_element_at("attr_text", F.lit(k)).alias(f"attr_{k}") for k in self.promoted]
+        out = rows.select(*columns, *keys).sortWithinPartitions("month", "timestamp", "id").write.partitionBy("month")
+        for k in self.promoted:
+            out = out.option(f"parquet.bloom.filter.enabled#attr_{k}", "true").option(f"parquet.enable.dictionary#attr_{k}", "false")
+        out.parquet(f"{self.path}/logs/commit={folder}")
+        stored = cells(counted.select("timestamp", "service", "level")).withColumn("month", month_of(F.col("bucket_start")))
+        stored.repartition("unit", "month").sortWithinPartitions("unit", "month", "bucket_start").write.partitionBy("unit", "month").parquet(f"{self.path}/rollup/commit={folder}")
+        us = F.unix_micros("timestamp")
+        found = counted.groupBy("month").agg(F.count("*").alias("rows"), F.min(us).alias("first"), F.max(us).alias("last")).collect()  # one row a month
+        return {r["month"]: [{"id": folder, "rows": r["rows"], "first": r["first"], "last": r["last"]}] for r in found}
+
+    # upkeep
+
+    def rewrite(self, seen: dict, month: str, gone: set[str], kept: DataFrame) -> dict[str, list[dict]]:
+        folder = uuid.uuid4().hex
+        return self.write(folder, kept, kept)
+
+    def retain(self, now: dt.datetime, days: int) -> None:
+        """Drop rows older than ``days``: whole months by name, and of the cutoff's month the folders that hold older rows are rewritten."""
+        cutoff = now - dt.timedelta(days=days)
+        cutoff = cutoff.replace(tzinfo=dt.timezone.utc) if cutoff.tzinfo is None else cutoff
+        least, edge = int(cutoff.timestamp()) * 1_000_000 + cutoff.microsecond, f"{cutoff:%Y_%m}"
+        for _ in range(20):
+            seen = self.snapshot()
+            gone = {f["id"] for f in self.folders(seen, "logs", edge) if f["first"] < least}
+            kept = self.published("logs", seen, [edge], gone).where(F.unix_micros("timestamp") >= least)
+            new = self.rewrite(seen, edge, gone, kept).get(edge, []) if gone else []
+            if not gone and all(m >= edge for table in SCHEMAS for m in seen.get(table, {})):
+                return
+            try:
+                self.snapshots.change(lambda at: self.swapped({**at, **{t: {m: s for m, s in at.get(t, {}).items() if m >= edge} for t in SCHEMAS}}, edge, gone, new))
+                return
+            except Conflict:
+                continue
+        raise Conflict("other passes rewrite the same month")
+
+    def swapped(self, seen: dict, month: str, gone: set[str], new: list[dict]) -> dict:
+        """The snapshot with new folders in place of those that were read; what others have added meanwhile stays."""
+        if gone - {f["id"] for f in self.folders(seen, "logs", month)}:
+            raise Conflict(f"folders of {month} were replaced by others")
+        return self.replaced(seen, "logs", month, gone, new) if gone or new else seen
+
+    def compact(self, most: int = 16) -> None:
+        """Rewrite as one folder the rows of each month that has more than ``most``; a month that others rewrite is left to them."""
+        for month in self.months():
+            seen = self.snapshot()
+            gone = {f["id"] for f in self.folders(seen, "logs", month)}
+            if len(gone) > most:
+                rows = self.published("logs", seen, [month], gone)
+                new = self.rewrite(seen, month, gone, rows.repartitionByRange("timestamp")).get(month, [])
+                try:
+                    self.snapshots.change(lambda at, m=month, g=gone, n=new: self.swapped(at, m, g, n))
+                except Conflict:
+                    continue
+
+    def vacuum(self, keep: int = 1, grace: float = 86_400) -> list[str]:
+        """Remove all but the last ``keep`` snapshots, and folders that none of these names and that are older than ``grace`` seconds."""
+        versions = self.snapshots.versions()
+        named, manifests = set(), set()
+        for v in versions[-keep:]:
+            seen = self.snapshots.at(v)
+            for table in SCHEMAS:
+                for month, summary in seen.get(table, {}).items():
+                    manifests.add(f"{summary['manifest']}.json")
+                    named |= {f"commit={f['id']}" for f in self.folders(seen, table, month)}
+        for v in versions[:-keep]:
+            self.files.delete(f"_snapshots/{v:020d}.json")
+        removed = []
+        for folder, wanted in (("logs", named), ("rollup", named), ("rejects", named), ("_months", manifests), ("_staging", set())):
+            for name, changed in self.files.listed(folder):
+                if name not in wanted and changed <= time.time() - grace:
+                    self.files.delete(f"{folder}/{name}")
+                    removed.append(f"{folder}/{name}")
+        return removed
 
 
 def retained(logs: DataFrame, now: dt.datetime, days: int) -> DataFrame:
