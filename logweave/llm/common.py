@@ -22,6 +22,8 @@ SLICE_CHARS = 2_000_000
 #: Rows that a Python worker gets at once while a table is kept, and bytes that a Parquet writer gathers: rows are whole texts.
 BATCH_ROWS, ROW_GROUP = 2000, 32 << 20
 BATCH_OPTION = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Once a table is kept, nothing reads the shuffles again that made it.
+CLEANUP_OPTION = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: dict[str, str] = {}
 
@@ -53,12 +55,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def put(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    before = spark.conf.get(BATCH_OPTION)
+    before, cleaned = spark.conf.get(BATCH_OPTION), spark.conf.get(CLEANUP_OPTION)
     spark.conf.set(BATCH_OPTION, BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before)))
+    spark.conf.set(CLEANUP_OPTION, "true")
     try:
         df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(BATCH_OPTION, before)
+        spark.conf.set(CLEANUP_OPTION, cleaned)
 
 
 def id_crc(column: str) -> Column:
