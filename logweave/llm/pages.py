@@ -18,6 +18,7 @@ empty text; repeated rows each get their row; text without any tag is a block.
 from __future__ import annotations
 
 import html as references
+import functools
 import random
 import re
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ TABLE_BITS = 15
 TRAINING_PAGES, STEPS, RATE, PENALTY = 1500, 200, 0.08, 2e-4
 #: The share of training pages with little markup.
 BARE = 0.35
+#: What a paragraph gets on a page of which nothing else is kept.
+LENIENT = 2.0
 
 #: Elements of HTML whose tags part blocks, and those whose content is no text.
 BLOCKS = set(
@@ -75,6 +78,10 @@ class Block:
     def __init__(self, frame: Frame | None, inherited: tuple, score: float):
         self.text, self.pieces, self.frame, self.linked, self.forms, self.inherited, self.score = "", [], frame, 0, 0, inherited, score
 
+    def is_paragraph(self) -> bool:
+        """A paragraph of whole sentences, by its own tag and text."""
+        return self.frame is not None and self.frame.tag in ("p", "blockquote", "pre") and self.text[-1] in ENDS and self.text.count(" ") > 4 and self.linked < 0.3 and not self.forms
+
 
 def blocks_of(html: str, weights: list[float] | None = None) -> list[Block]:
     """Each leaf block with text, in order: its text, innermost element, share of text in links, form controls.
@@ -259,13 +266,22 @@ class Model:
         self.weights, self.pairs, self.listed = weights, pairs, weights.tolist()
 
     def content(self, blocks: list[Block]) -> list[bool]:
-        """The best labelling, by Viterbi; of blocks that were read with or without the model's weights."""
+        """The best labelling, by Viterbi; of blocks that were read with or without the model's weights.
+
+        If it holds nothing, paragraphs of whole sentences get the benefit of the doubt, LENIENT more each.
+        """
+        found = self.decoded(blocks)
+        if not any(found) and any(plain := [b.is_paragraph() for b in blocks]):
+            return self.decoded(blocks, [LENIENT * p for p in plain])
+        return found
+
+    def decoded(self, blocks: list[Block], more: list[float] | None = None) -> list[bool]:
         if not blocks:
             return []
         (aa, ab), (ba, bb) = self.pairs.tolist()
         off, on, back = 0.0, 0.0, []
         for i, f in enumerate(features(blocks)):
-            s = float(self.weights[f].sum()) + blocks[i].score
+            s = float(self.weights[f].sum()) + blocks[i].score + (more[i] if more else 0.0)
             if i:
                 from_off, from_on = (off + aa >= on + ba), (off + ab >= on + bb)
                 back.append((from_off, from_on))
@@ -405,12 +421,16 @@ class Maker:
         """A page of little markup: an article with few parts around it or none, often without headings, in any wrapper or none."""
         r, body = self.r, []
         self.anonymous, self.h1_free = r.choice([0, 0, 0.5]), False
-        kind = r.choice(["plain", "body", "body", "article", "article", "main", "div", "section", "blog", "blog"])
+        kind = r.choice(["plain", "body", "body", "article", "article", "main", "div", "section", "blog", "blog", "blog", "blog", "blog", "wiki"])
         truth = [" ".join(self.sentence() for _ in range(r.choice([1, 2, 2, 3, 5, 8]))) for _ in range(r.choice([1, 1, 2, 3, 5, 8]))]
         if kind == "plain":
             return r.choice(["{}", "{}\n", "<p>{}", "<!DOCTYPE html>{}", "<html><body>{}"]).format(r.choice(["\n", " ", "<br>", "<br><br>"]).join(truth)), [" ".join(truth)]
         each = r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<p class=par>{}</p>"])
         body = [each.format(x) for x in truth]
+        if kind not in ("plain", "body") and len(truth) > 1 and r.random() < 0.15:  # a list of links between paragraphs
+            at, items = r.randint(1, len(truth) - 1), [self.words(6) for _ in range(r.randint(2, 5))]
+            body.insert(at, "<ul>" + "".join(f'<li><a href="/{self.word()}">{x}</a></li>' for x in items) + "</ul>")
+            truth[at:at] = items
         if r.random() < 0.35:
             title = self.words(8)
             body.insert(0, r.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<h3>{}</h3>"]).format(title))
@@ -420,8 +440,20 @@ class Maker:
             name = r.choice(["post", "entry", "hentry", "blog-post", "single", "content"])
             reply = f'<h3>{self.words(3)}</h3>' * (r.random() < 0.6) + r.choice(["<form>{}</form>", "<p>{}</p>", "<form><p>{}</p><textarea></textarea></form>"]).format(f"<label>{self.words(2)}</label><input><button>{self.words(1)}</button>")
             said = "".join(f"<li><b>{self.words(2)}</b><p>{self.sentence()}</p></li>" for _ in range(r.choice([0, 0, 1, 3])))
-            parts = [f"<ol class={r.choice(PART_NAMES['comment'])}>{said}</ol>"] * bool(said) + [f'<div id="{r.choice(["respond", "reply", "commentform", "comments"])}">{reply}</div>']
-            whole = f'<div class="{name}">{whole}{"" if (inside := r.random() < 0.4) else "</div>"}{"".join(parts)}{"</div>" if inside else ""}'
+            heading = r.choice(["<h3>{}</h3>", "<h2>{}</h2>", "<h3 class=comments-title>{}</h3>", "<p>{}</p>"]).format(f"{r.randint(1, 40)} {self.words(2)}") * (bool(said) and r.random() < 0.6)
+            parts = [heading + f"<ol class={r.choice(PART_NAMES['comment'])}>{said}</ol>"] * bool(said) + [f'<div id="{r.choice(["respond", "reply", "commentform", "comments"])}">{reply}</div>'] * (r.random() < 0.8)
+            # a theme's lines about the post stand before or behind its text, inside its own element
+            when = r.choice(["{1} {0}, {2} {3}", "{0} {1} {2} {3}", "{3} {1} {0}, {2}", "{1} {0}, {2}"]).format(r.randint(1, 31), self.words(1), r.randint(1990, 2030), self.words(2))
+            line, tagged = r.choice(["<p class={0}>{1}</p>", "<div class={0}>{1}</div>", "<div class={0}><span>{1}</span></div>", "<p>{1}</p>"]), ", ".join(f'<a href="/{self.word()}">{self.word()}</a>' for _ in range(r.randint(1, 4)))
+            about = line.format(r.choice(["meta", "entry-meta", "byline", "posted-on", "post-meta", "date"]), when) * (r.random() < 0.5)
+            below = line.format(r.choice(["tags", "post-tags", "cat-links", "entry-footer", "postmetadata"]), f"{self.words(2)} {tagged}") * (r.random() < 0.5)
+            cut = whole.find(">", whole.find("</h")) + 1 if whole.startswith("<h") else 0
+            whole = whole[:cut] + about + whole[cut:] + below
+            whole = f'<div class="{name}">{whole}{"" if (inside := r.random() < 0.55) else "</div>"}{"".join(parts)}{"</div>" if inside else ""}'
+        elif kind == "wiki":
+            last = f"{self.words(5)} {r.randint(1, 31)} {self.words(1)} {r.randint(1990, 2030)}, {r.randint(0, 23)}:{r.randint(10, 59)}."
+            foot = r.choice(["<li>{}</li>", "<p>{}</p>", "<div>{}</div>"]).format(last) + (f"<p>{self.sentence()}</p>" if r.random() < 0.5 else "")
+            whole = f'<div id="{r.choice(PART_NAMES["content"])}">{whole}</div><div id="{r.choice(["footer", "footer-info", "catlinks", "page-info"])}">{foot}</div>'
         elif kind != "body":
             whole = f"<{kind}>{whole}</{kind}>" if r.random() < 0.7 else f"{self.open(kind, 'content')}{whole}</{kind}>"
         before = "".join(self.boilerplate(p) for p in ("header", "menu", "notice") if r.random() < 0.2)
@@ -490,6 +522,12 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[str, l
     return [maker.page() for _ in range(n)]
 
 
+@functools.cache
+def own_model() -> Model:
+    """The model of the templates' pages, fitted once a process: they are the same each time."""
+    return fit()
+
+
 def fit(pages: list[tuple[str, list[str]]] | None = None) -> Model:
     """A model from labelled pages: (html, texts of the content blocks in order)."""
     rows = []
@@ -518,7 +556,7 @@ def extracted(spark: SparkSession, model: Model, html: Column) -> Column:
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
-    text = extracted(pages.sparkSession, model or fit(), F.col("html"))
+    text = extracted(pages.sparkSession, model or own_model(), F.col("html"))
     return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
