@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel.
 
-A text is its letters and digits in lower case; whatever stands between them is one blank, a character like others.
+A text is its letters and digits in lower case, styled letters folded to plain ones (NFKC); whatever stands between them is one blank, a character like others.
 A sentence is as toxic as its worst window, and a document as its worst sentence. Windows are runs of neighbouring
 words with the blanks around them: every word, every pair of at most PIECE characters, and longer runs of at most
 LINKED, so insults parted by blanks or signs ("st up id", "i-d-i-o-t") are windows too; runs of single characters are
@@ -25,6 +25,7 @@ scored whole, in blocks of BLOCK characters.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -71,17 +72,29 @@ _fill_classes()
 NORM = np.sqrt([max(1e-9, sum((n - b) * DECAY ** (2 * b + 2) for _, b in OFFSETS if b < n)) for n in range(PIECE + 3)])
 
 
+def folded(text: str) -> str:
+    """Lower case; styled letters (bold, script, circled, of full width) as the plain ones that they stand for."""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+
+
 def classes(text: str) -> np.ndarray:
     """Classes of a text's characters."""
-    parts = (text[i : i + SLICE].encode("utf-32-le", "surrogatepass") for i in range(0, len(text), SLICE))
-    return np.concatenate([np.empty(0, np.uint8), *(_class[np.minimum(np.frombuffer(p, "<u4"), 0xFFFF)] for p in parts)])
+    out = [np.empty(0, np.uint8)]
+    for i in range(0, len(text), SLICE):
+        codes = np.frombuffer(text[i : i + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
+        own = _class[np.minimum(codes, 0xFFFF)]
+        if len(high := np.flatnonzero(codes > 0xFFFF)):
+            known, at = np.unique(codes[high], return_inverse=True)
+            own[high] = np.array([32 + c % 32 if chr(c).isalnum() else BLANK for c in known.tolist()], np.uint8)[at]
+        out.append(own)
+    return np.concatenate(out)
 
 
 class Windows:
     """The windows of texts: classes of all characters, and kinds of windows, each (starts, ends, texts) in order of starts."""
 
     def __init__(self, texts: list[str]):
-        lowered = [t.lower() for t in texts]
+        lowered = [folded(t) for t in texts]
         x = classes("\n" + "\n".join(lowered) + "\n")
         live = np.flatnonzero((x != BLANK) | np.concatenate([[True], x[:-1] != BLANK]))
         x = x[live]
@@ -178,7 +191,7 @@ class along:
 
 def encoded(word: str) -> bytes:
     """The window of a single text, whatever it holds."""
-    return np.concatenate([[np.uint8(BLANK)], classes(word.lower()), [np.uint8(BLANK)]]).astype(np.uint8).tobytes()
+    return np.concatenate([[np.uint8(BLANK)], classes(folded(word)), [np.uint8(BLANK)]]).astype(np.uint8).tobytes()
 
 
 def features(windows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

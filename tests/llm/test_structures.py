@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.llm import prefixes, recipes, repair
+from logweave.llm import pages, prefixes, recipes, repair
 from logweave.llm.queries import ORACLE_SQL, QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string, place int, fault string, size int, node long, row long"
@@ -185,6 +185,35 @@ def test_query_matches_sql(spark, name):
     assert sorted(map(str, map(tuple, ours.select(columns).collect()))) == sorted(map(str, theirs.fetchall()))
 
 
+#: Pages of other themes than the templates', with their articles.
+THEMES = {
+    "reply box inside the post": ('<div class="post"><p>The river rose fast last night. People moved to the hills.</p><p>By morning the bridge was gone. Nobody was hurt.</p><div id="respond"><h3>Leave a reply</h3><form><label>Name</label><input><textarea></textarea><button>Send</button></form></div></div>',
+        "The river rose fast last night. People moved to the hills.\nBy morning the bridge was gone. Nobody was hurt."),
+    "lines about the post": ('<html><body><div class="header"><h1><a href="/">My blog</a></h1></div><div class="post"><h2>Flood in the valley</h2><p class="meta">May 2, 2020 by Ann</p><p>The river rose fast last night. People moved to the hills.</p><p>By morning the bridge was gone. Nobody was hurt.</p><p class="tags">Tagged <a href="/t/flood">flood</a></p></div><h3>2 thoughts</h3><ol class="commentlist"><li><b>Bob</b><p>So sad to hear.</p></li></ol><div id="respond"><form><label>Name</label><input></form></div></body></html>',
+        "Flood in the valley\nThe river rose fast last night. People moved to the hills.\nBy morning the bridge was gone. Nobody was hurt."),
+    "wiki": ('<html><body><div id="content"><h1>Barn owl</h1><p>The barn owl is a bird of prey found on most continents.</p><p>It hunts at night and nests in old barns.</p></div><div id="footer"><ul><li>This page was last edited on 3 May 2020, at 10:11.</li></ul></div></body></html>',
+        "Barn owl\nThe barn owl is a bird of prey found on most continents.\nIt hunts at night and nests in old barns."),
+    "links in the article": ("<html><body><nav><a href=/>Home</a> <a href=/b>About</a></nav><article><h1>Tools we use</h1><p>These are the tools that we use each day in our work.</p><ul><li><a href=/x>A fast text editor</a></li><li><a href=/y>A plotting library</a></li></ul><p>All of them are free to use.</p></article></body></html>",
+        "Tools we use\nThese are the tools that we use each day in our work.\nA fast text editor\nA plotting library\nAll of them are free to use."),
+    "nothing but menus": ('<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About us</a></li></ul></nav><form><label>Search</label><input><button>Go</button></form><footer>&copy; 2024 Some company</footer>', ""),
+}
+
+
+@pytest.mark.parametrize("theme", list(THEMES))
+def test_articles_of_other_themes(theme):
+    html, text = THEMES[theme]
+    assert pages.own_model().text(html) == text
+
+
+def test_styled_and_distant_letters_are_letters(spark):
+    from logweave.llm import toxicity
+
+    plain, styled = toxicity.Windows(["stupid idiot"]), toxicity.Windows(["𝐬𝐭𝐮𝐩𝐢𝐝 ｉｄｉｏｔ"])
+    assert plain.classes.tobytes() == styled.classes.tobytes()
+    assert toxicity.encoded("𝓼𝓬𝓾𝓶") == toxicity.encoded("scum") and toxicity.classes("𐐨𐑌😀").tolist()[2] == toxicity.BLANK
+    assert all(c > toxicity.BLANK for c in toxicity.classes("𐐨𐑌"))
+
+
 def test_no_python_worker_in_exact_dedup(spark):
     plan = QUERIES["op13_exact_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
