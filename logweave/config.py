@@ -37,6 +37,7 @@ class EngineConfig:
     max_files_per_trigger: int = 1000
     deadline_seconds: int = 0
     promoted_attributes: tuple[str, ...] = ()
+    searchable: bool = False
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> EngineConfig:
@@ -50,5 +51,6 @@ class EngineConfig:
             max_log_age_days=integer(env, "MAX_LOG_AGE_DAYS", 0, 0, 3650),
             max_files_per_trigger=integer(env, "MAX_FILES_PER_TRIGGER", 1000, 1, 1_000_000),
             deadline_seconds=integer(env, "DEADLINE_SECONDS", 0, 0, 86_400),
+            searchable=integer(env, "SEARCHABLE", 0, 0, 1) == 1,
             promoted_attributes=tuple(k for k in env.get("PROMOTED_ATTRIBUTES", "").split(",") if k),
         )

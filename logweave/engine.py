@@ -24,7 +24,7 @@ class Engine:
     def __init__(self, spark: SparkSession, config: EngineConfig):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.config = spark, config
-        self.store, self.cursors = LogStore(spark, config.warehouse, config.promoted_attributes), CursorCodec(config.cursor_secret)
+        self.store, self.cursors = LogStore(spark, config.warehouse, config.promoted_attributes, config.searchable), CursorCodec(config.cursor_secret)
 
     def guarded(self):
         return guarded(self.spark.sparkContext, self.config.deadline_seconds)
@@ -66,7 +66,7 @@ class Engine:
         filters, bucket, group = parse_aggregate(query)
         with self.guarded():
             seen = self.store.snapshot()
-            counts = aggregates.ordered(aggregates.count_cells(self.store.published("logs", seen), lambda unit: self.store.rollup(unit, seen=seen), filters, bucket, group))
+            counts = aggregates.ordered(aggregates.count_cells(self.store.published("logs", seen, needle=filters.q), lambda unit: self.store.rollup(unit, seen=seen), filters, bucket, group))
             rows = counts.select(iso_utc(F.col("start")).alias("start"), "group", "count").toLocalIterator()
             return {"buckets": [{"start": r["start"], "group": r["group"], "count": aggregates.safe_count(r["count"])} for r in rows]}
 

@@ -38,7 +38,7 @@ def newest(store: LogStore, filters: Filters, limit: int, after: tuple[int, int]
     while left and len(found) < limit:
         now, left, take = left[:take], left[take:], take * 2
         # at most ``limit`` rows come to the driver
-        found += shown(page(store.published("logs", seen, now), filters, limit - len(found), after)).collect()
+        found += shown(page(store.published("logs", seen, now, needle=filters.q), filters, limit - len(found), after)).collect()
     return found
 
 

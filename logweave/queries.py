@@ -40,7 +40,7 @@ def stored(spark: SparkSession, sf_dir: str) -> LogStore:
     """``events`` as a store with its rollup, written once an application and input, in two commits."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        store = LogStore(spark, f"{scratch(spark)}/events", promoted=("k",))
+        store = LogStore(spark, f"{scratch(spark)}/events", promoted=("k",), searchable=True)
         logs = event_logs(spark, sf_dir).withColumn("attributes", F.parse_json("props")).drop("props")
         early = F.col("timestamp") < F.lit("2024-01-12").cast("timestamp_ntz")
         for part in (logs.where(early), logs.where(~early)):
@@ -190,5 +190,104 @@ register(
 )
 
 
+def stored_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest page over the store, month by month, by a request with a cursor: parsed, signed and read back as a caller's."""
+    from logweave.plans.requests import CursorCodec, filter_hash, one, parse_filters, parse_limit
+
+    store, codec = stored(spark, sf_dir), CursorCodec(b"secret")
+    request = {"service": "click", "limit": "50", "since": SINCE, "attr.k": "7", "unknown": "x"}
+    request["cursor"] = codec.encode(*AFTER, filter_hash(parse_filters(request)))
+    asked = parse_filters(request)
+    rows = paging.newest(store, asked, parse_limit(request), codec.decode(one(request, "cursor"), filter_hash(asked)), paging.rendered)
+    return spark.createDataFrame([tuple(r) for r in rows], "id string, timestamp string, level string, service string, message string")
+
+
+register(
+    "request_page",
+    stored_page,
+    f"""with {EVENT_LOGS_SQL} select cast(id as varchar) as id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') as "timestamp", level, service, message from (
+    select * from logs where "timestamp" >= timestamp '2024-01-03 04:05:06.789' and service = 'click' and attr_k = '7' and ("timestamp", id) < (timestamp '2024-01-20 00:00:00', 4000) order by "timestamp" desc, id desc limit 50)""",
+)
+register(
+    "attribute_promoted",
+    lambda spark, d: filters.matching(stored(spark, d).logs(), Filters(attributes={"k": "42"})).select("id", "service", F.date_format("timestamp", "yyyy-MM").alias("month")),
+    f"""with {EVENT_LOGS_SQL} select id, service, strftime("timestamp", '%Y-%m') as month from logs where attr_k = '42'""",
+)
+register(
+    "stored_search",
+    lambda spark, d: filters.matching(stored(spark, d).logs(needle="Error USER 3"), Filters(q="Error USER 3")).select("id", "message"),
+    f"""with {EVENT_LOGS_SQL} select id, message from logs where contains(lower(message), 'error user 3')""",
+)
+for _unit, _part in aggregates.UNITS.items():
+    register(
+        f"stored_rollup_{_unit}",
+        lambda spark, d, unit=_unit: stored(spark, d).rollup(unit).select(F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), "service", "level", "count"),
+        f"""with {EVENT_LOGS_SQL} select cast(date_trunc('{_part}', "timestamp") as timestamp) as bucket_start, service, level, count(*) as count from logs group by all""",
+    )
+
+
+def retained_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of ``events``, a retention pass, a compaction and a vacuum: what is left of its rows and of its rollup, by minute."""
+    import datetime as dt
+
+    store, logs = LogStore(spark, f"{scratch(spark)}/events"), event_logs(spark, sf_dir).withColumn("attributes", F.parse_json("props"))
+    for odd in (0, 1):
+        store.load(logs.where(F.col("id") % 2 == odd))
+    store.retain(dt.datetime(2024, 2, 1, 10, 30, 30), 20)
+    store.compact(most=1)
+    store.vacuum(grace=0)
+    rows = aggregates.minute_deltas(store.logs()).withColumnRenamed("count", "rows")
+    both = store.rollup().drop("month").join(rows, ["bucket_start", "service", "level"], "full")
+    return both.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+register(
+    "retention_store",
+    retained_store,
+    f"""with {EVENT_LOGS_SQL} select cast(date_trunc('minute', "timestamp") as timestamp) as bucket_start, service, level, count(*) as count, count(*) as rows from logs where "timestamp" >= timestamp '2024-01-12 10:30:30' group by all""",
+)
+
+#: What is wrong with an entry, by its event's id modulo their number: the field, its JSON, and what is said of it.
+FAULTS = [
+    ("level", '"info"', None), ("level", "7.50", "invalid level: '7.5'"), ("level", "null", "invalid level: 'null'"), ("level", '[null,"a[b]",[1,2]]', "invalid level: ',a[b],1,2'"), ("level", '{"a":1}', "invalid level: '[object Object]'"),
+    ("timestamp", '"2024-01-01 00:00:00"', "timestamp must be a valid ISO 8601 value with an explicit timezone"), ("timestamp", "17", "timestamp must be a valid ISO 8601 value with an explicit timezone"),
+    ("timestamp", '"2024-02-30T00:00:00Z"', "timestamp must be a valid ISO 8601 timestamp"), ("timestamp", '"2024-03-01T00:05:00.001Z"', "timestamp must not be more than five minutes in the future"),
+    ("timestamp", '"2023-11-01T23:59:59Z"', "timestamp is older than the retention window"), ("service", '""', "service must be a non-empty string"), ("service", "true", "service must be a non-empty string"),
+    ("service", f'"{"s" * 256}"', "service must be at most 255 characters"), ("service", '"a\\u0000"', "service contains an unsupported null character"), ("message", "[]", "message must be a non-empty string"),
+    ("message", '"a\\u0000b"', "message contains an unsupported null character"), ("attributes", "null", "attributes must be a flat object"), ("attributes", '"x"', "attributes must be a flat object"),
+    ("attributes", '{"k":{"x":1}}', "attribute 'k' must be a string, number, or boolean"), ("attributes", '{"k":null}', "attribute 'k' must be a string, number, or boolean"),
+    ("attributes", '{"k":"\\u0000"}', "attribute 'k' contains an unsupported null character"), ("attributes", '{"a\\u0000":1}', "attribute keys cannot contain a null character"), ("attributes", "{}", None),
+]
+
+
+def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as an entry with one of FAULTS, twenty entries a body, published to a store: its rejects, and by service what was accepted."""
+    import datetime as dt
+
+    from functools import reduce
+
+    e, plain = spark.read.parquet(f"{sf_dir}/events.parquet"), {"timestamp": '"2024-02-01T00:00:00Z"', "level": '"warn"', "service": '"api"', "message": '"m"', "attributes": '{"a":1}'}
+    kind = F.col("event_id") % len(FAULTS)
+    made = ["{" + ",".join(f'"{k}":{value if k == field else v}' for k, v in plain.items()) + "}" for field, value, _ in FAULTS]
+    one = reduce(lambda found, i: found.when(kind == i, made[i]), range(1, len(made)), F.when(kind == 0, made[0]))
+    body = F.concat(F.lit('{"logs":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("entry")))), lambda x: x["entry"]), ","), F.lit("]}"))
+    bodies = e.groupBy(F.floor(F.col("event_id") / 20).alias("batch")).agg(body.alias("body"))
+    store = LogStore(spark, f"{scratch(spark)}/reasons")
+    store.append(None, validated(bodies, dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc), 120, bodies_too=True))
+    good = store.logs().groupBy("service").count().select(F.lit(-1).cast("long").alias("batch"), F.lit(-1).cast("long").alias("index"), F.concat(F.lit("accepted of "), "service", F.lit(": "), F.col("count").cast("string")).alias("reason"))
+    return store.rejects().select("batch", "index", "reason").unionByName(good)
+
+
+def reasons_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    cases = " ".join(f"when {i} then {quoted(reason)}" for i, (_, _, reason) in enumerate(FAULTS) if reason)
+    return f"""with entries as (select event_id, event_id // 20 as batch, row_number() over (partition by event_id // 20 order by event_id) - 1 as index, case event_id % {len(FAULTS)} {cases} end as reason from events)
+select batch, index, reason from entries where reason is not null
+union all select -1, -1, 'accepted of api: ' || count(*) from entries where reason is null"""
+
+
+register("ingest_reasons", reasons, reasons_sql())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rollup_1h"](spark, sf_dir)

@@ -24,11 +24,11 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.operators.aggregates import UNITS, cells
+from logweave.operators.aggregates import cells
 from logweave.schema import LOGS, REJECTS, ROLLUP, month_of
 from logweave.sources.snapshots import Conflict, Snapshots
 
@@ -36,11 +36,35 @@ WRITERS = "batch bigint, writer string, number bigint"
 SCHEMAS = {"logs": LOGS, "rejects": REJECTS}
 
 
+#: Bits of a file's signature.
+SIGNATURE = 32_768
+SIGNATURES = "file string, bits binary, month string"
+
+
+def grams(text: Column, lengths: Iterable[int] = (1, 2, 3)) -> Column:
+    """The distinct runs of so many characters of a text in lower case."""
+    low = F.lower(text)
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))
+        return F.when(F.length(low) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(runs, lengths)))
+
+
+def bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SIGNATURE)).cast("long")
+
+
 class LogStore:
-    """promoted: attribute keys that get a column of their own with a Bloom filter (``attr_<key>``)."""
+    """promoted: attribute keys that get a column of their own with a Bloom filter (``attr_<key>``).
+
+    searchable: each file of logs gets a signature of the runs of up to three characters in its messages, so a search for a
+    text reads only files whose signatures hold all runs of it. Folders written without one are always read.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, promoted: Iterable[str] = ()):
-        self.spark, self.path, self.promoted = spark, path, tuple(promoted)
+    def __init__(self, spark: SparkSession, path: str, promoted: Iterable[str] = (), searchable: bool = False):
+        self.spark, self.path, self.promoted, self.searchable = spark, path, tuple(promoted), searchable
         self.snapshots = Snapshots(spark, path)
         self.files, self.known = self.snapshots.files, {}
 
@@ -69,14 +93,34 @@ class LogStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(f"{schema}, commit string").option("basePath", f"{self.path}/{table}").parquet(*places).drop("commit")
 
-    def published(self, table: str, seen: dict, months: Iterable[str] | None = None, ids: set[str] | None = None) -> DataFrame:
+    def published(self, table: str, seen: dict, months: Iterable[str] | None = None, ids: set[str] | None = None, needle: str | None = None) -> DataFrame:
+        """Rows of some months and folders of a snapshot; given a needle, at least those whose messages hold it."""
         months = sorted(seen.get(table, {})) if months is None else months
-        places = [f"{self.path}/{table}/commit={f['id']}/month={m}" for m in months for f in self.folders(seen, table, m) if ids is None or f["id"] in ids]
+        folders = [(m, f) for m in months for f in self.folders(seen, table, m) if ids is None or f["id"] in ids]
+        signed = [(m, f) for m, f in folders if needle and f.get("signed")]
+        places = [f"{self.path}/{table}/commit={f['id']}/month={m}" for m, f in folders if not (needle and f.get("signed"))] + self.holding(needle, signed)
         columns = SCHEMAS[table] + "".join(f", `attr_{k}` string" for k in self.promoted) * (table == "logs")
         return self.read(table, places, columns)
 
-    def logs(self, version: int | None = None, months: Iterable[str] | None = None) -> DataFrame:
-        return self.published("logs", self.snapshot(version), months)
+    def holding(self, needle: str | None, signed: list[tuple[str, dict]]) -> list[str]:
+        """The files of some folders whose signatures hold all runs of a needle; by the longest runs, shorter ones are within."""
+        if not signed:
+            return []
+        signatures = self.read("signatures", [f"{self.path}/signatures/commit={f['id']}/month={m}" for m, f in signed], SIGNATURES)
+        own = grams(F.lit(needle), [max(1, min(3, len(needle)))])
+
+        def has(gram: Column) -> Column:
+            byte = F.conv(F.hex(F.substring("bits", (F.floor(bit(gram) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return F.floor(byte / F.pow(F.lit(2.0), bit(gram) % 8)) % 2 == 1
+
+        found = signatures.where(F.forall(own, has)).select("file", "month").collect()  # one row a file
+        at = {(r["file"].partition("/")[0], r["month"]): [] for r in found}
+        for r in found:
+            at[r["file"].partition("/")[0], r["month"]].append(r["file"])
+        return [f"{self.path}/logs/{name}" for names in at.values() for name in names]
+
+    def logs(self, version: int | None = None, months: Iterable[str] | None = None, needle: str | None = None) -> DataFrame:
+        return self.published("logs", self.snapshot(version), months, needle=needle)
 
     def rejects(self, version: int | None = None) -> DataFrame:
         """writer, batch (the body), index (null: the body itself), reason of what was not accepted."""
@@ -199,11 +243,20 @@ class LogStore:
         for k in self.promoted:
             out = out.option(f"parquet.bloom.filter.enabled#attr_{k}", "true").option(f"parquet.enable.dictionary#attr_{k}", "false")
         out.parquet(f"{self.path}/logs/commit={folder}")
+        if self.searchable:
+            self.sign(folder)
         stored = cells(counted.select("timestamp", "service", "level")).withColumn("month", month_of(F.col("bucket_start")))
         stored.repartition("unit", "month").sortWithinPartitions("unit", "month", "bucket_start").write.partitionBy("unit", "month").parquet(f"{self.path}/rollup/commit={folder}")
         us = F.unix_micros("timestamp")
         found = counted.groupBy("month").agg(F.count("*").alias("rows"), F.min(us).alias("first"), F.max(us).alias("last")).collect()  # one row a month
-        return {r["month"]: [{"id": folder, "rows": r["rows"], "first": r["first"], "last": r["last"]}] for r in found}
+        return {r["month"]: [{"id": folder, "rows": r["rows"], "first": r["first"], "last": r["last"], "signed": self.searchable}] for r in found}
+
+    def sign(self, folder: str) -> None:
+        """Write the signatures of a folder's files: names below ``logs`` and bitmaps."""
+        rows = self.spark.read.schema(LOGS).parquet(f"{self.path}/logs/commit={folder}").select(F.col("_metadata.file_path").alias("path"), "month", F.explode(grams(F.col("message"))).alias("gram"))
+        bits = rows.select("path", "month", bit(F.col("gram")).alias("at")).distinct().groupBy("path", "month").agg(F.bitmap_construct_agg("at").alias("bits"))
+        name = F.regexp_extract("path", r"(commit=[^/]*/month=[^/]*/[^/]*)$", 1)
+        bits.select(name.alias("file"), "bits", "month").write.partitionBy("month").parquet(f"{self.path}/signatures/commit={folder}")
 
     # upkeep
 
@@ -262,7 +315,7 @@ class LogStore:
         for v in versions[:-keep]:
             self.files.delete(f"_snapshots/{v:020d}.json")
         removed = []
-        for folder, wanted in (("logs", named), ("rollup", named), ("rejects", named), ("_months", manifests), ("_staging", set())):
+        for folder, wanted in (("logs", named), ("rollup", named), ("rejects", named), ("signatures", named), ("_months", manifests), ("_staging", set())):
             for name, changed in self.files.listed(folder):
                 if name not in wanted and changed <= time.time() - grace:
                     self.files.delete(f"{folder}/{name}")

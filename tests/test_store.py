@@ -298,6 +298,23 @@ def test_promoted_key_skips_row_groups_and_equals_the_map(spark, tmp_path):
         assert scanned(matching(promoted.logs(), asked)) < scanned(matching(plain.logs(), asked)) / 2
 
 
+def test_search_reads_files_that_may_hold_the_text(spark, tmp_path):
+    texts = [["Disk full on node 7", "straße", "日本語のログ"], ["disk ok", "A"], ["Ärger", "x" * 300], ["nothing to see", ""]]
+    plain, signed = LogStore(spark, str(tmp_path / "a")), LogStore(spark, str(tmp_path / "b"), searchable=True)
+    for store in (plain, signed):
+        for i, own in enumerate(texts):
+            store.append(None, checked(spark, [[entry(timestamp=f"2024-0{1 + i}-01T00:00:00Z", message=t) for t in own if t]]))
+    files = lambda store, q: {f.rpartition("/commit=")[2] for f in store.logs(needle=q).inputFiles()}
+    most = {"disk FULL": 1, "node 7": 1, "disk": 2, "ß": 1, "ÄRG": 1, "本": 1, "語の": 1, "xxxx": 1, "zq": 0, "7": 1, "": 4, "full disk": 0}
+    for q, n in most.items():
+        found = lambda store: sorted(r["message"] for r in matching(store.logs(needle=q), Filters(q=q)).collect())  # noqa: E731, B023
+        assert found(signed) == found(plain) and len(files(plain, q)) == 4
+        assert len(files(signed, q)) <= n + 1 and (n == 4 or len(files(signed, q)) < 4), q
+        assert [r["id"] for r in paging.newest(signed, Filters(q=q), 5)] == [r["id"] for r in paging.newest(plain, Filters(q=q), 5)]
+    signed.compact(most=0)
+    assert found(signed) == found(plain) and signed.logs(needle="disk full").count() <= 3
+
+
 def test_deadline_and_storage_errors(spark, tmp_path):
     slow = F.udf(lambda x: __import__("time").sleep(0.05) or x, "long")
     with pytest.raises(EngineError) as late:
