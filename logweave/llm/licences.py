@@ -16,6 +16,7 @@ for it with the number of statements; a known sentence inside a longer known one
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,54 +27,88 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Identifiers of known sentences, and the sentences after normalisation.
 SENTENCES = {
-    "apache_ref": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0"],
     "apache_use": ["you may not use this file except in compliance with the license"],
     "apache_copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at"],
     "apache_basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "mit_ref": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "mit license", "the mit license"],
     "mit_grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit_notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "mit_as_is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "gpl3_ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
-    "gpl2_ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
-    "gpl_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl_hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "cc_by_nc_ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc_by_ref": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc_by_sa_ref": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
-    "cc0_ref": ["this work is dedicated to the public domain under cc0 1 0", "licensed under cc0 1 0"],
     "bsd_redist": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd_source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd_binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd_names": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd3_ref": ["licensed under the bsd 3 clause license"],
-    "bsd2_ref": ["licensed under the bsd 2 clause license"],
-    "mpl2_ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
-    "lgpl3_ref": ["licensed under the gnu lesser general public license version 3"],
-    "agpl3_ref": ["licensed under the gnu affero general public license version 3"],
-    "isc_ref": ["licensed under the isc license"],
+    "isc_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "boost_grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "reserved": ["all rights reserved"],
 }
 
-#: Licences and their rules, each an ordered list of identifiers.
+#: Licences that sentences name: words of their names, versions that they are named by, and identifiers of
+#: these. Without a version the first identifier is meant where ``None`` is among the versions.
+NAMES = [
+    ("mit no attribution|mit 0", {None: "MIT-0"}), ("mit|expat", {None: "MIT"}), ("x11", {None: "X11"}), ("isc", {None: "ISC"}), ("zlib|zlib libpng", {None: "Zlib"}), ("boost software|boost|bsl boost", {None: "BSL-1.0", "1": "BSL-1.0"}),
+    ("apache(?: software)?|asl", {"2": "Apache-2.0", "1 1": "Apache-1.1"}), ("gnu general public|gnu gpl|general public|gpl", {"1": "GPL-1.0", "2": "GPL-2.0", "3": "GPL-3.0"}),
+    ("gnu (?:lesser|library) general public|lesser general public|gnu lgpl|lgpl", {"2": "LGPL-2.0", "2 1": "LGPL-2.1", "3": "LGPL-3.0"}), ("gnu affero general public|affero general public|gnu agpl|agpl", {"1": "AGPL-1.0", "3": "AGPL-3.0"}),
+    ("gnu free documentation|gfdl", {"1 1": "GFDL-1.1", "1 2": "GFDL-1.2", "1 3": "GFDL-1.3"}), ("mozilla public|mpl", {"1": "MPL-1.0", "1 1": "MPL-1.1", "2": "MPL-2.0"}), ("eclipse public|epl", {"1": "EPL-1.0", "2": "EPL-2.0"}),
+    ("common development and distribution|cddl", {"1": "CDDL-1.0", "1 1": "CDDL-1.1"}), ("european union public|eupl", {"1 1": "EUPL-1.1", "1 2": "EUPL-1.2"}), ("open software|osl", {"3": "OSL-3.0"}), ("academic free|afl", {"3": "AFL-3.0"}),
+    ("bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd|bsd two clause", {None: "BSD-2-Clause"}), ("bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd|three clause bsd|bsd three clause", {None: "BSD-3-Clause"}),
+    ("bsd 4 clause|4 clause bsd|original bsd", {None: "BSD-4-Clause"}), ("bsd zero clause|zero clause bsd|0bsd", {None: "0BSD"}), ("artistic", {"1": "Artistic-1.0", "2": "Artistic-2.0"}), ("unlicense", {None: "Unlicense"}),
+    ("wtfpl|do what the fuck you want to public", {None: "WTFPL", "2": "WTFPL"}), ("sil open font|open font|ofl", {"1": "OFL-1.0", "1 1": "OFL-1.1"}), ("python software foundation|psf", {None: "PSF-2.0", "2": "PSF-2.0"}), ("postgresql", {None: "PostgreSQL"}),
+    ("university of illinois ncsa open source|ncsa", {None: "NCSA"}), ("microsoft public|ms pl", {None: "MS-PL"}), ("microsoft reciprocal|ms rl", {None: "MS-RL"}), ("business source|busl", {"1 1": "BUSL-1.1"}), ("server side public|sspl", {None: "SSPL-1.0", "1": "SSPL-1.0"}),
+    ("open database|odbl|odc odbl", {None: "ODbL-1.0", "1": "ODbL-1.0"}), ("open data commons attribution|odc by", {None: "ODC-By-1.0", "1": "ODC-By-1.0"}), ("cecill", {"2": "CECILL-2.0", "2 1": "CECILL-2.1"}), ("ibm public|ipl", {"1": "IPL-1.0"}),
+    ("cc0|creative commons zero|cc zero|creative commons cc0", {None: "CC0-1.0", "1": "CC0-1.0"}),
+]
+#: Creative Commons' licences by their parts and versions.
+for _code, _words in (("BY", "attribution"), ("BY-SA", "attribution share ?alike"), ("BY-NC", "attribution non ?commercial"), ("BY-ND", "attribution no ?deriv(?:ative)?s(?: works)?"), ("BY-NC-SA", "attribution non ?commercial share ?alike"), ("BY-NC-ND", "attribution non ?commercial no ?deriv(?:ative)?s(?: works)?")):
+    _short = _code.lower().replace("-", " ")
+    NAMES.append((f"creative commons {_words}|cc {_words}|creative commons {_short}|cc {_short}", {f"{v}": f"CC-{_code}-{v}.0" for v in (1, 2, 3, 4)} | {"2 5": f"CC-{_code}-2.5"}))
+
+#: How a sentence says that something is under a licence.
+UNDER = (
+    r"(?:(?:[a-z0-9]+ ){1,8}(?:is|are|may be|can be)(?: also| dual| free)? )?"
+    r"(?:licen[sc]ed|released|distributed|available|published|provided|shared|made available|open sourced|redistributed|used|subject to|dedicated to the public domain|covered|governed)"
+    r"(?: under| by| in accordance with| according to)?(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)? "
+)
+LEADS = rf"(?:{UNDER}|spdx licen[sc]e identifier |licen[sc]e (?:is )?(?:the )?|under (?:the )?(?:terms of )?(?:the )?|the |an? )?"
+VERSION = r"(?:(?: version| ver| v)? ?v?([0-9](?: [1-9])?)(?: 0)?)?"
+TAIL = rf"(?: (?:public )?licen[sc]e)?{VERSION}(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?(?: (?:only|or later|or (?:at your option )?any later(?: version)?))?(?: mit| isc)?(?: the licen[sc]e)?"
+FREE = r"this [a-z]+(?: [a-z]+)? is free software (?:you can|you may) redistribute it and or modify it under the terms of the "
+PUBLISHED = r" licen[sc]e as published by the free software foundation (?:either )?version ([0-9](?: [1-9])?)(?: 0)? of the licen[sc]e(?: or at your option any later version)?"
+#: A sentence that names a licence: (number of its name, version) are found by what name and version it matches.
+ANY = "|".join(names for names, _ in NAMES)
+REFERENCE = rf"^{LEADS}({ANY}){TAIL}$"
+GRANTED = rf"^{FREE}({ANY}){PUBLISHED}$"
+#: Words of sentences that deny or condition what they say, so name no licence.
+DENIED = r"(?:^| )(?:not|never|neither|nor|longer|unless|if|whether|instead)(?: |$)"
+#: What a text holds that has a sentence that names a licence.
+HINTED = rf"(?:^| )(?:{ANY})(?:v[0-9]| |$)"
+
+
+#: One of these stands in every sentence that is known, and in one that names a licence: a name alone is none.
+UNDER_NAMES = ("terms", "mit", "apache", "gnu", "bsd", "mozilla", "mpl", "eclipse", "epl", "boost", "isc", "zlib", "artistic", "eupl", "x11", "psf", "ofl", "odbl", "cc")
+NAMING = ["licen", "spdx", "gpl", "creative commons", "cc by", "cc-by", "cc0"] + [f"under {the}{name}" for the in ("", "the ") for name in UNDER_NAMES]
+TELLING = ["permission", "copies", "warrant", "redistribut", "compliance", "provided", "domain", "reserved", "endorse", *NAMING]
+SAYS = "|".join(w.replace("-", " ") for w in NAMING)
+#: The same in a sentence whose lines are still parted: a name's words may stand on two of them.
+HINTED_LINES = r"[:\n ](?:" + ANY.replace(" ?", "(?: |\n[0-9]+:)?").replace(" ", r"(?: |\n[0-9]+:)") + r")(?:v[0-9]|[ \n])"
+
+
+def named() -> list[tuple[str, str, str]]:
+    """(pattern of the name, version or nothing, identifier) of every licence that the grammar knows."""
+    return [(f"^(?:{names})$", version or "", licence) for names, versions in NAMES for version, licence in versions.items()]
+
+
+#: Licences and their rules, ordered lists of identifiers. ``ref:`` and a licence is a rule of its own each.
 RULES = {
-    "Apache-2.0": [["apache_ref"], ["apache_use", "apache_copy", "apache_basis"]],
-    "MIT": [["mit_ref"], ["mit_grant", "mit_notice", "mit_as_is"]],
-    "GPL-3.0": [["gpl3_ref"], ["gpl_free", "gpl_hope"]],
-    "GPL-2.0": [["gpl2_ref"]],
-    "CC-BY-NC-4.0": [["cc_by_nc_ref"]],
-    "CC-BY-4.0": [["cc_by_ref"]],
-    "CC-BY-SA-4.0": [["cc_by_sa_ref"]],
-    "CC0-1.0": [["cc0_ref"]],
-    "BSD-3-Clause": [["bsd3_ref"], ["bsd_redist", "bsd_source", "bsd_binary", "bsd_names"]],
-    "BSD-2-Clause": [["bsd2_ref"], ["bsd_redist", "bsd_source", "bsd_binary"]],
-    "MPL-2.0": [["mpl2_ref"]],
-    "LGPL-3.0": [["lgpl3_ref"]],
-    "AGPL-3.0": [["agpl3_ref"]],
-    "ISC": [["isc_ref"]],
-    "Unlicense": [["unlicense"]],
-    "Proprietary": [["reserved"]],
+    "Apache-2.0": ["apache_use", "apache_copy", "apache_basis"],
+    "MIT": ["mit_grant", "mit_notice", "mit_as_is"],
+    "BSD-3-Clause": ["bsd_redist", "bsd_source", "bsd_binary", "bsd_names"],
+    "BSD-2-Clause": ["bsd_redist", "bsd_source", "bsd_binary"],
+    "ISC": ["isc_grant"],
+    "BSL-1.0": ["boost_grant"],
+    "Unlicense": ["unlicense"],
+    "Proprietary": ["reserved"],
 }
 
 #: A piece ends at a line end, or at a full stop, question or exclamation mark before white space.
@@ -103,6 +138,27 @@ def sentences_in(text: Column) -> Column:
     return F.transform(F.split(F.array_join(pieces, ""), SENTENCE), lambda s: F.concat(s, F.lit("\n")))
 
 
+def reference(words: Column) -> Column:
+    """What a sentence's or line's words name: ``ref:`` and a licence, or null."""
+
+    def licence(found: Column) -> Column:
+        name, version = F.regexp_extract(found, "^([^|]*)", 1), F.regexp_extract(found, "[|](.*)$", 1)
+        known: dict[str, list[tuple[str, str]]] = {}
+        for pattern, number, of in named():
+            known.setdefault(pattern, []).append((number, f"ref:{of}"))
+        chain = F.lit(None).cast("string")
+        for pattern, versions in reversed(known.items()):
+            by_version = F.lit(None).cast("string")
+            for number, of in versions:
+                by_version = F.when(version == number, of).otherwise(by_version)
+            chain = F.when(name.rlike(pattern), by_version).otherwise(chain)
+        return chain
+
+    pick = lambda pattern: F.concat(F.regexp_extract(words, pattern, 1), F.lit("|"), F.regexp_extract(words, pattern, 2))
+    found = F.when(words.rlike(HINTED) & words.rlike(SAYS) & ~words.rlike(DENIED), F.when(words.rlike(REFERENCE), pick(REFERENCE)).when(words.rlike(GRANTED), pick(GRANTED)))
+    return let(found, lambda f: F.when(f.isNotNull(), licence(f)))
+
+
 def identifiers(text: Column) -> Column:
     """The text's known sentences in order: an array of (place and last of their pieces, number of the sentence they are in, identifier)."""
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(way).alias("words"), F.lit(r"\n[0-9]+:" + way.replace(" ", r"(?: |\n[0-9]+:)") + r"(?=\n)").alias("wrapped")) for name, ways in SENTENCES.items() for way in ways])
@@ -116,10 +172,21 @@ def identifiers(text: Column) -> Column:
         found = F.flatten(F.transform(here, lambda k: F.transform(F.regexp_extract_all(s, k["wrapped"], F.lit(0)), lambda m: F.struct(
             number(F.substring_index(F.substring(m, 2, 1 << 30), "\n", 1)).alias("place"), number(F.substring_index(m, "\n", -1)).alias("last"), i.alias("sentence"), k["name"].alias("name"),
         ))))
-        return let(found, lambda f: F.array_sort(outer(f)))
+        return let(F.concat(found, named_in(s, i)), lambda f: F.array_sort(outer(f)))
+
+    def named_in(s: Column, i: Column) -> Column:
+        """Licences that the sentence as a whole or one of its lines names."""
+        lines = F.filter(F.split(s, "\n"), lambda line: F.contains(line, F.lit(":")))
+        one = lambda line: F.struct(number(line).alias("place"), number(line).alias("last"), F.substring_index(line, ":", -1).alias("words"))
+        whole = lambda parts: F.when(F.size(parts) > 1, F.array(F.struct(parts[0]["place"].alias("place"), F.element_at(parts, -1)["last"].alias("last"), F.array_join(F.transform(parts, lambda x: x["words"]), " ").alias("words"))))
+        every = let(F.transform(lines, one), lambda parts: F.concat(parts, F.coalesce(whole(parts), F.slice(parts, 1, 0))))
+        told = F.transform(every, lambda x: F.struct(x["place"].alias("place"), x["last"].alias("last"), i.alias("sentence"), reference(x["words"]).alias("name")))
+        return F.when(s.rlike(HINTED_LINES), F.filter(told, lambda x: x["name"].isNotNull())).otherwise(F.slice(told, 1, 0))
+
+    def gate(words: Column) -> Column:
+        return F.struct(F.filter(known, lambda k: F.contains(words, k["words"])).alias("here"), words.rlike(HINTED).alias("hinted"))
 
-    here = let(words_in(text), lambda words: F.filter(known, lambda k: F.contains(words, k["words"])))
-    return let(here, lambda here: F.when(F.size(here) > 0, F.flatten(F.transform(sentences_in(text), lambda s, i: in_sentence(s, i, here)))))
+    return let(let(words_in(text), gate), lambda g: F.when((F.size(g["here"]) > 0) | g["hinted"], F.flatten(F.transform(sentences_in(text), lambda s, i: in_sentence(s, i, g["here"])))))
 
 
 def places(ids: Column, name: str) -> Column:
@@ -146,12 +213,12 @@ def statements(ids: Column, rule: list[str], gap: int) -> Column:
 def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """doc_id, licence, statements, first_sentence for each licence that a document states."""
     # every known sentence has one of these words (not parted by a line end), so other texts need not be cut
-    hint = F.translate("text", UPPER, LOWER).rlike("licen|permission|copies|warrant|redistribut|compliance|provided|domain|reserved|endorse")
-    rules = [(licence, rule) for licence, ways in RULES.items() for rule in ways]
+    hint = let(F.lower("text"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in TELLING]))
 
     def stated(ids: Column) -> Column:
-        found = F.array(*[F.struct(F.lit(licence).alias("licence"), statements(ids, rule, gap).alias("n"), F.array_min(places(ids, rule[0]))["place"].alias("first")) for licence, rule in rules])
-        return let(F.filter(found, lambda x: x["n"] > 0), by_licence)
+        found = F.array(*[F.struct(F.lit(licence).alias("licence"), statements(ids, rule, gap).alias("n"), F.array_min(places(ids, rule[0]))["place"].alias("first")) for licence, rule in RULES.items()])
+        named = F.transform(F.filter(ids, lambda x: x["name"].startswith("ref:")), lambda x: F.struct(F.substring(x["name"], 5, 100).alias("licence"), F.lit(1).alias("n"), x["place"].alias("first")))
+        return let(F.concat(F.filter(found, lambda x: x["n"] > 0), named), by_licence)
 
     def by_licence(found: Column) -> Column:
         return F.transform(F.array_distinct(F.transform(found, lambda x: x["licence"])), lambda name: F.struct(
@@ -172,21 +239,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """The same by unnesting: known sentences joined by equality, rules of several sentences by self-joins."""
     known = ", ".join(f"('{way}', '{name}')" for name, ways in SENTENCES.items() for way in ways)
+    names = ", ".join(f"('{pattern}', '{version}', 'ref:{licence}')" for pattern, version, licence in named())
     parts = []
-    for licence, ways in RULES.items():
-        for rule in ways:
-            # a start counts if each next identifier has a place within the gap after the nearest place of the one before
-            sql = f"select row_id, doc_id, place as first, place as at from ids where name = '{rule[0]}'"
-            for name in rule[1:]:
-                sql = f"select t.row_id, t.doc_id, t.first, min(i.place) as at from ({sql}) t join ids i on i.row_id = t.row_id and i.name = '{name}' and i.place > t.at and i.place <= t.at + {GAP + 1} group by all"
-            parts.append(f"select row_id, doc_id, '{licence}' as licence, first from ({sql})")
+    for licence, rule in RULES.items():
+        # a start counts if each next identifier has a place within the gap after the nearest place of the one before
+        sql = f"select row_id, doc_id, place as first, place as at from ids where name = '{rule[0]}'"
+        for name in rule[1:]:
+            sql = f"select t.row_id, t.doc_id, t.first, min(i.place) as at from ({sql}) t join ids i on i.row_id = t.row_id and i.name = '{name}' and i.place > t.at and i.place <= t.at + {GAP + 1} group by all"
+        parts.append(f"select row_id, doc_id, '{licence}' as licence, first from ({sql})")
+    parts.append("select row_id, doc_id, substr(name, 5), place from ids where starts_with(name, 'ref:')")
     return rf"""
 with known(sentence, name) as (values {known}),
 texts as (select row_number() over () as row_id, doc_id, string_split_regex(text, '[.!?]*[ \t]*[\r\n]+|[.!?]+[ \t]+') as parts from documents where text is not null),
 sentences as (select row_id, doc_id, unnest(parts) as s, generate_subscripts(parts, 1) - 1 as place from texts),
+plain as (select row_id, doc_id, place, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) as words from sentences),
+names(pattern, version, licence) as (values {names}),
+naming as (
+  select row_id, doc_id, place, regexp_extract(words, '{REFERENCE}', 1) as name, regexp_extract(words, '{REFERENCE}', 2) as version from plain where regexp_matches(words, '{SAYS}') and regexp_matches(words, '{REFERENCE}') and not regexp_matches(words, '{DENIED}')
+  union all
+  select row_id, doc_id, place, regexp_extract(words, '{GRANTED}', 1), regexp_extract(words, '{GRANTED}', 2) from plain where regexp_matches(words, '{SAYS}') and regexp_matches(words, '{GRANTED}') and not regexp_matches(words, '{REFERENCE}') and not regexp_matches(words, '{DENIED}')),
 ids as (
-  select row_id, doc_id, place, name from sentences
-  join known on trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) = sentence),
+  select row_id, doc_id, place, name from plain join known on words = sentence
+  union all select row_id, doc_id, place, licence from naming join names on regexp_matches(name, pattern) and naming.version = names.version),
 found as ({" union all ".join(parts)})
 select doc_id, licence, count(*) as statements, cast(min(first) as bigint) as first_sentence from found group by row_id, doc_id, licence
 """

@@ -214,6 +214,25 @@ def test_styled_and_distant_letters_are_letters(spark):
     assert all(c > toxicity.BLANK for c in toxicity.classes("𐐨𐑌"))
 
 
+#: Notices, and the licence that they state or none.
+NOTICES = {
+    "The MIT License (MIT)\n\nCopyright (c) 2020 X": "MIT", "SPDX-License-Identifier: Apache-2.0\nimport x": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "Licensed under the GNU GPL v3.": "GPL-3.0",
+    "This work is licensed under the Creative\nCommons Attribution 4.0 International License.": "CC-BY-4.0", "This text is licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nMore.": "LGPL-2.1",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0": "EPL-2.0", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+    "Code is available under the Unlicense License.": "Unlicense", "GPLv3": "GPL-3.0", "Released under the 3-clause BSD license.": "BSD-3-Clause", "Licence: EUPL-1.2": "EUPL-1.2", "Content is available under CC BY-NC-SA 3.0 unported.": "CC-BY-NC-SA-3.0",
+    "This is not licensed under the MIT License.": None, "Unless it is licensed under the MIT License.": None, "All rights reserved by others.": None, "Mit. Das ist mit.": None, "The license of the house.": None, "Under the MIT bridge.": None,
+}
+
+
+def test_notices(spark):
+    from logweave.llm import licences
+
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(docs).collect()}
+    assert got == {i: licence for i, licence in enumerate(NOTICES.values()) if licence}
+
+
 def test_no_python_worker_in_exact_dedup(spark):
     plan = QUERIES["op13_exact_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
