@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": jaccard.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op8_warc_fixity": fixity.ORACLE,
     "op9_licence_scan": licences.oracle(),

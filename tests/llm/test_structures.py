@@ -214,6 +214,42 @@ def test_styled_and_distant_letters_are_letters(spark):
     assert all(c > toxicity.BLANK for c in toxicity.classes("𐐨𐑌"))
 
 
+def test_many_items_are_joined_to_the_same_leaks(spark):
+    from logweave.llm import decontaminate
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    items = [" ".join(word() for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 30, 60]))) for _ in range(60)] + [None, "", "...", "one two"]
+    items += [items[7], items[8].upper()]
+    docs = []
+    for i in range(120):
+        own = [word() for _ in range(rng.choice([0, 3, 40, 400]))]
+        for _ in range(rng.randrange(3)):
+            leak = (rng.choice(items) or "").split()
+            if leak and rng.random() < 0.5:
+                leak[rng.randrange(len(leak))] = "changed"
+            own[len(own) // 2 : len(own) // 2] = leak
+        docs.append((i, " ".join(own), "en", "item", 1, 2, 3))
+    docs += [(None, docs[5][1], "en", "x", 1, 2, 3), docs[6], (500, None, "en", "x", 1, 2, 3), (501, items[0], "en", "x", 1, 2, 3)]
+    frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(list(enumerate(items)) + [(None, items[3])], "item_id long, text string")
+    for percent in (80, 100, 50):
+        small, many = (sorted(map(str, map(tuple, decontaminate.find_leaks(frame, bench, percent, most).collect()))) for most in (10**6, 1))
+        assert small == many and len(small) > 20
+        left = [sorted(str(tuple(r)) for r in decontaminate.clean(frame, bench, percent, most).collect()) for most in (10**6, 1)]
+        assert left[0] == left[1] and 3 < len(left[0]) < len(docs)
+    assert decontaminate.find_leaks(frame, bench.limit(0), block_shingles=-1).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op5_decontamination", "op9_licence_scan"])
+def test_earlier_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    ours, theirs = QUERIES[name](spark, "/root/testdata/sf0.01"), con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in theirs.description]
+    assert sorted(map(str, map(tuple, ours.select(columns).collect()))) == sorted(map(str, theirs.fetchall()))
+
+
 #: Notices, and the licence that they state or none.
 NOTICES = {
     "The MIT License (MIT)\n\nCopyright (c) 2020 X": "MIT", "SPDX-License-Identifier: Apache-2.0\nimport x": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "Licensed under the GNU GPL v3.": "GPL-3.0",
