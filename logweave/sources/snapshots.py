@@ -69,7 +69,7 @@ class Files:
         self.write(part, text)
         try:
             if self.fs.getScheme() == "file":
-                local = lambda n: self.path(n).toUri().getPath()
+                local = lambda n: self.fs.makeQualified(self.path(n)).toUri().getPath()
                 try:
                     os.link(local(part), local(name))
                 except FileExistsError:

@@ -57,7 +57,7 @@ def bit(gram: Column) -> Column:
 
 
 class LogStore:
-    """promoted: attribute keys that get a column of their own with a Bloom filter (``attr_<key>``).
+    """promoted: attribute keys that get a column of their own with a Bloom filter (``attr_<key>``); folders written before keep the map.
 
     searchable: each file of logs gets a signature of the runs of up to three characters in its messages, so a search for a
     text reads only files whose signatures hold all runs of it. Folders written without one are always read.
@@ -99,7 +99,9 @@ class LogStore:
         folders = [(m, f) for m in months for f in self.folders(seen, table, m) if ids is None or f["id"] in ids]
         signed = [(m, f) for m, f in folders if needle and f.get("signed")]
         places = [f"{self.path}/{table}/commit={f['id']}/month={m}" for m, f in folders if not (needle and f.get("signed"))] + self.holding(needle, signed)
-        columns = SCHEMAS[table] + "".join(f", `attr_{k}` string" for k in self.promoted) * (table == "logs")
+        # a key that some folder was written without is left to the map
+        keys = [k for k in self.promoted if all(k in f.get("keys", ()) for _, f in folders)] if table == "logs" else []
+        columns = SCHEMAS[table] + "".join(f", `attr_{k}` string" for k in keys)
         return self.read(table, places, columns)
 
     def holding(self, needle: str | None, signed: list[tuple[str, dict]]) -> list[str]:
@@ -249,7 +251,7 @@ class LogStore:
         stored.repartition("unit", "month").sortWithinPartitions("unit", "month", "bucket_start").write.partitionBy("unit", "month").parquet(f"{self.path}/rollup/commit={folder}")
         us = F.unix_micros("timestamp")
         found = counted.groupBy("month").agg(F.count("*").alias("rows"), F.min(us).alias("first"), F.max(us).alias("last")).collect()  # one row a month
-        return {r["month"]: [{"id": folder, "rows": r["rows"], "first": r["first"], "last": r["last"], "signed": self.searchable}] for r in found}
+        return {r["month"]: [{"id": folder, "rows": r["rows"], "first": r["first"], "last": r["last"], "signed": self.searchable, "keys": list(self.promoted)}] for r in found}
 
     def sign(self, folder: str) -> None:
         """Write the signatures of a folder's files: names below ``logs`` and bitmaps."""

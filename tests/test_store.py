@@ -298,6 +298,17 @@ def test_promoted_key_skips_row_groups_and_equals_the_map(spark, tmp_path):
         assert scanned(matching(promoted.logs(), asked)) < scanned(matching(plain.logs(), asked)) / 2
 
 
+def test_key_promoted_later_still_finds_older_rows(spark, tmp_path):
+    path, asked = str(tmp_path), Filters(attributes={"a b": "1"})
+    LogStore(spark, path).append(None, checked(spark, [[entry(message="old", attributes={"a b": 1})]]))
+    later = LogStore(spark, path, promoted=("a b",))
+    later.append(None, checked(spark, [[entry(message="new", attributes={"a b": 1.0}), entry(message="other", attributes={"a b": 2})]]))
+    assert sorted(r["message"] for r in matching(later.logs(), asked).collect()) == ["new", "old"]
+    assert "attr_a b" not in later.logs().columns
+    later.compact(most=1)
+    assert "attr_a b" in later.logs().columns and sorted(r["message"] for r in matching(later.logs(), asked).collect()) == ["new", "old"]
+
+
 def test_search_reads_files_that_may_hold_the_text(spark, tmp_path):
     texts = [["Disk full on node 7", "straße", "日本語のログ"], ["disk ok", "A"], ["Ärger", "x" * 300], ["nothing to see", ""]]
     plain, signed = LogStore(spark, str(tmp_path / "a")), LogStore(spark, str(tmp_path / "b"), searchable=True)
