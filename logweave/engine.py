@@ -18,6 +18,10 @@ from logweave.sources.ingest import rejected, validated
 from logweave.sources.storage import LogStore
 
 
+#: What a caller is told of a body that is refused as a whole.
+TOO_LARGE, NOTHING_ACCEPTED = "request body is too large", "no log entry was accepted"
+
+
 class Engine:
     """Errors are EngineErrors; reads and ingest are cancelled after ``config.deadline_seconds``."""
 
@@ -35,7 +39,7 @@ class Engine:
         A body of which nothing is accepted is an error of status 400 that carries what would be returned.
         """
         if len(body.encode()) > self.config.body_limit:
-            raise EngineError(413, "request body is too large")
+            raise EngineError(413, TOO_LARGE)
         now = now or dt.datetime.now(dt.timezone.utc)
         with self.guarded():
             checked = validated(self.spark.createDataFrame([(0, body)], "batch long, body string"), now, self.config.max_log_age_days, bodies_too=True).persist()
@@ -48,7 +52,7 @@ class Engine:
                 checked.unpersist()
         found = {"accepted": good, "rejected": bad}
         if not good:
-            raise EngineError(400, "no log entry was accepted", body=found)
+            raise EngineError(400, NOTHING_ACCEPTED, body=found)
         return found
 
     def list_logs(self, query: Mapping[str, object]) -> dict:

@@ -8,6 +8,7 @@ import hashlib
 import hmac
 import json
 import re
+import struct
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -18,6 +19,24 @@ BUCKETS = {"1m": 60, "5m": 300, "1h": 3600, "1d": 86400}
 INSTANT = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?(Z|[+-]\d\d:\d\d)")
 MINUTE_US = 60_000_000
 
+#: What a caller is told of a request that can't be answered.
+NO_INSTANT = "{name} must be a valid ISO 8601 timestamp"
+NOT_ONCE = "{name} must be specified once"
+NULL_CHARACTER = "{name} contains an unsupported null character"
+NO_LEVEL = "unsupported log level"
+BACKWARDS = "until must not be earlier than since"
+NO_KEY = "attribute filter key is invalid"
+NO_VALUE = "attr.{key} requires a value"
+LIMIT_TEXT = "limit must be an integer"
+LIMIT_RANGE = "limit must be between 1 and 1000"
+NO_RANGE = "since and until are required"
+NO_BUCKET = "bucket must be one of 1m, 5m, 1h, or 1d"
+NO_GROUP = "group_by must be service or level"
+NO_CURSOR = "invalid cursor"
+NO_SIGNATURE = "invalid cursor signature"
+BAD_CURSOR = "malformed cursor"
+OTHER_CURSOR = "cursor does not match the active filters"
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -31,7 +50,7 @@ class Filters:
 
 def nanoseconds(text: str, name: str) -> int:
     """Nanoseconds since 1970 of an ISO 8601 instant with an offset."""
-    bad = EngineError(400, f"{name} must be a valid ISO 8601 timestamp")
+    bad = EngineError(400, NO_INSTANT.format(name=name))
     m = INSTANT.fullmatch(text)
     if not m:
         raise bad
@@ -56,9 +75,9 @@ def microseconds(text: str, name: str = "timestamp") -> int:
 def one(query: Mapping[str, object], name: str) -> str | None:
     value = query.get(name)
     if value is not None and not isinstance(value, str):
-        raise EngineError(400, f"{name} must be specified once")
+        raise EngineError(400, NOT_ONCE.format(name=name))
     if value is not None and "\0" in value:
-        raise EngineError(400, f"{name} contains an unsupported null character")
+        raise EngineError(400, NULL_CHARACTER.format(name=name))
     return value
 
 
@@ -66,20 +85,20 @@ def parse_filters(query: Mapping[str, object]) -> Filters:
     """Known parameters only; others are ignored."""
     level = one(query, "level")
     if level is not None and level not in LEVELS:
-        raise EngineError(400, "unsupported log level")
+        raise EngineError(400, NO_LEVEL)
     since, until = one(query, "since"), one(query, "until")
     bounds = [nanoseconds(v, n) if v is not None else None for v, n in ((since, "since"), (until, "until"))]
     if None not in bounds and bounds[1] < bounds[0]:
-        raise EngineError(400, "until must not be earlier than since")
+        raise EngineError(400, BACKWARDS)
     attributes = {}
     for name in query:
         if name.startswith("attr."):
             key = name[5:]
             if not key or "\0" in key:
-                raise EngineError(400, "attribute filter key is invalid")
+                raise EngineError(400, NO_KEY)
             attributes[key] = one(query, name)
             if attributes[key] is None:
-                raise EngineError(400, f"attr.{key} requires a value")
+                raise EngineError(400, NO_VALUE.format(key=key))
     return Filters(one(query, "service"), level, since, until, one(query, "q"), attributes)
 
 
@@ -88,9 +107,9 @@ def parse_limit(query: Mapping[str, object]) -> int:
     if text is None:
         return 100
     if not re.fullmatch(r"[0-9]+", text):
-        raise EngineError(400, "limit must be an integer")
+        raise EngineError(400, LIMIT_TEXT)
     if not 1 <= int(text) <= 1000:
-        raise EngineError(400, "limit must be between 1 and 1000")
+        raise EngineError(400, LIMIT_RANGE)
     return int(text)
 
 
@@ -98,12 +117,12 @@ def parse_aggregate(query: Mapping[str, object]) -> tuple[Filters, str, str | No
     """(filters, bucket, group)."""
     filters = parse_filters(query)
     if filters.since is None or filters.until is None:
-        raise EngineError(400, "since and until are required")
+        raise EngineError(400, NO_RANGE)
     bucket, group = one(query, "bucket"), one(query, "group_by")
     if bucket not in BUCKETS:
-        raise EngineError(400, "bucket must be one of 1m, 5m, 1h, or 1d")
+        raise EngineError(400, NO_BUCKET)
     if group not in (None, "service", "level"):
-        raise EngineError(400, "group_by must be service or level")
+        raise EngineError(400, NO_GROUP)
     return filters, bucket, group
 
 
@@ -142,6 +161,10 @@ def filter_hash(filters: Filters) -> str:
     return base64.urlsafe_b64encode(hashlib.sha256(canonical.encode()).digest()).decode()[:22]
 
 
+#: A cursor's place: its form, microseconds and id; the filters that it is bound to follow.
+PLACE, FORM = struct.Struct(">Bqq"), 2
+
+
 class CursorCodec:
     """Signed page cursors."""
 
@@ -152,22 +175,23 @@ class CursorCodec:
         return base64.urlsafe_b64encode(hmac.new(self.secret, body.encode(), hashlib.sha256).digest()).decode()[:22]
 
     def encode(self, timestamp_us: int, row_id: int, filters: str) -> str:
-        body = base64.urlsafe_b64encode(json.dumps({"v": 1, "t": timestamp_us, "i": str(row_id), "f": filters}).encode()).decode().rstrip("=")
+        body = base64.urlsafe_b64encode(PLACE.pack(FORM, timestamp_us, row_id) + filters.encode()).decode().rstrip("=")
         return f"{body}.{self.sign(body)}"
 
     def decode(self, cursor: str, filters: str) -> tuple[int, int]:
         parts = cursor.split(".")
         if len(parts) != 2 or not all(parts) or not cursor.isascii():
-            raise EngineError(400, "invalid cursor")
+            raise EngineError(400, NO_CURSOR)
         if not hmac.compare_digest(parts[1], self.sign(parts[0])):
-            raise EngineError(400, "invalid cursor signature")
+            raise EngineError(400, NO_SIGNATURE)
         try:
-            found = json.loads(base64.urlsafe_b64decode(parts[0] + "=" * (-len(parts[0]) % 4)))
-            at, row_id, own = int(found["t"]), int(found["i"]), found["f"]
-            if found["v"] != 1:
+            found = base64.urlsafe_b64decode(parts[0] + "=" * (-len(parts[0]) % 4))
+            form, at, row_id = PLACE.unpack(found[: PLACE.size])
+            own = found[PLACE.size :].decode()
+            if form != FORM:
                 raise ValueError
-        except (ValueError, KeyError, TypeError):
-            raise EngineError(400, "malformed cursor") from None
+        except (ValueError, struct.error):
+            raise EngineError(400, BAD_CURSOR) from None
         if own != filters:
-            raise EngineError(400, "cursor does not match the active filters")
+            raise EngineError(400, OTHER_CURSOR)
         return at, row_id

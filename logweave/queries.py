@@ -208,6 +208,12 @@ register(
     f"""with {EVENT_LOGS_SQL} select cast(id as varchar) as id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') as "timestamp", level, service, message from (
     select * from logs where "timestamp" >= timestamp '2024-01-03 04:05:06.789' and service = 'click' and attr_k = '7' and ("timestamp", id) < (timestamp '2024-01-20 00:00:00', 4000) order by "timestamp" desc, id desc limit 50)""",
 )
+register(
+    "page_with_attributes",
+    lambda spark, d: paging.page(stored(spark, d).logs(), Filters(service="purchase", **RANGE), 100).select(F.col("id").cast("string").alias("id"), iso_utc(F.col("timestamp")).alias("timestamp"), "message", F.to_json("attributes").alias("attributes")),
+    f"""with {EVENT_LOGS_SQL} select cast(id as varchar) as id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') as "timestamp", message, cast(json(props) as varchar) as attributes from logs join (select event_id, props from events) e on e.event_id = id
+    where {SQL_RANGE} and service = 'purchase' order by logs."timestamp" desc, id desc limit 100""",
+)
 register(
     "attribute_promoted",
     lambda spark, d: filters.matching(stored(spark, d).logs(), Filters(attributes={"k": "42"})).select("id", "service", F.date_format("timestamp", "yyyy-MM").alias("month")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,5 +97,13 @@ class MinuteCounts:
         found = self.spark.read.schema(ROLLUP).parquet(*[f"{self.path}/deltas/{f}" for f in folders]) if folders else self.spark.createDataFrame([], ROLLUP)
         return found.groupBy("bucket_start", "service", "level").agg(F.sum("count").alias("count"))
 
+    def vacuum(self, grace: float = 86_400) -> int:
+        """Remove deltas older than ``grace`` seconds that were folded; their number."""
+        named = {f for _, f in self.snapshots.latest()[1].get("deltas", [])}
+        old = [n for n, changed in self.snapshots.files.listed("deltas") if n not in named and changed <= time.time() - grace]
+        for name in old:
+            self.snapshots.files.delete(f"deltas/{name}")
+        return len(old)
+
     def counts(self) -> DataFrame:
         return self.read([f for _, f in self.snapshots.latest()[1].get("deltas", [])])
