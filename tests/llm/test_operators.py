@@ -361,7 +361,7 @@ def test_gapped_words_are_one_window():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE_SQL[name]).df()
     cols = sorted(theirs.columns)
