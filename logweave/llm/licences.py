@@ -175,11 +175,11 @@ def identifiers(text: Column) -> Column:
         return let(F.concat(found, named_in(s, i)), lambda f: F.array_sort(outer(f)))
 
     def named_in(s: Column, i: Column) -> Column:
-        """Licences that the sentence as a whole or one of its lines names."""
+        """Licences that the sentence as a whole, without its first line (a heading), or one of its lines names."""
         lines = F.filter(F.split(s, "\n"), lambda line: F.contains(line, F.lit(":")))
         one = lambda line: F.struct(number(line).alias("place"), number(line).alias("last"), F.substring_index(line, ":", -1).alias("words"))
         whole = lambda parts: F.when(F.size(parts) > 1, F.array(F.struct(parts[0]["place"].alias("place"), F.element_at(parts, -1)["last"].alias("last"), F.array_join(F.transform(parts, lambda x: x["words"]), " ").alias("words"))))
-        every = let(F.transform(lines, one), lambda parts: F.concat(parts, F.coalesce(whole(parts), F.slice(parts, 1, 0))))
+        every = let(F.transform(lines, one), lambda parts: F.concat(parts, F.coalesce(whole(parts), F.slice(parts, 1, 0)), F.coalesce(let(F.slice(parts, 2, 1 << 30), whole), F.slice(parts, 1, 0))))
         told = F.transform(every, lambda x: F.struct(x["place"].alias("place"), x["last"].alias("last"), i.alias("sentence"), reference(x["words"]).alias("name")))
         return F.when(s.rlike(HINTED_LINES), F.filter(told, lambda x: x["name"].isNotNull())).otherwise(F.slice(told, 1, 0))
 
