@@ -18,7 +18,7 @@ from logweave.operators.filters import matching
 from logweave.plans.requests import BUCKETS, Filters, whole_cells
 from logweave.sources.ingest import entry_bytes, validated
 from logweave.sources.snapshots import Conflict, Snapshots
-from logweave.sources.storage import LogStore
+from logweave.sources.storage import LogStore, bit, bits_of, grams
 from logweave.streaming.ingest import MinuteCounts, ingest_stream
 
 NOW = dt.datetime(2024, 6, 1, 12, tzinfo=dt.timezone.utc)
@@ -329,6 +329,15 @@ def test_search_reads_files_that_may_hold_the_text(spark, tmp_path):
     assert found(signed) == found(plain) and signed.logs(needle="disk full").count() <= 3
 
 
+def test_signatures_hash_each_distinct_run_once(spark):
+    texts = ["", "a", "ab", "view user 12", "view user 12", "straße 日本語", "i\u0307 😀😀", "a\0", "x" * 50]
+    runs = spark.createDataFrame([(t,) for t in texts], "message string").select(F.explode(grams(F.col("message"))).alias("gram"))
+    assert set(bits_of(texts).tolist()) == {r[0] for r in runs.select(bit(F.col("gram"))).collect()}
+    # what is hashed follows the runs that differ, not the rows
+    assert len(bits_of(texts * 1000)) == runs.distinct().count()
+    assert len(bits_of([])) == len(bits_of([""])) == 0
+
+
 def test_deadline_and_storage_errors(spark, tmp_path):
     slow = F.udf(lambda x: __import__("time").sleep(0.05) or x, "long")
     with pytest.raises(EngineError) as late:
