@@ -72,6 +72,14 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def folded(fine: bytes, n: int) -> bytes:
+    """A fine sketch of n elements as that of at least 128 and n cells."""
+    x = np.frombuffer(fine, np.uint8)
+    while len(x) > max(16, (1 << n.bit_length()) // 8):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 class Rings:
     """Ring borders for set sizes, and the regions of a set: one for each part of the hash space in its rings."""
 
@@ -167,8 +175,8 @@ def regions(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def first_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of the members of every region with its pivot b, the least of them."""
-    pivots = members.groupBy("region").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").select("region", "b")
-    return members.join(pivots, "region").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    met = members.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("region")).alias("b"))
+    return met.where("a <> b").distinct()
 
 
 def promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -249,15 +257,17 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the regions that still hold several components, with their label."""
     found = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    found = keep(found, "labelled")
-    several = found.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
-    return keep(found.join(several, "region", "left_semi"), "members")
+    own = Window.partitionBy("region")
+    several = found.withColumns({"low": F.min("label").over(own), "high": F.max("label").over(own)}).where("low <> high")
+    return keep(several.drop("low", "high"), "members")
 
 
 def listed(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of a region's members in different components that sizes and fine sketches don't prove too far.
 
-    In fine sketches next to no two elements share a cell, so hardly a pair is listed that is not a link.
+    A member is sent to each of its regions, so what is sent there is the fine sketch folded to one or two cells an element.
+    Pairs that this leaves are tested once by the fine sketches: in these next to no two elements share a cell, so hardly
+    a pair is listed that is not a link.
     """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,17 +275,17 @@ def listed(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, per
             texts = batch["text"].tolist()
             for a, b in slices(texts):
                 own = [shingle_set(t, size) for t in texts[a:b]]
-                rows = [(node, len(x), sketch(x, fine=True)) for node, x in zip(batch["node"].iloc[a:b], own) if len(x) and node_of(x) == node]
-                yield pd.DataFrame(rows, columns=["node", "n", "sketch"])
+                rows = [(node, len(x), fine := sketch(x, fine=True), folded(fine, len(x))) for node, x in zip(batch["node"].iloc[a:b], own) if len(x) and node_of(x) == node]
+                yield pd.DataFrame(rows, columns=["node", "n", "sketch", "small"])
         forget()
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
     # a repeated document describes its node again
-    fine = keep(chosen_texts(docs, wanted).select("node", "text").mapInPandas(describe, "node long, n long, sketch binary").dropDuplicates(["node"]), "fine")
+    fine = keep(chosen_texts(docs, wanted).select("node", "text").mapInPandas(describe, "node long, n long, sketch binary, small binary").dropDuplicates(["node"]), "fine")
     sizes = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    facts = members.select("region", "node", "label").join(fine, "node").join(sizes, "region")
+    facts = members.select("region", "node", "label").join(fine.drop("sketch"), "node").join(sizes, "region")
     own = facts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "sketch")
+    own = own.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "small")
 
     def words(sketches: list[bytes]) -> np.ndarray:
         least = min(map(len, sketches))
@@ -314,7 +324,8 @@ def listed(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, per
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
         yield pd.DataFrame(near(held) if len(held) > 1 else [], columns=["a", "b"], dtype="int64")
 
-    return own.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInPandas(compare, "a long, b long").distinct()
+    pairs = own.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInPandas(compare, "a long, b long").distinct()
+    return promising(keep(pairs, "pairs"), fine, percent)
 
 
 def rest_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, edges: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:

@@ -73,6 +73,17 @@ def test_join_is_exact(spark, size, percent):
     assert got == {i: (find(i), len(own[i]) if i < len(own) else 0) for i in range(len(texts) + 2)}
 
 
+def test_what_regions_are_sent_is_small_and_loses_no_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 127, 128, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for changed in (0, n // 10, n // 2, n):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed + n // 7, dtype=np.uint64)]))
+            x, y = (jaccard.folded(jaccard.sketch(s, fine=True), len(s)) for s in (a, b))
+            assert len(x) <= max(16, len(a) // 4) and len(y) <= max(16, len(b) // 4)
+            assert jaccard.least_difference(x, y) <= len(np.setxor1d(a, b))
+
+
 def test_sketch_and_regions_keep_every_link():
     rng = np.random.default_rng(2)
     for percent in (80, 90):
