@@ -44,16 +44,18 @@ WINDOW_SEQUENCES = 64
 MAX_QUEUES = 256
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks of text, and words of chunks, whose ids one worker remembers.
-CHUNK_CACHE, WORD_CACHE = 200_000, 300_000
+#: Chunks of text, and words, whose ids one worker remembers.
+CHUNK_CACHE, WORD_CACHE = 100_000, 400_000
 #: Rows of the table of queue totals that may be broadcast; beyond it, the table is joined.
 BROADCAST_ROWS = 500_000
 #: White space that Python splits at and the tokenizer's rules do not, or the start of a special token.
 UNUSUAL = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
 #: Chunks of printable ASCII and Latin letters with accents: no normal form changes them but lower case.
 SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-#: Fixed values, the tokenizer's own words: an ending, a run of letters, a digit, a run of other signs.
-WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Whole texts of these characters and white space that Python and the tokenizer's rules both split at.
+PLAIN = re.compile("[\x20\x09-\x0D!-~À-ÖØ-öø-ÿ]*")
+#: Fixed values, the tokenizer's own words: a run of letters, an ending, a digit, a run of other signs.
+WORDS = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -72,7 +74,7 @@ class Known(dict):
 
 
 class Tokens:
-    """Token ids by chunk: this tokenizer's words never cross white space, so a chunk has the same ids in any text."""
+    """Token ids by word, or by chunk: this tokenizer's words never cross white space, so a chunk has the same ids in any text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -102,6 +104,8 @@ class Tokens:
 
     def encode(self, text: str) -> bytes:
         """The little-endian 16-bit ids of a text."""
+        if PLAIN.fullmatch(text) and "<|" not in text:  # most texts: there are far fewer words than chunks
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
         if UNUSUAL.search(text):
             return self.whole(text)
         return b"".join(map(self.chunks.__getitem__, (text.lower() if text.isascii() else text).split()))

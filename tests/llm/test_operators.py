@@ -575,3 +575,12 @@ def test_chunk_ids_equal_those_of_the_whole_text():
     texts = ["", " ", "It's they'LL 'S x!'s don''t", "Größe ÉCOLE niño ÿÞ æØ", "a×b÷c ²³ µ ª º", "école Å K Å İ", "œuvre „ja“ 中文 日本語 \U0001f600", "x" * 5000, "12a34 a_b\x00c\x7f", "a b c\x85d​e", "<|endoftext|> a <|b", "word, word. WORD\n\tword"]
     for text in texts:
         assert coder.encode(text) == coder.whole(text), text
+
+
+def test_plain_texts_are_encoded_by_words_alone():
+    coder = packing.Tokens(public_tokenizers.path(packing.TOKENIZER))
+    marks = ["", ",", ".", "!", ";", ")", "?", ":"]
+    text = " ".join(f"word{a} (Größe{b}" for a in marks for b in marks)
+    assert coder.encode(text) == coder.whole(text)
+    # 15 different chunks, but ten words; a chunk is kept for no text that words alone make up
+    assert not coder.chunks and set(coder.words) == {"word", "größe", "("} | set(marks[1:])
