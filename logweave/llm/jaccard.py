@@ -17,7 +17,8 @@ measured on whole sets, members sent to their pivot in blocks of bounded size.
 
 Recursion. A region whose members ended in several components may still hide links between members that are
 not with the pivot. It is joined again around its most central member as the next pivot, which then leaves. What is left is compared by finer sketches in blocks of bounded size, and only pairs of different
-components that the sketches don't prove too far are sent on to be measured.
+components that the sketches don't prove too far are sent on to be measured. Where these pairs would outnumber their members,
+the members are sent on instead, to a block that has whole sets and gives no more links than join its components.
 
 Defined cases: documents without words, or with null text, have no shingles, link with nothing and are
 their own component; fewer words than a shingle has make one shingle; rows with a null doc_id are counted but
@@ -26,7 +27,7 @@ stay out of the links and have a null component; repeated rows each get their ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ BROADCAST_IDS = 300_000
 MEMBERS = 512
 #: Members of a region that are compared by sketches at once, and rounds of central pivots before.
 BLOCK, ROUNDS = 2048, 2
+#: Bytes of such members' data, and pairs of a block that are listed however few members they have.
+BLOCK_BYTES, FEW = 16 << 20, 32
 #: Sets that a task remembers, to send on each once.
 NODE_CACHE = 100_000
 
@@ -262,70 +265,151 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return keep(several.drop("low", "high"), "members")
 
 
-def listed(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a region's members in different components that sizes and fine sketches don't prove too far.
+def dealt(members: DataFrame, data: DataFrame, width: int = 0) -> DataFrame:
+    """Members of regions with their data, for every two blocks of their region: region, low, high, own, node, label, n, data.
 
-    A member is sent to each of its regions, so what is sent there is the fine sketch folded to one or two cells an element.
-    Pairs that this leaves are tested once by the fine sketches: in these next to no two elements share a cell, so hardly
-    a pair is listed that is not a link.
+    A block holds BLOCK members at most; given the bytes of data an element has (``width``), also about BLOCK_BYTES.
     """
+    size = F.count("*") / BLOCK
+    sizes = members.groupBy("region").agg(F.ceil(F.greatest(size, F.sum("n") * width / BLOCK_BYTES) if width else size).cast("int").alias("blocks"))
+    facts = members.select("region", "node", "label").join(data, "node").join(sizes, "region")
+    own = facts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "data")
+    return own.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "node")
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in slices(texts):
-                own = [shingle_set(t, size) for t in texts[a:b]]
-                rows = [(node, len(x), fine := sketch(x, fine=True), folded(fine, len(x))) for node, x in zip(batch["node"].iloc[a:b], own) if len(x) and node_of(x) == node]
-                yield pd.DataFrame(rows, columns=["node", "n", "sketch", "small"])
-        forget()
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
-    # a repeated document describes its node again
-    fine = keep(chosen_texts(docs, wanted).select("node", "text").mapInPandas(describe, "node long, n long, sketch binary, small binary").dropDuplicates(["node"]), "fine")
-    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    facts = members.select("region", "node", "label").join(fine.drop("sketch"), "node").join(sizes, "region")
-    own = facts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "small")
-
-    def words(sketches: list[bytes]) -> np.ndarray:
-        least = min(map(len, sketches))
-        out = []
-        for x in (np.frombuffer(b, np.uint64) for b in sketches):
-            while len(x) > least // 8:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            out.append(x)
-        return np.array(out)
-
-    def near(rows: list) -> list[tuple[int, int]]:
-        node, label, n, side = (np.array([r[i] for r in rows]) for i in (4, 5, 6, 3))
-        bits, out, at = words([r[7] for r in rows]), [], 0
+def bit_rows(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the length of the shortest."""
+    least = min(map(len, sketches))
+    out = []
+    for x in (np.frombuffer(b, np.uint64) for b in sketches):
+        while len(x) > least // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.array(out)
+
+
+class Block:
+    """Rows of two blocks of a region (those of ``dealt``), or of one with itself."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.rows, self.percent = rows, percent
+        self.side, self.node, self.label, self.n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
+
+    def near(self, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places x, y of pairs of different components that sketches don't prove too far, with the differences proved, by runs of x."""
+        node, label, n, side, bits = self.node, self.label, self.n, self.side, bit_rows(sketches)
         step = max(1, 2_000_000 // bits.size)
         within = len(set(side.tolist())) < 2
-        for at in range(0, len(rows), step):
+        for at in range(0, len(node), step):
             i = slice(at, at + step)
             size = n[i, None] + n[None]
             least = np.bitwise_count(bits[i, None] ^ bits[None]).sum(2, dtype=np.int64)
-            good = (label[i, None] != label[None]) & (node[i, None] < node[None]) & (100 * (size - least) >= percent * (size + least))
+            good = (label[i, None] != label[None]) & (node[i, None] < node[None]) & (100 * (size - least) >= self.percent * (size + least))
             if not within:
                 good &= side[i, None] != side[None]
             x, y = np.nonzero(good)
-            out += zip(node[x + at].tolist(), node[y].tolist())
+            yield x + at, y, least[x, y]
+
+    def sifted(self) -> list[tuple]:
+        """(a, b) of near pairs; if these are more than their members, (a, none, region, label, n) of each of these members."""
+        found, n_found, met = [], 0, np.zeros(len(self.rows), bool)
+        for x, y, _ in self.near([r[7] for r in self.rows]):
+            met[x] = met[y] = True
+            n_found += len(x)
+            if n_found <= max(FEW, len(self.rows)):
+                found += zip(self.node[x].tolist(), self.node[y].tolist())
+        if n_found <= max(FEW, met.sum()):
+            return [(a, b, None, None, None) for a, b in found]
+        return [(r[4], None, r[0], r[5], r[6]) for r, near in zip(self.rows, met) if near]
+
+    def joined(self) -> list[tuple]:
+        """Links (a, b) measured on whole sets: enough that all links of the block are reached, so fewer than members."""
+        sets, up, out = [np.frombuffer(r[7], np.uint64) for r in self.rows], {}, []
+
+        def top(label: int) -> int:
+            while label in up:
+                up[label] = label = up.get(up[label], up[label])
+            return label
+
+        for x, y, least in self.near([sketch(own, fine=True) for own in sets]):
+            likely = np.argsort(least, kind="stable")
+            for i, j in zip(x[likely].tolist(), y[likely].tolist()):
+                a, b = top(self.rows[i][5]), top(self.rows[j][5])
+                if a == b:
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= self.percent * (len(sets[i]) + len(sets[j]) - shared):
+                    up[a] = b
+                    out.append((self.rows[i][4], self.rows[j][4]))
         return out
 
+
+def by_block(rows: DataFrame, percent: int, method: Callable[[Block], list[tuple]], columns: str) -> DataFrame:
+    """What ``method`` gives for every two blocks in ``rows`` (those of ``dealt``)."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        key, held, out = None, [], []
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False, name=None):
                 if row[:3] != key:
-                    out += near(held) if len(held) > 1 else []
+                    out += method(Block(held, percent)) if len(held) > 1 else []
                     key, held = row[:3], []
                 held.append(row)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
-        yield pd.DataFrame(near(held) if len(held) > 1 else [], columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(out, columns=names, dtype="Int64").drop_duplicates()
+            out = []
+        yield pd.DataFrame(method(Block(held, percent)) if len(held) > 1 else [], columns=names, dtype="Int64")
+
+    return rows.mapInPandas(compare, columns)
+
 
-    pairs = own.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high").mapInPandas(compare, "a long, b long").distinct()
-    return promising(keep(pairs, "pairs"), fine, percent)
+def listed(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of a region's members in different components that sizes and fine sketches don't prove too far, and links.
+
+    A member is sent to each of its regions, so what is sent there is the fine sketch folded to one or two cells an element.
+    Blocks in which this leaves more pairs than members don't list them: their members meet again by fine sketches, in which
+    next to no two elements share a cell, and where these leave more pairs than members too, by whole sets. Whole sets give
+    links, no more of them than join the block's components; so what comes out of a block is never more than what it is dealt.
+    """
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in slices(texts):
+                own = [shingle_set(t, size) for t in texts[a:b]]
+                rows = [(node, len(x), fine := sketch(x, fine=True), folded(fine, len(x))) for node, x in zip(batch["node"].iloc[a:b], own) if len(x) and node_of(x) == node]
+                yield pd.DataFrame(rows, columns=["node", "n", "sketch", "small"])
+        forget()
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in slices(texts):
+                own = [shingle_set(t, size) for t in texts[a:b]]
+                rows = [(node, len(x), x.tobytes()) for node, x in zip(batch["node"].iloc[a:b], own) if len(x) and node_of(x) == node]
+                yield pd.DataFrame(rows, columns=["node", "n", "data"])
+        forget()
+
+    def texts(members: DataFrame) -> DataFrame:
+        return chosen_texts(docs, members.select("node").distinct().join(nodes.select("node", "doc"), "node")).select("node", "text")
+
+    def sift(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs, and members of regions whose blocks hold more of them than members."""
+        out = keep(by_block(rows, percent, Block.sifted, "a long, b long, region long, label long, n long"), name)
+        return out.where("b is not null").select("a", "b"), out.where("b is null").select("region", F.col("a").alias("node"), "label", "n").distinct()
+
+    # a repeated document describes its node again
+    fine = keep(texts(members).mapInPandas(describe, "node long, n long, sketch binary, small binary").dropDuplicates(["node"]), "fine")
+    pairs, dense = sift(dealt(members, fine.select("node", "n", F.col("small").alias("data"))), "pairs")
+    links = None
+    if not dense.isEmpty():
+        more, dense = sift(dealt(dense, fine.select("node", "n", F.col("sketch").alias("data")), 2), "fine_pairs")
+        pairs = pairs.union(more)
+        if not dense.isEmpty():
+            sets = keep(texts(dense).mapInPandas(whole, "node long, n long, data binary").dropDuplicates(["node"]), "sets")
+            links = keep(by_block(dealt(dense, sets, 8), percent, Block.joined, "a long, b long").distinct(), "dense_links")
+    return promising(keep(pairs.distinct(), "distinct_pairs"), fine, percent), links
 
 
 def rest_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, edges: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
@@ -343,8 +427,9 @@ def rest_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, edges: DataFr
         edges = keep(edges.union(linked(measured(docs, nodes, met, size), percent)), "links")
         # a pivot has met its whole region and leaves it
         members = labelled(placed.drop("pivot"), components(edges))
-    rest = keep(listed(docs, members, nodes, size, percent), "rest")
-    return keep(edges.union(linked(measured(docs, nodes, rest, size), percent)), "links")
+    rest, sure = listed(docs, members, nodes, size, percent)
+    edges = edges.union(linked(measured(docs, nodes, keep(rest, "rest"), size), percent))
+    return keep(edges.union(sure) if sure else edges, "links")
 
 
 def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:

@@ -584,3 +584,35 @@ def test_plain_texts_are_encoded_by_words_alone():
     assert coder.encode(text) == coder.whole(text)
     # 15 different chunks, but ten words; a chunk is kept for no text that words alone make up
     assert not coder.chunks and set(coder.words) == {"word", "größe", "("} | set(marks[1:])
+
+
+@pytest.mark.parametrize(("block_bytes", "blocks"), [(16 << 20, 1), (20_000, 4)])
+def test_dense_regions_give_fewer_rows_than_members(spark, monkeypatch, block_bytes, blocks):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block_bytes)
+    rng, texts = random.Random(5), []
+    for i in range(70):  # with one word changed, 50 are all linked with one another; with two, few are linked
+        own = [f"w{k}" for k in range(120)]
+        for at in rng.sample(range(3, 115), 1 if i < 50 else 2):
+            own[at] = f"x{i}"
+        texts.append(" ".join(own))
+    sets = [jaccard.shingle_set(t, 3) for t in texts]
+    ids = [jaccard.node_of(x) for x in sets]
+    docs = docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    nodes = spark.createDataFrame([(n, i, len(x), bytearray(jaccard.sketch(x))) for i, (n, x) in enumerate(zip(ids, sets))], "node long, doc long, n long, sketch binary")
+    members = spark.createDataFrame([(r, n, n) for r in (1, 2) for n in ids], "region long, node long, label long")
+    pairs, links = jaccard.listed(docs, members, nodes, 3, 90)
+    near = {(ids[i], ids[j]) for i in range(70) for j in range(70) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+    found = [tuple(r) for r in links.collect()]
+    assert pairs.count() + len(found) < len(ids) * blocks and set(found) <= near
+    # every link is reached over those that are given and the pairs that are still to be measured
+    edges = links.union(jaccard.linked(jaccard.measured(docs, nodes, jaccard.keep(pairs, "pairs"), 3), 90))
+    labels = {r["node"]: r["label"] for r in jaccard.components(edges).collect()}
+    assert all(labels.get(a, a) == labels.get(b, b) for a, b in near) and set(labels) == {a for a, b in near if a != b}
+
+
+def test_prefix_trie_rows_equal_sql_without_pandas(spark):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    theirs = con.sql(ORACLE_SQL["op12_prefix_trie"])
+    ours = QUERIES["op12_prefix_trie"](spark, SF).select(*theirs.columns).collect()
+    assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, theirs.fetchall()))
